@@ -41,7 +41,7 @@ def findings(df: DataFrame, text: str = "text", path: str | None = None, keep: t
     held = df.filter(F.col(text).rlike(CANDIDATE))
     # what stands before each candidate, and the candidate: their lengths give
     # the offsets
-    pattern = F.lit(f"(?s)(.*?)({CANDIDATE})")
+    pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
     cut = held.select(*keep, F.col(text).alias("_t"), (F.col(path) if path else F.lit(None).cast("string")).alias("_path"), F.regexp_extract_all(F.col(text), pattern, F.lit(1)).alias("_gap"), F.regexp_extract_all(F.col(text), pattern, F.lit(2)).alias("_value"))
     steps = F.expr("transform(arrays_zip(_gap, _value), x -> named_struct('g', length(x._gap), 'v', x._value))")
     starts = F.expr("aggregate(_steps, named_struct('at', 0, 'all', cast(array() as array<struct<start:int,value:string>>)), (a, x) -> named_struct('at', a.at + x.g + length(x.v), 'all', concat(a.all, array(named_struct('start', a.at + x.g, 'value', x.v)))), a -> a.all)")
@@ -167,7 +167,7 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def _scored(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
     """Adds _all, the candidates with scores, and _secret, those above."""
-    pattern = F.lit(f"(?s)(.*?)({CANDIDATE})")
+    pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
     none = F.lit(None).cast("array<string>")
     has = F.col("text").rlike(CANDIDATE)
     base = _once(docs, _gap=F.when(has, F.regexp_extract_all("text", pattern, F.lit(1))).otherwise(none), _value=F.when(has, F.regexp_extract_all("text", pattern, F.lit(2))).otherwise(none))
