@@ -10,28 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.operators.graph import components  # noqa: F401
+from textmill.operators.storage import cut, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors
-    share; where it is unset (tests on one machine) a folder under /tmp."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:///tmp/checkpoints/textmill"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows computed once and written to the shared folder, so that lost
-    executors cost no more than a read; Spark removes the files later."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -58,34 +44,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
                 at, total = i + 1, 0
         if at < len(sizes):
             yield batch.slice(at)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) links to (id, root): the smallest id that links lead to.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014): every
-    step is a grouped minimum over links, nothing is gathered on the driver
-    but a count, and stars of any size are spread over tasks because a hub's
-    links are re-pointed by a join and not collected.  Stops when no link
-    changes; raises if it has not after ``rounds``.
-    """
-    def arranged(e: DataFrame) -> DataFrame:
-        return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    now = cut(arranged(edges))
-    seen = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: neighbours above a point at a's minimum
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        # small star: neighbours below a, and a itself, point at the minimum
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct())
-        sums = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(sums) == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        seen = tuple(sums)
-    raise RuntimeError(f"links still changed after {rounds} rounds")
