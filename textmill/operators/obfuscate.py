@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators.storage import once
+
 #: Families, severities, look-alike digits, Cyrillic letters.
 FAMILIES = ("O1_CHAR_SUBSTITUTION", "O2_CHAR_INSERT_DELETE", "O3_WHITESPACE", "O4_UNICODE_ORTHOGRAPHIC")
 SEVERITIES = ("MILD", "STRONG")
@@ -67,18 +69,18 @@ def hash_mode(records: DataFrame, family: str, seed: int = SEED) -> DataFrame:
     key = lambda *more: "md5(concat_ws('|', '%d', doc_id, '%s', severity, %s))" % (seed, family, ", ".join(more))
     ready = F.expr(f"filter(_e, x -> x.t rlike '[{DIGIT_FROM}]')") if family == "O1_CHAR_SUBSTITUTION" else F.col("_e")
     few = "if(severity = 'MILD', 1, 2)"
-    df = records.withColumn("_e", eligible_tokens()).withColumn("_e", ready)
-    df = df.withColumn("_k", F.expr(f"slice(array_sort(transform(_e, x -> named_struct('k', {key('x.i')}, 'i', x.i, 't', x.t))), 1, {few})"))
-    df = df.withColumn("_k", F.expr("transform(_k, x -> named_struct('i', x.i, 'c', filter(split(x.t, ''), y -> y <> '')))"))
+    df = once(once(records, _e=eligible_tokens()), _e=ready)
+    df = once(df, _k=F.expr(f"slice(array_sort(transform(_e, x -> named_struct('k', {key('x.i')}, 'i', x.i, 't', x.t))), 1, {few})"))
+    df = once(df, _k=F.expr("transform(_k, x -> named_struct('i', x.i, 'c', filter(split(x.t, ''), y -> y <> '')))"))
     many = few if family == "O1_CHAR_SUBSTITUTION" else "1"
     picked = lambda open_: f"transform(slice(array_sort(transform({open_}, p -> named_struct('k', {key('x.i', 'p')}, 'p', p))), 1, {many}), y -> y.p)"
     opened = _OPEN[family].replace("(c)", "(x.c)").replace("c[", "x.c[")
-    df = df.withColumn("_p", F.expr(f"transform(_k, x -> named_struct('i', x.i, 'c', x.c, 'p', {picked(opened)}, 'how', 0))"))
+    df = once(df, _p=F.expr(f"transform(_k, x -> named_struct('i', x.i, 'c', x.c, 'p', {picked(opened)}, 'how', 0))"))
     if family == "O4_UNICODE_ORTHOGRAPHIC":
         vowel = "filter(sequence(1, size(x.c)), p -> lower(x.c[p - 1]) in ('a', 'e', 'i', 'o', 'u'))"
         inner = f"filter(sequence(1, size(x.c)), p -> p > 1 and p < size(x.c) and x.c[p - 1] rlike '{ALNUM}')"
-        df = df.withColumn("_p", F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(vowel)}, 'how', 1)))"))
-        df = df.withColumn("_p", F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(inner)}, 'how', 1)))"))
+        df = once(df, _p=F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(vowel)}, 'how', 1)))"))
+        df = once(df, _p=F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(inner)}, 'how', 1)))"))
     coin = f"size(filter(x.c, y -> y rlike '{ALNUM}')) >= 5 and substring({key('x.i', chr(39) + 'coin' + chr(39))}, 1, 1) in ('0', '1', '2', '3', '4', '5', '6', '7')"
     change = {
         "O1_CHAR_SUBSTITUTION": f"translate(y, '{DIGIT_FROM}', '{DIGIT_TO}')",
@@ -86,13 +88,13 @@ def hash_mode(records: DataFrame, family: str, seed: int = SEED) -> DataFrame:
         "O3_WHITESPACE": "concat(' ', y)",
         "O4_UNICODE_ORTHOGRAPHIC": f"if(x.how = 0, translate(y, '{LOOKALIKE_FROM}', '{LOOKALIKE_TO}'), concat(y, y))",
     }[family]
-    df = df.withColumn("_n", F.expr(f"transform(filter(_p, x -> size(x.p) > 0), x -> named_struct('i', x.i, 't', array_join(transform(x.c, (y, j) -> if(array_contains(x.p, j + 1), {change}, y)), '')))"))
+    df = once(df, _n=F.expr(f"transform(filter(_p, x -> size(x.p) > 0), x -> named_struct('i', x.i, 't', array_join(transform(x.c, (y, j) -> if(array_contains(x.p, j + 1), {change}, y)), '')))"))
     # gaps and tokens alternate; the first gap may be empty
     gaps = "regexp_extract_all(text, '(\\\\s*)(\\\\S+)', 1)"
     toks = "regexp_extract_all(text, '(\\\\s*)(\\\\S+)', 2)"
-    body = f"array_join(transform(arrays_zip({gaps} as g, {toks} as w), (z, j) -> concat(z.g, coalesce(element_at(_m, cast(j + 1 as long)), z.w))), '')".replace(f"arrays_zip({gaps} as g, {toks} as w)", "_z")
-    df = df.withColumn("_z", F.arrays_zip(F.expr(gaps).alias("g"), F.expr(toks).alias("w"))).withColumn("_m", F.expr("map_from_entries(_n)"))
-    df = df.withColumn("text_obfuscated", F.expr(f"concat({body}, regexp_extract(text, '(\\\\s*)$', 1))"))
+    body = "array_join(transform(_z, (z, j) -> concat(z.g, coalesce(element_at(_m, cast(j + 1 as long)), z.w))), '')"
+    df = once(df, _z=F.arrays_zip(F.expr(gaps).alias("g"), F.expr(toks).alias("w")), _m=F.expr("map_from_entries(_n)"))
+    df = once(df, text_obfuscated=F.expr(f"concat({body}, regexp_extract(text, '(\\\\s*)$', 1))"))
     df = df.withColumn("modified_token_count", F.size("_n").cast("long")).withColumn("changed", F.col("text_obfuscated") != F.col("text"))
     return df.drop("_e", "_k", "_p", "_n", "_z", "_m")
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators.storage import once
+
 #: Modulus and multipliers of the 64 hash functions.
 PRIME = 2**31 - 1
 SLOTS, BANDS = 64, 16
@@ -32,10 +34,10 @@ def with_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``shingles``: distinct word bigrams in lower case; the text itself
     if it has one word; none below four characters."""
     words = f"filter(split(lower({text}), '(?U)[\\\\s\\\\x1c-\\\\x1f]+'), w -> w <> '')"
-    df = docs.withColumn("_w", F.expr(words))
+    df = once(docs, _w=F.expr(words))
     pairs = F.expr("array_distinct(transform(sequence(1, size(_w) - 1), i -> concat(_w[i - 1], ' ', _w[i])))")
     none = F.expr("cast(array() as array<string>)")
-    return df.withColumn("shingles", F.when(F.length(text) < 4, none).when(F.size("_w") >= 2, pairs).otherwise(F.array(F.lower(text)))).drop("_w")
+    return once(df, shingles=F.when(F.length(text) < 4, none).when(F.size("_w") >= 2, pairs).otherwise(F.array(F.lower(text)))).drop("_w")
 
 
 def exact_pairs(docs: DataFrame, threshold: float = 0.65) -> DataFrame:
@@ -59,9 +61,9 @@ def exact_pairs(docs: DataFrame, threshold: float = 0.65) -> DataFrame:
 def minhash(docs: DataFrame) -> DataFrame:
     """Adds ``signature``: 64 minima of (a h + b) mod 2^31 - 1 over shingle
     hashes of 31 bits (no product leaves 63 bits)."""
-    df = docs.withColumn("_h", F.expr("transform(shingles, s -> pmod(cast(conv(substring(md5(s), 1, 8), 16, 10) as bigint), 2147483647))"))
+    df = once(docs, _h=F.expr("transform(shingles, s -> pmod(cast(conv(substring(md5(s), 1, 8), 16, 10) as bigint), 2147483647))"))
     minima = ", ".join(f"array_min(transform(_h, h -> (h * {a} + {b}) % {PRIME}))" for a, b in map(coefficients, range(SLOTS)))
-    return df.withColumn("signature", F.expr(f"array({minima})")).drop("_h")
+    return once(df, signature=F.expr(f"array({minima})")).drop("_h")
 
 
 def lsh_candidates(signed: DataFrame, rows: int = SLOTS // BANDS) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     executors cost no more than a read; Spark removes the files later."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds or replaces columns that are computed once, however often they are
+    used later: the optimizer merges projections, and then computes a shared
+    expression at each use (in a lambda, at each element), but it doesn't
+    merge them across a generator."""
+    held = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    return held.select(*[c for c in df.columns if c not in columns], *[F.col(f"_once.{k}").alias(k) for k in columns])

@@ -306,13 +306,13 @@ def group_split(spark, d):
 
 @query
 def split_stats(spark, d):
-    got = _folds(spark, d).groupBy("split").agg(F.count("*").alias("records"), F.count_if("label = 1").alias("positives"), F.count_distinct("g").alias("groups"))
+    got = _folds(spark, d).groupBy("split").agg(F.count("*").alias("records"), F.count_if(F.col("label") == 1).alias("positives"), F.count_distinct("g").alias("groups"))
     return got.withColumn("positive_rate", F.col("positives") / F.col("records"))
 
 
 @query
 def split_by_source(spark, d):
-    return _folds(spark, d).groupBy("split", "source").agg(F.count("*").alias("records"), F.count_if("label = 1").alias("positives"))
+    return _folds(spark, d).groupBy("split", "source").agg(F.count("*").alias("records"), F.count_if(F.col("label") == 1).alias("positives"))
 
 
 @query
@@ -384,7 +384,7 @@ def homoglyph_normalize(spark, d):
 @query
 def obfuscation_stats(spark, d):
     frames = [_hashed(spark, d, f).select(F.lit(f).alias("family"), "severity", "changed") for f in O.FAMILIES]
-    got = pool.union_all(frames).groupBy("family", "severity").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if("not changed").alias("n_no_target"))
+    got = pool.union_all(frames).groupBy("family", "severity").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"), F.count_if(~F.col("changed")).alias("n_no_target"))
     rate = F.col("n_changed") / F.col("n") * 100
     return got.select("*", F.round(rate, 2).alias("success_rate_pct"), (rate >= 90).alias("passes_gate"))
 

@@ -47,8 +47,8 @@ def _named(patterns: dict[str, str]) -> str:
 ORACLE["brand_signals"] = f"SELECT doc_id, array_to_string({_named(K.BRANDS)}, ';') AS known_brand_entity, array_to_string({_named(K.SIGNALS)}, ';') AS gambling_signal_terms FROM documents"
 _neg = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in K.NEGATIVE_SUBTYPES.items())
 _pos = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in K.POSITIVE_SUBTYPES.items())
-ORACLE["heuristic_subtype"] = rf"""WITH b AS (SELECT doc_id, text, lower(text) AS low, {_LABEL} AS label, len({_named(K.SIGNALS)}) > 0 AS some FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'ambiguous' WHEN label = 0 THEN (CASE WHEN some AND regexp_matches(low, '{K.NEGATIVE_WARNING}') THEN 'anti_gambling' {_neg} WHEN some THEN 'neutral_gambling_discussion' ELSE 'non_gambling' END)
+ORACLE["heuristic_subtype"] = rf"""WITH b AS (SELECT doc_id, text, lower(text) AS low, {_LABEL} AS label, len({_named(K.SIGNALS)}) > 0 AS has_signal FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'ambiguous' WHEN label = 0 THEN (CASE WHEN has_signal AND regexp_matches(low, '{K.NEGATIVE_WARNING}') THEN 'anti_gambling' {_neg} WHEN has_signal THEN 'neutral_gambling_discussion' ELSE 'non_gambling' END)
  ELSE (CASE WHEN regexp_matches(text, '[\x{{1D400}}-\x{{1D7FF}}\x{{2460}}-\x{{24FF}}\x{{FF01}}-\x{{FF5E}}]') THEN 'obfuscated_promotion' {_pos} ELSE 'site_endorsement' END) END AS promotion_type_heuristic FROM b"""
 ORACLE["obfuscation_candidate"] = r"""SELECT doc_id, regexp_matches(text, '[\x{1D400}-\x{1D7FF}\x{2460}-\x{24FF}\x{FF01}-\x{FF5E}\x{2100}-\x{214F}]')
  OR regexp_matches(text, '(^|[^\p{L}\p{N}_])[A-Za-z0-9]\s+[A-Za-z0-9]\s+[A-Za-z0-9]([^\p{L}\p{N}_]|$)') OR regexp_matches(text, '\[dot\]|\(dot\)|\*+[A-Za-z0-9]+\*+|█|☯|✅|⭐') AS obfuscation_candidate FROM documents"""
