@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,7 +104,8 @@ def edit_figures(df: DataFrame) -> DataFrame:
     """status, modified_char_count and its share; edits are at most four, so
     the distance with a threshold stays linear in the text."""
     edits = F.levenshtein("text", "text_obfuscated", 8).cast("long")
-    df = df.withColumn("status", F.when(F.col("changed"), "SUCCESS").otherwise("NO_CHANGE")).withColumn("modified_char_count", F.when(F.col("changed"), edits).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("status", F.when(F.col("changed"), "SUCCESS").otherwise("NO_CHANGE"))
+    df = once(df, modified_char_count=F.when(F.col("changed"), edits).otherwise(F.lit(0).cast("long")))
     return df.withColumn("modified_char_ratio", F.bround(F.col("modified_char_count") / F.greatest(F.length("text"), F.lit(1)), 4))
 
 
@@ -122,6 +124,13 @@ def protected(token: str) -> bool:
     return len(core) < 4 or all(c.isdigit() for c in core) or bool(re.search(URL, token) or re.search(EMAIL, token) or re.fullmatch(TAG, token))
 
 
+@lru_cache(maxsize=8)
+def open_spans(text: str) -> tuple[tuple[int, int], ...]:
+    """[start, end) of the tokens open to change; a text's conditions follow
+    one another, so they share one pass."""
+    return tuple(m.span() for m in re.finditer(r"\S+", text) if not protected(m[0]))
+
+
 def _between(token: str, last: int) -> list[int]:
     """Positions from 1 up to before ``last`` with letters or digits there and
     just before."""
@@ -162,7 +171,7 @@ def mt_obfuscate(text: str, record_id: str, family: str, severity: str, seed: in
             return text, 0
         raise ValueError(f"unknown condition {family} {severity}")
     rng = random.Random(int(hashlib.sha256(f"{seed}|{record_id}|{family}|{severity}".encode()).hexdigest()[:16], 16))
-    spans = [m.span() for m in re.finditer(r"\S+", text) if not protected(m[0])]
+    spans = list(open_spans(text))
     if family == FAMILIES[0]:
         spans = [s for s in spans if any(c in _DIGITS for c in text[slice(*s)])]
     if not spans:
