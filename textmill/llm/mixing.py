@@ -176,7 +176,7 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
             columns[where] = pa.array(texts, part.schema.field(where).type)
             if "n_chars" in names:
                 at = names.index("n_chars")
-                columns[at] = pa.array([len(t) for t in texts], part.schema.field(at).type)
+                columns[at] = pa.array([len(t or "") for t in texts], part.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return joined.mapInArrow(made, schema)
