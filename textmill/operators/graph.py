@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.operators.storage import cut
+from textmill.operators.storage import cut, release
+
+
+#: Links that a task holds at least, so that few links are few tasks.
+LINKS_A_TASK, FEWEST_TASKS = 200_000, 8
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,26 +18,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014): every
     step is a grouped minimum over links, nothing is gathered on the driver
     but a count, and stars of any size are spread over tasks because a hub's
-    links are re-pointed by a join and not collected.  Stops when no link
-    changes; raises if it has not after ``rounds``.
+    links are re-pointed by a join and not collected.  A round's tasks are as
+    many as its links need; its files are released when the next is written.
+    Stops when no link changes; raises if it has not after ``rounds``.
     """
-    def arranged(e: DataFrame) -> DataFrame:
-        return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    now = cut(arranged(edges))
+    links = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = cut(links)
     seen = None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        n, mix = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if (n, mix) == seen or not n:
+            release(now.sparkSession)
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        seen = n, mix
+        tasks = max(FEWEST_TASKS, -(-n // LINKS_A_TASK))
+        held = now.coalesce(tasks)
+        both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks).repartition("a")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a point at a's minimum
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").coalesce(tasks).repartition("a")
         # small star: neighbours below a, and a itself, point at the minimum
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct())
-        sums = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(sums) == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        seen = tuple(sums)
+        now = cut(small.filter("a <> b").coalesce(tasks).distinct().coalesce(tasks))
     raise RuntimeError(f"links still changed after {rounds} rounds")

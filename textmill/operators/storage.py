@@ -23,6 +23,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files and cut tables that nothing refers to any more:
+    Spark removes them once the driver has collected what held them, which an
+    iteration may outrun."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds or replaces columns that are computed once, however often they are
     used later: the optimizer merges projections, and then computes a shared
