@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators.graph import components  # noqa: F401
-from textmill.operators.storage import cut, shared_dir  # noqa: F401
+from textmill.operators.storage import cut, release, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
                 at, total = i + 1, 0
         if at < len(sizes):
             yield batch.slice(at)
+
+
+def by_group(df: DataFrame, keys: list[str], links: Callable[[pa.RecordBatch], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that ``links`` makes of each group of two rows and more; keys are
+    whole numbers.  Groups are runs of a sorted partition, so that a small one
+    costs no call of its own into Spark; one group at a time is held."""
+    def found(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def made() -> list[tuple[int, int]]:
+            if sum(h.num_rows for h in held) < 2:
+                return []
+            return links(held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+        def rows(got):
+            return pa.record_batch({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+            turns = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            out: list[tuple[int, int]] = []
+            for start, end in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows], strict=True):
+                here = key[:, start].tolist()
+                if here != last:
+                    out += made()
+                    held, last = [], here
+                held.append(batch.slice(start, end - start))
+            yield rows(out)
+        yield rows(made())
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(found, "a long, b long")
