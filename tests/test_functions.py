@@ -125,3 +125,26 @@ def test_greedy_folds_balance():
     assert set(folds) == {g for g, _, _ in groups}
     pos = [sum(p for g, _, p in groups if folds[g] == f) for f in range(10)]
     assert max(pos) - min(pos) <= 2
+
+
+def test_edit_distance():
+    import random
+
+    from textmill.operators.obfuscate import edit_distance
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        a = "".join(rng.choices("ab", k=rng.randrange(12)))
+        b = "".join(rng.choices("ab", k=rng.randrange(12)))
+        want = plain(a, b)
+        assert edit_distance(a, b, 4) == (want if want <= 4 else -1)
+    long = "".join(rng.choices("abc ", k=300))
+    assert edit_distance(long, long[:100] + "x" + long[100:250] + long[251:]) == plain(long, long[:100] + "x" + long[100:250] + long[251:])

@@ -100,12 +100,54 @@ def hash_mode(records: DataFrame, family: str, seed: int = SEED) -> DataFrame:
     return df.drop("_e", "_k", "_p", "_n", "_z", "_m")
 
 
+def _common(a: str, i: int, b: str, j: int) -> int:
+    """How far a[i:] and b[j:] agree; slices are compared, not characters."""
+    n = min(len(a) - i, len(b) - j)
+    at, step = 0, 64
+    while at < n:
+        end = min(at + step, n)
+        if a[i + at : i + end] != b[j + at : j + end]:
+            while end - at > 1:
+                mid = (at + end) // 2
+                if a[i + at : i + mid] == b[j + at : j + mid]:
+                    at = mid
+                else:
+                    end = mid
+            return at
+        at, step = end, step * 2
+    return n
+
+
+def edit_distance(a: str, b: str, most: int = 8) -> int:
+    """Levenshtein distance, or -1 above ``most``: the furthest point on each
+    diagonal for 0, 1, ... edits (Ukkonen 1985), so long texts with few edits
+    take a few slice comparisons."""
+    n, m = len(a), len(b)
+    reach = {0: _common(a, 0, b, 0)}
+    if n == m == reach[0]:
+        return 0
+    for edits in range(1, most + 1):
+        ahead = {}
+        for d in range(-edits, edits + 1):
+            at = min(max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1), n, m - d)
+            if at >= 0 and at + d >= 0:
+                ahead[d] = at + _common(a, at, b, at + d)
+                if d == m - n and ahead[d] == n:
+                    return edits
+        reach = ahead
+    return -1
+
+
 def edit_figures(df: DataFrame) -> DataFrame:
-    """status, modified_char_count and its share; edits are at most four, so
-    the distance with a threshold stays linear in the text."""
-    edits = F.levenshtein("text", "text_obfuscated", 8).cast("long")
+    """status, modified_char_count (at most four edits are made) and its
+    share.  Spark's own levenshtein, threshold or not, is quadratic in the
+    text."""
+    @F.pandas_udf("long")
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([edit_distance(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int64")
+
     df = df.withColumn("status", F.when(F.col("changed"), "SUCCESS").otherwise("NO_CHANGE"))
-    df = once(df, modified_char_count=F.when(F.col("changed"), edits).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("modified_char_count", edits("text", "text_obfuscated"))
     return df.withColumn("modified_char_ratio", F.bround(F.col("modified_char_count") / F.greatest(F.length("text"), F.lit(1)), 4))
 
 
