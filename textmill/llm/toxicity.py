@@ -5,8 +5,12 @@ each sees the probabilities of the categories before it.  In training those
 are out-of-fold predictions, so that a link learns from the probabilities that
 it will meet and not from fitted ones (Read et al. 2011; Senge et al. 2013).
 
-The words are chosen from the labelled sample by how much more often they
-occur in positives, among those that at least ``share`` of the positives hold.
+Features are counts of words and of words' beginnings (``ach*``: languages
+that inflect and compound hold an offensive stem in many words) and the text's
+number of words.  They are chosen from the labelled sample: of those that at
+least ``share`` of the positives hold, the ``most`` with the largest p ln(lift)
+(p: positives with it, lift: how much more often positives have it), which
+leaves out what a small sample shows by chance.
 Training reads at most ``sample`` labelled documents (a documented bound, the
 smallest crc32 of the id first).
 
@@ -33,10 +37,19 @@ INSULT = ("idiot", "moron", "stupid", "clown", "loser")
 CONTEMPT = ("scum", "trash", "worthless", "pathetic", "disgusting")
 
 
+#: Letters of the beginnings that are looked at.
+BEGINNINGS = range(3, 8)
+
+
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def marks(word: str) -> list[str]:
+    """The word and its beginnings, the latter with a star."""
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
     """Newton steps; the last weight is the intercept, which isn't shrunk."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -78,15 +91,19 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """log(1 + count) of each word of the vocabulary."""
-        x = np.zeros((len(texts), len(self.vocabulary)))
-        inside = set(self.vocabulary)
+        """log(1 + count) of each mark of the vocabulary, and of all words."""
+        x = np.zeros((len(texts), len(self.vocabulary) + 1))
+        known: dict[str, list[int]] = {}
         for i, t in enumerate(texts):
             found = words(t)
-            if not inside.isdisjoint(found):
-                for w, n in Counter(filter(inside.__contains__, found)).items():
-                    x[i, self.place[w]] = np.log1p(n)
-        return x
+            x[i, -1] = len(found)
+            for w, n in Counter(found).items():
+                at = known.get(w)
+                if at is None:
+                    at = known[w] = [self.place[m] for m in marks(w) if m in self.place]
+                for j in at:
+                    x[i, j] += n
+        return np.log1p(x)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """[texts, categories]: each probability feeds the later ones."""
@@ -97,7 +114,7 @@ class Chain:
         return np.stack(out, 1) if out else np.zeros((len(x), 0))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: float = 0.08, most: int = 256, label: str = "toxic") -> Chain | None:
+def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: float = 0.04, gain: float = 14.0, most: int = 128, label: str = "toxic") -> Chain | None:
     """None if the sample lacks positives or negatives."""
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter("y in (0, 1)").distinct().orderBy(order, "doc_id", "y").limit(sample)
@@ -107,7 +124,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: flo
         for batch in slices(batches, "text"):
             got = {0: Counter(), 1: Counter()}
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got[y].update({*words(text), ""})  # "" counts the rows
+                got[y].update({"", *(m for w in {*words(text)} for m in marks(w))})  # "" counts the rows
             for y, c in got.items():
                 yield pa.record_batch({"word": pa.array(list(c), pa.string()), "y": pa.array([y] * len(c), pa.int32()), "n": pa.array(list(c.values()), pa.int64())})
 
@@ -116,8 +133,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: flo
     if total is None or not total.p or not total.q:
         return None
     lift = F.expr(f"(p + 0.5) / {total.p + 1}D / ((q + 0.5) / {total.q + 1}D)")
-    held = sums.filter(f"word <> '' and p >= greatest(2, {share} * {total.p})").withColumn("lift", lift).filter("lift > 1.5").orderBy(F.desc("lift"), "word").limit(most)
-    vocabulary = sorted(r.word for r in held.collect())
+    held = sums.filter(f"word <> '' and p >= greatest(2, {share} * {total.p})").withColumn("lift", lift).withColumn("gain", F.expr("p * ln(lift)")).filter(f"lift > 3 and gain >= {gain}").orderBy(F.desc("gain"), "word").limit(most)
+    # beginnings in the same texts as a longer mark say nothing more
+    alone = {(r.p, r.q, r.word[: BEGINNINGS[0]]): r.word for r in sorted(held.collect(), key=lambda r: (len(r.word.rstrip("*")), r.word))}
+    vocabulary = sorted(alone.values())
     chain = Chain(vocabulary, ["insult", "contempt", "toxic"])
     blank = Chain(vocabulary, [])
 
