@@ -73,6 +73,12 @@ def test_secrets(spark):
     new = {r.text for r in secrets.redact(df, forest).collect()}
     assert 'erist token = "<secret>" and' in new and f"commit {hexes} merged" in new and None in new
     assert secrets.scan_report(df.limit(0), forest).count() == 0
+    # by spans: a known value goes wherever it is a candidate, a plain word that equals a short one stays
+    text = f'é {hexes} then token = "{hexes}"; password="Elephants#9" near Elephants#9s, end'
+    scored = {r.value: r.is_secret for r in secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest).filter("start > 20").collect()}
+    assert scored[hexes]
+    out = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest).first().text
+    assert hexes not in out and out.startswith("é <secret> then token =") and out.endswith("near Elephants#9s, end")
 
 
 def test_media_round_trip(docs):
@@ -249,6 +255,12 @@ def test_toxicity(spark, docs):
     got = {r.doc_id: r.is_toxic for r in toxicity.score_toxicity(d, chain).collect()}
     assert all(got[i] == bool(t) for i, _, t in rows)
     assert toxicity.drop_toxic(docs, chain).count() == docs.count() and toxicity.drop_toxic(docs, chain).columns == docs.columns
+    # an inflected stem, each time another word; clean texts hold it rarely
+    ends = [a + b for a in "aeiou" for b in "bdfgklmnprst"]
+    stem = [(i, _text(rng, 60) + " " + " ".join("krötz" + rng.choice(ends) for _ in range(3 if i % 4 == 0 else 0)), int(i % 4 == 0)) for i in range(400)]
+    d2 = spark.createDataFrame([r[:2] for r in stem], "doc_id long, text string")
+    c2 = toxicity.fit_chain(d2.filter("doc_id < 300"), spark.createDataFrame([(r[0], r[2]) for r in stem], "doc_id long, toxic int"))
+    assert all(r.is_toxic == (r.doc_id % 4 == 0) for r in toxicity.score_toxicity(d2.filter("doc_id >= 300"), c2).collect())
     assert toxicity.fit_chain(d, lab.filter("toxic = 0")) is None and toxicity.score_toxicity(docs, None).filter("is_toxic").count() == 0
 
 

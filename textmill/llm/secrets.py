@@ -155,7 +155,10 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame
 
 
 def _redacted() -> Column:
-    return F.expr("case when size(_secret) = 0 then text else aggregate(_secret, text, (t, x) -> replace(t, x.value, '<secret>')) end")
+    """The text with each span of ``_secret`` replaced; where a short value
+    stands as a plain word or in one, it stays."""
+    step = "named_struct('at', x.start + length(x.value), 'out', concat(a.out, substring(text, a.at + 1, x.start - a.at), '<secret>'))"
+    return F.expr(f"case when size(_secret) = 0 then text else aggregate(_secret, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.at + 1))) end")
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -166,7 +169,8 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _scored(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
-    """Adds _all, the candidates with scores, and _secret, those above."""
+    """Adds _all, the candidates with scores, and _secret, those above and
+    others of the same value."""
     pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
     none = F.lit(None).cast("array<string>")
     has = F.col("text").rlike(CANDIDATE)
@@ -179,7 +183,9 @@ def _scored(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
     scored = F.expr(f"transform(_feat, x -> named_struct('start', x.start, 'value', x.value, 'score', {forest.sql('x.features')}))")
     empty = F.expr("cast(array() as array<struct<start:int,value:string,score:double>>)")
     out = _once(feat, _all=F.coalesce(scored, empty))
-    return _once(out, _secret=F.expr(f"filter(_all, x -> x.score >= {threshold}D)"))
+    # a value that is a secret in one place is one in all others of the text
+    found = _once(out, _bad=F.expr(f"array_distinct(transform(filter(_all, x -> x.score >= {threshold}D), x -> x.value))"))
+    return _once(found, _secret=F.when(F.size("_bad") > 0, F.expr("filter(_all, x -> array_contains(_bad, x.value))")).otherwise(empty))
 
 
 def described(x, path: Column | None = None) -> list[Column]:
