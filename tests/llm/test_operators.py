@@ -229,6 +229,24 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_template_family(spark):
+    # one group above a piece, pairwise 0.7; each pair has no other partner
+    rng = random.Random(11)
+    base = ["t%d" % i for i in range(120)]
+    rows, pairs = [], []
+    for i in range(1300):
+        words = list(base)
+        for p in (20, 45, 70, 95):
+            words[p] = "own%d_%d" % (i, p)
+        rows.append((len(rows), " ".join(words)))
+        if i % 40 == 0:
+            words[rng.choice([5, 33, 58, 110])] = "edit%d" % i
+            pairs.append((len(rows) - 1, len(rows)))
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), piece=128).collect()}
+    assert all(got[b] == a for a, b in pairs) and len(set(got.values())) == 1300
+
+
 def test_alignment_against_dynamic_programming():
     rng = random.Random(6)
     for _ in range(30):

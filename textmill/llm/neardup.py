@@ -15,13 +15,12 @@ Nothing is dropped or capped:
 * exact copies (equal words) are folded into one representative first;
 * a sketch's bucket yields a star and not all pairs: texts whose 64-slot
   signatures agree within five standard deviations of the threshold are joined
-  to a root; buckets above ``piece`` texts are dealt over salted pieces, every
-  piece with the same few pivots, by another salt for each sketch;
+  to a root; the texts of a bucket above ``piece`` texts are all joined;
 * the candidate groups that result are verified by alignment, where texts that
   are linked already need no further alignment.  Groups above ``piece`` texts
-  are verified in salted pieces in ``rounds`` rounds with other salts, and then
-  by the representatives of what the pieces have found, piece by piece, until
-  they fit one task.
+  are verified in salted pieces in ``rounds`` rounds with other salts; after
+  them, every pair that shares a label of its prefixes (the rarest labels) and
+  isn't linked yet is aligned, so that no pair depends on the salts.
 
 Null texts count as empty; texts below five words are one shingle (all empty
 texts are one class); null ids and repeated rows are kept as rows, the class is
@@ -207,19 +206,15 @@ def _stars(rows: pa.RecordBatch) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_links(texts: DataFrame, piece: int, pivots: int) -> DataFrame:
-    """(a, b) between representatives that share a sketch and look alike."""
+def candidate_links(texts: DataFrame, piece: int) -> DataFrame:
+    """(a, b) between representatives that share a sketch and look alike; all
+    of a bucket above ``piece`` texts is linked, and left to verification."""
     flat = texts.select("doc_id", F.posexplode("sketch").alias("i", "sk"))
     crowded = flat.groupBy("i", "sk").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).filter("n > 1")
     held = flat.join(crowded, ["i", "sk"])
-    pieces = F.ceil(F.col("n") / piece)
-    salt = F.pmod(F.xxhash64("doc_id", "i"), pieces)
-    # in every piece of a large bucket: its root and some texts more
-    all_over = F.when(F.col("n") <= piece, F.array(salt)).when((F.col("doc_id") == F.col("low")) | (F.pmod(F.xxhash64(F.lit("pivot"), "doc_id", "i") , F.col("n")) < pivots), F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.array(salt))
-    dealt = held.withColumn("salt", F.explode(all_over)).select("i", "sk", "salt", "doc_id")
-    dealt = dealt.join(texts.select("doc_id", "size", "sig"), "doc_id")
-
-    return by_group(dealt, ["i", "sk", "salt"], _stars)
+    small = held.filter(F.col("n") <= piece).select("i", "sk", "doc_id").join(texts.select("doc_id", "size", "sig"), "doc_id")
+    large = held.filter((F.col("n") > piece) & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    return by_group(small, ["i", "sk"], _stars).unionByName(large.distinct())
 
 
 def _verified(ids: np.ndarray, seqs: list[np.ndarray], sigs: np.ndarray) -> list[tuple[int, int]]:
@@ -265,7 +260,7 @@ def near_duplicates(docs: DataFrame, count: int = 12, length: int = 3, piece: in
     described = cut(describe(docs, count, length))
     folded = described.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.min_by(F.struct("size", "sketch", "sig"), "doc_id").alias("x"))
     texts = cut(folded.filter("text_id is not null").select("key", F.col("text_id").alias("doc_id"), "x.*"))
-    loose = components(candidate_links(texts, piece, pivots))
+    loose = components(candidate_links(texts, piece))
     groups = cut(loose.unionByName(loose.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "doc_id"))
 
     def packed(batches):
@@ -276,29 +271,82 @@ def near_duplicates(docs: DataFrame, count: int = 12, length: int = 3, piece: in
     members = docs.select("doc_id", text_or_empty().alias("text")).join(groups.select("doc_id"), "doc_id", "left_semi")
     words = cut(members.mapInArrow(packed, "doc_id long, words binary").dropDuplicates(["doc_id"]))
     links = cut(verified_links(groups, words, piece, pivots, rounds))
-    merged = _merge_pieces(groups, words, links, piece)
+    merged = _across_pieces(groups, words, links, piece)
     classes = components(merged).withColumnRenamed("id", "text_id").withColumnRenamed("root", "class_id")
     of_text = texts.select("key", F.col("doc_id").alias("text_id")).join(classes, "text_id", "left").select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
     return described.select("doc_id", "key").join(of_text, "key", "left").select("doc_id", "class_id", "text_id")
 
 
-def _merge_pieces(groups: DataFrame, words: DataFrame, links: DataFrame, piece: int, levels: int = 4) -> DataFrame:
-    """Adds links between what the pieces of large groups have found: the
-    representatives of their components (smallest, and by two hashes) are
-    verified among themselves."""
+#: Bins of the table of label frequencies; labels that share one are only
+#: ordered worse.
+BINS = 1 << 18
+
+
+def _prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The labels, rarest first, that a text shares at least one of with every
+    text it reaches the threshold with: all but ceil(0.8 n) - 1 of n, in an
+    order that is the same for all texts."""
+    n = len(s)
+    keep = n - int(np.ceil(THRESHOLD * n - 1e-9)) + 1
+    return s[np.lexsort((s, often[(s & np.uint64(BINS - 1)).astype(np.int64)]))][:keep]
+
+
+def _across_pieces(groups: DataFrame, words: DataFrame, links: DataFrame, piece: int) -> DataFrame:
+    """Adds the links of groups above ``piece`` texts that no piece has shown.
+    Of two texts in different components of ``links``, a pair must share a
+    label in the prefixes of both (Xiao et al. 2011: the smaller text's up to
+    n - ceil(2 t / (1 + t) n) + 1 labels, and enough labels after it); every
+    such pair is aligned."""
     large = groups.groupBy("root").agg(F.count("*").alias("n")).filter(f"n > {piece}").select("root")
-    for _ in range(levels):
-        if large.isEmpty():
-            break
-        found = components(links)
-        own = groups.join(large, "root").join(found.select(F.col("id").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left")
-        own = own.withColumn("part", F.coalesce("part", "doc_id"))
-        pick = own.groupBy("root", "part").agg(F.min("doc_id").alias("x"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("y"), F.max_by("doc_id", F.xxhash64("doc_id")).alias("z"))
-        chosen = pick.select("root", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("doc_id")).distinct()
-        several = pick.groupBy("root").agg(F.count("*").alias("parts")).filter("parts > 1").select("root")
-        again = cut(chosen.join(several, "root").select("doc_id", "root"))
-        more = cut(verified_links(again, words, piece, 8, 2).join(links, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links = cut(links.unionByName(more))
-    return links
+    if large.isEmpty():
+        return links
+    found = components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("part"))
+    own = groups.join(large, "root").join(found, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    several = own.groupBy("root").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("root")
+    own = cut(own.join(several, "root").join(words, "doc_id"))
+
+    def binned(batches):
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for w in batch.column("words"):
+                total += np.bincount((labels(w.as_py().split(b" ")) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"bin": pa.array(at), "n": pa.array(total[at])})
+
+    often = np.zeros(BINS, np.int64)
+    for r in own.select("words").mapInArrow(binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        often[r.bin] = r.n
+    shared = own.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches):
+        for batch in slices(batches, "words"):
+            out = []
+            for i, w in enumerate(batch.column("words")):
+                s = labels(w.as_py().split(b" "))
+                p = _prefix(s, shared.value).view(np.int64)
+                out.append((np.full(len(p), i), p, np.arange(len(p)), np.full(len(p), len(s))))
+            row, label, place, size = (np.concatenate(x) for x in zip(*out, strict=True))
+            of = batch.select(["root", "part", "doc_id"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(label), pa.array(place), pa.array(size)], ["root", "part", "doc_id", "label", "place", "size"])
+
+    rows = cut(own.mapInArrow(prefixes, "root long, part long, doc_id long, label long, place long, size long"))
+    crowded = rows.groupBy("root", "label").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("root", "label", F.ceil(F.col("n") / piece).alias("pieces"))
+    rows = rows.join(crowded, ["root", "label"])
+    # a crowded label's pairs: every block of the smaller texts against all
+    names = ("part", "doc_id", "place", "size")
+    least = f"ceil({2 * THRESHOLD / (1 + THRESHOLD)!r} * size - 1e-9)"
+    a = rows.filter(F.expr(f"place <= size - {least}")).select("root", "label", F.pmod(F.xxhash64("doc_id"), "pieces").alias("salt"), *[F.col(k).alias(f"{k}_a") for k in names])
+    b = rows.select("root", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("salt"), *[F.col(k).alias(f"{k}_b") for k in names])
+    need = F.expr(f"ceil({THRESHOLD / (1 + THRESHOLD)!r} * (size_a + size_b) - 1e-9)")
+    reach = 1 + F.least(F.expr("size_a - place_a - 1"), F.expr("size_b - place_b - 1"))
+    near = (F.col("part_a") != F.col("part_b")) & F.expr("size_a <= size_b") & (reach >= need)
+    pairs = a.join(b, ["root", "label", "salt"]).filter(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+    def kept(batches):
+        for batch in slices(batches, "words_b"):
+            hit = [aligned(labels(x.as_py().split(b" ")), labels(y.as_py().split(b" "))) >= THRESHOLD for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    of = [words.select(F.col("doc_id").alias(k), F.col("words").alias(f"words_{k}")) for k in ("a", "b")]
+    more = pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "words_a", "words_b").mapInArrow(kept, "a long, b long")
+    return cut(links.unionByName(more))
