@@ -247,6 +247,17 @@ def test_near_duplicates_in_a_template_family(spark):
     assert all(got[b] == a for a, b in pairs) and len(set(got.values())) == 1300
 
 
+def test_near_duplicates_of_short_texts():
+    # one word after nine: 5 and 6 labels, 5 in common; after eight: 4 and 5
+    for n in (8, 9, 12, 20):
+        for g in range(500):
+            w = [b"w%d_%d" % (g, i) for i in range(n)]
+            a, b = neardup.labels(w), neardup.labels([*w, b"more%d" % g])
+            assert neardup._verified(np.array([1, 2]), [a, b]) == [(2, 1)]
+            rows = neardup.pa.record_batch({"doc_id": neardup.pa.array([1, 2]), "size": neardup.pa.array([len(a), len(b)]), "sig": neardup.pa.array([neardup.signature(x).tobytes() for x in (a, b)], neardup.pa.binary())})
+            assert neardup._stars(rows) == [(2, 1)]
+
+
 def test_alignment_against_dynamic_programming():
     rng = random.Random(6)
     for _ in range(30):

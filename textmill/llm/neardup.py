@@ -14,7 +14,8 @@ Nothing is dropped or capped:
 
 * exact copies (equal words) are folded into one representative first;
 * a sketch's bucket yields a star and not all pairs: texts whose 64-slot
-  signatures agree within five standard deviations of the threshold are joined
+  signatures agree within five standard deviations of the threshold, or the
+  smaller of which has few labels, are joined
   to a root; the texts of a bucket above ``piece`` texts are all joined;
 * the candidate groups that result are verified by alignment, where texts that
   are linked already need no further alignment.  Groups above ``piece`` texts
@@ -157,13 +158,6 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return m / (n - m)
 
 
-def _likely(sig: np.ndarray, size: np.ndarray, slots: int, ratio: float):
-    """For each text, the earlier texts that may be near-duplicates."""
-    for j in range(1, len(sig)):
-        near = (np.minimum(size[:j], size[j]) >= ratio * np.maximum(size[:j], size[j])) & ((sig[:j] == sig[j]).sum(1) >= slots)
-        yield j, np.flatnonzero(near)
-
-
 def describe(docs: DataFrame, count: int, length: int) -> DataFrame:
     """(doc_id, key, size, sketch array, sig): one row for each document."""
     def described(batches):
@@ -181,8 +175,9 @@ def describe(docs: DataFrame, count: int, length: int) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(described, "doc_id long, key binary, size long, sketch array<long>, sig binary")
 
 
-#: Slots that a pair of similarity 0.8 agrees on in all but 3 of 10^6 cases.
-LIKELY_SLOTS = 34
+#: Slots that a pair of similarity 0.8 agrees on in all but 3 of 10^6 cases;
+#: below ``FEW`` labels borrowed slots hang together and decide nothing.
+LIKELY_SLOTS, FEW = 34, 128
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -196,7 +191,11 @@ def _stars(rows: pa.RecordBatch) -> list[tuple[int, int]]:
     order = np.lexsort((ids, size))
     ids, size, sig = ids[order], size[order], _signatures(rows.column("sig"))[order]
     root, out = np.arange(len(ids)), []
-    for j, near in _likely(sig, size, LIKELY_SLOTS, THRESHOLD - 1e-9):
+    for j in range(1, len(ids)):
+        # by size, so that the earlier text is the smaller one
+        first = int(np.searchsorted(size[:j], (THRESHOLD - 1e-9) * size[j]))
+        likely = (size[first:j] < FEW) | ((sig[first:j] == sig[j]).sum(1) >= LIKELY_SLOTS)
+        near = first + np.flatnonzero(likely)
         if len(near):
             found = np.unique(root[near])
             out += [(int(ids[j]), int(ids[r])) for r in found]
@@ -217,13 +216,21 @@ def candidate_links(texts: DataFrame, piece: int) -> DataFrame:
     return by_group(small, ["i", "sk"], _stars).unionByName(large.distinct())
 
 
-def _verified(ids: np.ndarray, seqs: list[np.ndarray], sigs: np.ndarray) -> list[tuple[int, int]]:
+def _verified(ids: np.ndarray, seqs: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links by alignment among a piece's texts; texts that are linked already
-    need no further one."""
+    need no further one, nor do those with too few labels in common."""
     root, out = np.arange(len(ids)), []
     size = np.array([len(s) for s in seqs])
-    for j, near in _likely(sigs, size, LIKELY_SLOTS, THRESHOLD - 1e-9):
-        todo = near[np.argsort(-(sigs[near] == sigs[j]).sum(1), kind="stable")]
+    start = np.concatenate([[0], np.cumsum(size)])
+    names, number = np.unique(np.concatenate(seqs), return_inverse=True)
+    number, held = number.astype(np.int32), np.zeros(len(names), bool)
+    for j in range(1, len(ids)):
+        own = number[start[j] : start[j + 1]]
+        held[own] = True
+        shared = np.add.reduceat(held[number[: start[j]]], start[:j], dtype=np.int64)
+        held[own] = False
+        near = np.flatnonzero(shared >= (THRESHOLD - 1e-9) * (size[:j] + size[j] - shared))
+        todo = near[np.argsort(-shared[near], kind="stable")]
         while len(todo):
             i, todo = int(todo[0]), todo[1:]
             if aligned(seqs[i], seqs[j]) >= THRESHOLD:
@@ -236,8 +243,7 @@ def _verified(ids: np.ndarray, seqs: list[np.ndarray], sigs: np.ndarray) -> list
 def _aligned_links(rows: pa.RecordBatch) -> list[tuple[int, int]]:
     ids, first = np.unique(rows.column("doc_id").to_numpy(), return_index=True)
     words = rows.column("words")
-    seqs = [labels(words[i].as_py().split(b" ")) for i in first.tolist()]
-    return _verified(ids, seqs, np.stack([signature(s) for s in seqs])) if len(ids) > 1 else []
+    return _verified(ids, [labels(words[i].as_py().split(b" ")) for i in first.tolist()]) if len(ids) > 1 else []
 
 
 def verified_links(groups: DataFrame, words: DataFrame, piece: int, pivots: int, rounds: int) -> DataFrame:
