@@ -121,6 +121,23 @@ def test_mixing_apportions(docs):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_mixing_gives_every_row_its_own_plan(spark):
+    # rows without an id, and repeated ids, of unlike and of like sizes
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 7, _text(rng, 10 + 9 * (i % 40)), "en", "s%d" % (i % 3), 0, "x", 1) for i in range(160)]
+    rows += [(None, None, "en", "s0", 0, "x", 1), (None, "", "en", "s1", 0, "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    planned = mixing.plan(df)
+    want = {r.source: r.n for r in planned.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got, most = collections.Counter(), collections.Counter()
+    for r in mixing.mixed_documents(df, planned).collect():
+        got[r.source] += len((r.text or "").split())
+        most[r.source, r.text] += 1
+    assert got == want
+    held = collections.Counter((r[3], r[1]) for r in rows)
+    assert all(most[k] <= 3 * held[k] for k in most if k in held)
+
+
 def test_quality_marginals_are_exact():
     rng = np.random.default_rng(3)
     f = quality.LineField()

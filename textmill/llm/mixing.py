@@ -149,11 +149,21 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
     import re
 
     word = re.compile(WORD)
-    # rows that agree in id and source have the same plan only if it is one
-    key = planned.groupBy("doc_id", "source").agg(F.max("whole").alias("_whole"), F.max("parts").alias("_parts"))
-    taken = key.filter("_whole > 0 or size(_parts) > 0").withColumnRenamed("doc_id", "_d").withColumnRenamed("source", "_s")
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_d")) & docs.source.eqNullSafe(F.col("_s")))
-    joined = joined.select(*[docs[c] for c in docs.columns], "_whole", F.expr("transform(_parts, x -> x.start)").alias("_from"), F.expr("transform(_parts, x -> x.end)").alias("_to"))
+    from pyspark.sql import Window
+
+    # a plan fits every text of its size: rows that agree in id, source and
+    # size take theirs one by one
+    keys = ["_d", "_dn", "_s", "_sn", "_size", "_no"]
+
+    def numbered(df, size, order):
+        df = df.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_dn": F.col("doc_id").isNull(), "_s": F.coalesce("source", F.lit("")), "_sn": F.col("source").isNull(), "_size": size})
+        return df.withColumn("_no", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(*order)))
+
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = numbered(docs, words, [F.xxhash64("text"), "text"])
+    own = numbered(planned, F.col("size"), ["whole", "parts"]).filter("whole > 0 or size(parts) > 0")
+    own = own.select(*keys, F.col("whole").alias("_whole"), F.expr("transform(parts, x -> x.start)").alias("_from"), F.expr("transform(parts, x -> x.end)").alias("_to"))
+    joined = rows.join(own, keys).select(*docs.columns, "_whole", "_from", "_to")
     schema = docs.schema
     names = docs.columns
     where = names.index("text")
