@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,30 +169,84 @@ def test_quality_learns_and_handles_edges(spark, docs):
 
 
 def test_encoder_equals_library():
+    rng = random.Random(1)
+    some = ["a", "B", " ", "\n", "'s", "é", "ß", "1", "İ", "\u0301", "x", "The", "👍", ",", "…", "—"]
+    odd = [*some, "\t", "\u2003", "\u00a0", "\u200b", "\u3000", "\ufeff", "\x00", "<|endoftext|>"]
+    fixed = ["", " ", "a", "a  b", "\tx\r\n", "It's 12 345 o'clock\nÉlan ﬁ ½² Σας", "x<|endoftext|>y", "tail ", " n\u200bb", "a\n\nb", "👍🏽 ok!!???"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = FastEncoder(vocabulary(name))
-        for t in ["", " ", "a", "a  b", "\tx\r\n", "It's 12 345 o'clock\nÉlan ﬁ ½² Σας", "x<|endoftext|>y", "tail ", " n​b", "a\n\nb", "👍🏽 ok!!???"]:
-            assert e.encode(t) == np.array(e.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
-
-
-def test_token_files(docs, tmp_path):
-    d = docs.filter("doc_id is not null")
-    e = FastEncoder(vocabulary("byte_bpe_50k.json"))
-    rows = sorted((r.doc_id, r.text or "") for r in d.collect())
-    got = {r.doc_id: r for r in tokenfile.encode_and_read(d, vocabulary("byte_bpe_50k.json")).collect()}
-    start = 0
-    for i, t in rows:
-        ids = e.encode(t) + np.array([2], "<u4").tobytes()
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
-        start += len(ids) // 4
-    m = tokenfile.write_sequences(d.repartition(1), vocabulary("byte_bpe_50k.json"), str(tmp_path)).orderBy("file_no").first()
-    ids, mask = tokenfile.sequence(m.path, 0)
-    assert len(ids) == len(mask) == tokenfile.LENGTH and mask.all()
+        for limit in (FastEncoder(vocabulary(name)).limit, 3):  # 3: the table of known units is full at once
+            e = FastEncoder(vocabulary(name), limit)
+            texts = fixed + ["".join(rng.choice(some if rng.random() < 0.9 else odd) for _ in range(rng.randrange(12))) for _ in range(1500)]
+            for part in (texts[:700], texts[700:], texts):
+                ids, at = e.encode_column(pa.array(part).slice(1))
+                for i, t in enumerate(part[1:]):
+                    assert ids[at[i] : at[i + 1]].tolist() == e.whole.encode(t, add_special_tokens=False).ids, t
+            assert e.encode_column(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def _expected_ids(docs, name, end):
+    whole = FastEncoder(vocabulary(name)).whole
+    return [(r.doc_id, np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, end], "<u4")) for r in docs.collect()]
+
+
+def test_token_files(spark, docs, tmp_path):
+    # null and repeated ids too: nulls first, repeated ones in any fixed order
+    d = docs.unionByName(spark.createDataFrame([(None, "no id either"), (5, "again five"), (5, "again five")], "doc_id long, text string"), allowMissingColumns=True)
+    want = collections.defaultdict(list)
+    for i, ids in _expected_ids(d, "byte_bpe_50k.json", 2):
+        want[i].append((len(ids), zlib.crc32(ids.tobytes())))
+    got = sorted(tokenfile.encode_and_read(d, vocabulary("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+    start, last, held = 0, -1, collections.defaultdict(list)
+    for r in got:
+        assert r.start == start and (r.doc_id is None and last == -1 or r.doc_id is not None and r.doc_id >= last)
+        start += r.n_tokens
+        last = -1 if r.doc_id is None else r.doc_id
+        held[r.doc_id].append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in held.items()} == {k: sorted(v) for k, v in want.items()}
     assert tokenfile.encode_and_read(d.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_packing(docs):
-    got = packing.pack_documents(docs, vocabulary("word_bpe_49k.json")).collect()
+def test_sequences_are_read_without_those_before(docs, tmp_path, monkeypatch):
+    d = docs.filter("doc_id is not null")
+    monkeypatch.setattr(tokenfile, "BATCH", 3)
+    m = tokenfile.write_sequences(d.repartition(1), vocabulary("byte_bpe_50k.json"), str(tmp_path), length=64).orderBy("file_no").collect()
+    whole = np.concatenate([ids for _, ids in sorted(_expected_ids(d, "byte_bpe_50k.json", 2), key=lambda x: x[0])])
+    at = 0
+    for f in m:
+        with pa.memory_map(f.path) as source:
+            kept = bytearray(source.read())
+        for k in range(f.sequences):
+            ids, mask = tokenfile.sequence(f.path, k)
+            n = mask.true_count
+            assert ids.dtype == np.uint16 and not ids.flags.owndata and len(ids) == len(mask) == 64
+            assert mask.buffers()[1].address < ids.ctypes.data + f.sequences * 200 and not any(mask[n:].to_pylist())
+            assert ids[:n].tolist() == whole[at : at + n].tolist()
+            at += n
+        with pytest.raises(IndexError):
+            tokenfile.sequence(f.path, f.sequences)
+        if f.sequences > 9:  # the second batch is spoilt: the third is read all the same
+            with pa.memory_map(f.path) as source:
+                schema = pa.ipc.read_schema(source)
+                head = source.tell()
+                pa.ipc.read_message(source)
+                size = source.tell() - head
+            want = tokenfile.sequence(f.path, 6)[0].tolist()
+            kept[head + size : head + 2 * size] = bytes(size)
+            spoilt = str(tmp_path / "spoilt.arrows")
+            open(spoilt, "wb").write(kept)
+            assert tokenfile.sequence(spoilt, 6)[0].tolist() == want and schema.metadata[b"format"] == b"token-sequences"
+    assert at == len(whole)
+
+
+@pytest.mark.parametrize("ranked", [3, packing.RANKED])
+def test_packing(spark, docs, ranked):
+    d = docs.unionByName(spark.createDataFrame([(None, "no id either"), (5, "again five"), (5, "again five")], "doc_id long, text string"), allowMissingColumns=True)
+    got = packing.pack(packing.cut(packing.pieces(d, vocabulary("word_bpe_49k.json"))), ranked=ranked).collect()
+    want = collections.Counter()
+    for i, ids in _expected_ids(d, "word_bpe_49k.json", 0):
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want[i, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     bins = collections.defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -201,7 +256,8 @@ def test_packing(docs):
             assert o == at
             at += n
         assert at <= 2048
-    assert len({(r.doc_id, r.piece) for r in got}) == len(got) and max(r.piece for r in got) > 0
+    assert max(r.piece for r in got) > 0 and len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
+    assert packing.pack_documents(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
 def test_packing_plan_is_best_fit():

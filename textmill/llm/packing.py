@@ -6,8 +6,9 @@ with documents: lengths from the longest down, each placed where the least
 room is left that holds it (best fit, decreasing).  Bins with equal room are
 one entry, so the plan has a few entries for each length whatever the number
 of documents.  Pieces then take the planned slots by their rank within their
-length.  Ranks are counted within (length, salt), so that a frequent length is
-many tasks; the salts' counts give each its first rank.
+length.  Ranks are counted within (length, salt), with as many salts for a
+length as its pieces need, so that a frequent length is many tasks; the salts'
+counts give each its first rank.
 
 Null and empty texts are the end id alone; repeated rows are packed each; an
 empty table gives an empty result.  Pieces of a document may lie in different
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_or_empty
-from .vocab import encoder
+from .vocab import encoder, with_end
 
-MOST, END_ID, SALTS = 2048, 0, 64
+MOST, END_ID = 2048, 0
+#: Pieces of one length that a task ranks at least, and the most tasks.
+RANKED, PARTS = 1000, 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,38 +83,45 @@ def plan_counts(counts: dict[int, int], most: int = MOST) -> list[tuple[int, int
 def pieces(docs: DataFrame, vocabulary: str, most: int = MOST, end_id: int = END_ID) -> DataFrame:
     """PIECES of every row of ``docs`` (doc_id, text)."""
     def made(batches):
-        encode = encoder(vocabulary).encode
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text"):
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text) + end
-                for at in range(0, len(ids), 4 * most):
-                    part = ids[at : at + 4 * most]
-                    out.append((doc, at // (4 * most), at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.record_batch({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())))})
+        encode = encoder(vocabulary).encode_column
+        for batch in slices(batches, "text", 4 << 20):
+            ids, offsets = with_end(*encode(batch.column("text")), end_id)
+            n = np.diff(offsets)
+            cuts = -(-n // most)
+            row = np.repeat(np.arange(len(n)), cuts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = piece * most
+            length = np.minimum(n[row] - start, most)
+            data = np.ascontiguousarray(ids.astype("<u4"))
+            first = offsets[row] + start
+            crc = [zlib.crc32(data[a : a + m]) for a, m in zip(first.tolist(), length.tolist(), strict=True)]
+            yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64())})
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(made, PIECES)
 
 
-def pack(cut_pieces: DataFrame, most: int = MOST) -> DataFrame:
+def pack(cut_pieces: DataFrame, most: int = MOST, ranked: int = RANKED) -> DataFrame:
     """PIECES with sequence_id and offset."""
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)))
-    # at most ``most`` x SALTS rows, whatever the input
+    spark = cut_pieces.sparkSession
+    # at most ``most`` rows, and below ``most`` + PARTS salts
+    counts = {r.length: r.n for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    share = max(ranked, -(-sum(counts.values()) // PARTS))
+    salts = {k: -(-n // share) for k, n in counts.items()}
+    dealt = F.broadcast(spark.createDataFrame(list(salts.items()), "length long, salts long"))
+    salted = cut_pieces.join(dealt, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts"))
     found = sorted((r.length, r.salt, r.n) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    bases: dict[int, list[int]] = {}
+    before: dict[int, int] = {}
+    bases: dict[int, list[int]] = {k: [0] * n for k, n in salts.items()}
     for length, salt, n in found:
-        bases.setdefault(length, [0] * SALTS)[int(salt)] = counts.get(length, 0)
-        counts[length] = counts.get(length, 0) + n
+        bases[length][int(salt)] = before.get(length, 0)
+        before[length] = before.get(length, 0) + n
     slots: dict[int, list[tuple]] = {}
     for length, *entry in plan_counts(counts, most):
         slots.setdefault(length, []).append(tuple(entry))
-    spark = cut_pieces.sparkSession
     table = spark.createDataFrame([(k, bases[k], v) for k, v in slots.items()], "length long, base array<long>, slots array<struct<rank:long,n:long,sequence:long,per:long,offset:long>>")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = salted.withColumn("_r", rank - 1).join(F.broadcast(table), "length").withColumn("_r", F.col("_r") + F.expr("base[cast(salt as int)]"))
-    placed = ranked.withColumn("_s", F.expr("filter(slots, s -> _r >= s.rank and _r < s.rank + s.n)[0]")).withColumn("_t", F.expr("_r - _s.rank"))
+    placed = salted.withColumn("_r", rank - 1).join(F.broadcast(table), "length").withColumn("_r", F.col("_r") + F.expr("base[cast(salt as int)]"))
+    placed = placed.withColumn("_s", F.expr("filter(slots, s -> _r >= s.rank and _r < s.rank + s.n)[0]")).withColumn("_t", F.expr("_r - _s.rank"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("_s.sequence + _t div _s.per").alias("sequence_id"), F.expr("_s.offset + _t % _s.per * length").alias("offset"))
 
 
