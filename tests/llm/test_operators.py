@@ -4,7 +4,9 @@ accuracy, and on nulls, empty texts and tables, ties and repeated rows."""
 import collections
 import hashlib
 import math
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -33,33 +35,86 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_lm_base_score_and_normalisation(docs):
-    rows = {r.doc_id: (r.text or "") for r in docs.filter("doc_id is not null").collect()}
-    toks = {i: [w.lower() for w in t.encode().split()] + [b" "] for i, t in rows.items()}
+def _lm_truth(rows):
+    """Tokens of each text, counts over the training ones."""
+    toks = [(i, [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode()) if w] + [b" "]) for i, t in rows]
     train = collections.Counter()
-    for i, w in toks.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
+    for i, w in toks:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
             train.update(w)
-    train.update([w.lower() for w in b"no id here at all".split()] + [b" "])
-    n, v = sum(train.values()), len(train)
-    got = {r.doc_id: r for r in lm.score_documents(docs, heads=8, tails=4, known=12).collect() if r.doc_id is not None}
-    assert len(got) == len(rows)
-    for i, w in toks.items():
-        assert got[i].n_tokens == len(w) and got[i].train_tokens == n and got[i].n_known == sum(train[x] > 0 for x in w)
-        assert math.isclose(got[i].base_score, sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert got[i].score < 0
+    return toks, train
 
 
-def test_lm_softmax_sums_to_one_and_learns():
+@pytest.mark.parametrize("known", [12, 1 << 17])
+def test_lm_against_brute_force(spark, docs, known):
+    # repeated rows and ids, one of them held out (1: remainder 2)
+    assert zlib.crc32(b"1") % 7 == 2
+    d = docs.unionByName(spark.createDataFrame([(1, "The second nine\x0b\x0cÀ la"), (5, "again five"), (5, "again five"), (1, None)], "doc_id long, text string"), allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    toks, train = _lm_truth(rows)
+    n, v = sum(train.values()), len(train)
+    # within a symbol: (c + 1) / (N + V + 1); symbols by the fitted model
+    frame = d.select("doc_id", lm.text_or_empty().alias("text"), (lm.remainder("doc_id", 7) == 2).alias("held_out"))
+    alphabet = lm.fit_alphabet(lm.cut(lm.count_tokens(frame.filter("not held_out"))), 8, 4, known)
+    model = lm.fit_model(lm.cut(lm.symbols(frame, alphabet)).filter("sym is not null and not held_out"), alphabet, 3, 16)
+    members = collections.defaultdict(list)
+    for w in train:
+        members[int(alphabet.ids([w])[1][0])].append(w)
+    mass = {s: sum(train[w] for w in ws) + len(ws) + 1 for s, ws in members.items()}
+    want = []
+    for i, w in toks:
+        sym = alphabet.ids(w)[1].tolist()
+        seq = [alphabet.end] * 3 + sym
+        score = 0.0
+        for k, s in enumerate(sym):
+            h = sum(model.parts[0][seq[k + 2 - j]] * model.parts[2][j] for j in range(3)).astype(float)
+            z = model.parts[1].astype(float) @ h + model.parts[3]
+            score += (z[s] - math.log(np.exp(z).sum())) / math.log(10)
+            if s >= alphabet.heads:
+                score += math.log10(train[w[k]] + 1) - math.log10(mass.get(s, 1))
+        base = sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)
+        want.append((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(train[x] > 0 for x in w), n, base, score))
+    got = lm.score_documents(d, heads=8, tails=4, known=known).select(*[f.split()[0] for f in lm.FIELDS.split(", ")]).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:4], round(r[5], 6))
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-3), (g, w)
+    assert lm.score_documents(docs.limit(0)).count() == 0
+
+
+def test_lm_gradient_and_normalisation():
     rng = np.random.default_rng(0)
-    m = lm.LogBilinear(np.array([5.0, 3, 2, 1]), dim=4, order=2)
-    seq = np.tile([0, 1, 2, 3], 2000).astype(np.int32)
-    ctx = np.stack([seq[1:-1], seq[:-2]], 1)
-    before = m.logprob(ctx, seq[2:]).mean()
-    for _ in range(3):
-        m.train(ctx, seq[2:], None, rng, noise=16)
-    assert m.logprob(ctx, seq[2:]).mean() > before
-    assert math.isclose(sum(np.exp(m.logprob(ctx[:1], np.array([k]))[0]) for k in range(4)), 1, rel_tol=1e-5)
+    m = lm.LogBilinear(np.array([5.0, 3, 2, 1, 4]), dim=3, order=2)
+    seq, target = rng.integers(0, 5, 40), (rng.random(38) < 0.8).astype(np.float32)
+    drawn = np.array([0, 3, 1, 1])
+
+    def objective():
+        r, q, c, b = (p.astype(float) for p in m.parts)
+        total = 0.0
+        for t in range(38):
+            h = r[seq[t + 1]] * c[0] + r[seq[t]] * c[1]
+            s = lambda w: h @ q[w] + b[w] - math.log(4 * m.noise[w])
+            total += target[t] * (-math.log1p(math.exp(-s(seq[t + 2]))) - sum(math.log1p(math.exp(s(w))) for w in drawn))
+        return total
+
+    got = m.gradients(seq, target, drawn)
+    for p, g in zip(m.parts, got, strict=True):
+        for at in [tuple(rng.integers(0, k) for k in p.shape) for _ in range(6)]:
+            old = p[at]
+            p[at] = old + 1e-2
+            high = objective()
+            p[at] = old - 1e-2
+            low = objective()
+            p[at] = old
+            assert math.isclose((high - low) / 2e-2, g[at], rel_tol=2e-2, abs_tol=2e-2)
+    assert math.isclose(sum(np.exp(m.logprob(np.array([*seq[:2], k]))[0]) for k in range(5)), 1, rel_tol=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+@pytest.mark.parametrize("parts", [4, 64])
+def test_lm_learns_whatever_the_split(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts, "doc_id")
+    r = lm.score_documents(docs).filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert (r.s - r.b) / r.n > 0.2, ((r.s - r.b) / r.n, r.b / r.n)
 
 
 def test_secrets(spark):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             yield batch.slice(at)
 
 
+@cache
+def one_thread() -> None:
+    """Matrix products of this process take one thread.  A worker has one core
+    for its task; with a thread for each core, small products wait for one
+    another and take three times the processor's time."""
+    names = [f"{a}openblas_set_num_threads{b}" for a in ("scipy_", "") for b in ("64_", "")]
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in names:
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def by_group(df: DataFrame, keys: list[str], links: Callable[[pa.RecordBatch], list[tuple[int, int]]]) -> DataFrame:
     """(a, b) that ``links`` makes of each group of two rows and more; keys are
     whole numbers.  Groups are runs of a sorted partition, so that a small one
