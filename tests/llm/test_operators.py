@@ -421,22 +421,47 @@ def test_toxicity(spark, docs):
     assert toxicity.fit_chain(d, lab.filter("toxic = 0")) is None and toxicity.score_toxicity(docs, None).filter("is_toxic").count() == 0
 
 
+def _exact(ids, v, q, x, k=10):
+    d = np.sqrt(((v - x) ** 2).sum(1))
+    at = [i for i in np.lexsort((ids, d)) if ids[i] != q][:k]
+    return [(int(ids[i]), float(d[i])) for i in at]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 16)).astype(np.float32)
     v[7] = v[3]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1100, [1.0, None] + [0.0] * 14)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1100, [1.0, None] + [0.0] * 14), (None, v[0].tolist()), (1200, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, block int, verified int")
     base = ann.usable(df)
-    assert base.count() == 600
+    assert base.count() == 601
     got = collections.defaultdict(list)
-    for r in ann.neighbours(base, base.filter("id % 100 = 0"), block=200, chunk=4).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    hits = 0
-    for q in range(0, 600, 100):
-        d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
-        d[q] = np.inf
-        hits += len(set(np.lexsort((np.arange(600), d))[:10]) & {i for i, _ in got[q]})
-        assert len(got[q]) == 10 and all(math.isclose(s, d[i], rel_tol=1e-12) for i, s in got[q])
-    assert hits >= 54
+    for block in (200, ann.BLOCK):
+        got.clear()
+        for r in ann.neighbours(base, base.filter("id % 100 = 0"), block=block).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        hits = 0
+        for q in range(0, 600, 100):
+            want = _exact(np.arange(600), v.astype(float), q, v[q].astype(float))
+            hits += len({i for i, _ in want} & {i for i, _ in got[q]})
+            assert len(got[q]) == 10 and all(math.isclose(s, np.sqrt(((v[i].astype(float) - v[q].astype(float)) ** 2).sum()), rel_tol=1e-12) for i, s in got[q])
+            assert got[q] == sorted(got[q], key=lambda x: (x[1], x[0]))
+        assert hits >= 54 and 1200 not in got
+    # repeated ids: one query, its smallest vector; equal vectors: smaller ids first
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((i, [0.0, 1.0]) for i in range(1, 30)), *((i, [0.0, 1.0]) for i in range(1, 3))], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.search_table(twice).orderBy("rank").collect()] == [(i, 0.0) for i in (1, 1, 2, 2, 3, 4, 5, 6, 7, 8)]
     assert ann.search_table(df.limit(0)).count() == 0
+
+
+def test_neighbours_verify_few(spark):
+    rng = np.random.default_rng(4)
+    for v in (rng.normal(size=(9000, 64)), rng.normal(size=(9000, 64)) * 0.2 + rng.normal(size=(60, 64))[rng.integers(0, 60, 9000)]):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(4)
+        got, verified = collections.defaultdict(set), {}
+        for r in ann.search_table(df).collect():
+            got[r.query_id].add(r.vec_id)
+            verified[r.query_id] = r.verified
+        recall = np.mean([len(got[q] & {i for i, _ in _exact(np.arange(9000), v, q, v[q])}) / 10 for q in range(0, 9000, 100)])
+        share = np.mean(list(verified.values())) / 9000
+        print("recall", recall, "verified", share)
+        assert recall >= 0.9 and share <= 0.1

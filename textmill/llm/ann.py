@@ -1,86 +1,109 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Every vector is projected on ``lines`` random directions; each block of the
-table keeps one sorted array of projections for each direction (QALSH, Huang et
-al. 2015).  A query opens a window around its own projection in every array
-and widens all windows step by step (virtual rehashing: the radius grows by
-``grow``, no array is rebuilt).  A vector that is in at least ``hits`` of the
-windows is a candidate and its distance is computed exactly.  A query stops
-when its k-th distance is below the radius that the windows stand for, or when
-every vector of the block has been verified.
-
-Blocks hold at most about ``block`` vectors and meet the queries in chunks, so
-a task's memory is bounded, every row is indexed, and nothing is broadcast
-that grows.  Each (chunk, block) task returns its k best; the k best of all
-blocks are a grouped minimum.
+Every vector is projected on ``lines`` directions (orthonormal bases drawn at
+random, so that the projections of one vector balance one another); each block
+of the table keeps one sorted array of projections for each direction (QALSH,
+Huang et al. 2015).  A query opens a window around its own projection in every
+array and widens all windows step by step (virtual rehashing: the radius grows
+by ``grow``, no array is rebuilt).  At radius r a window reaches ``width`` x r
+to both sides: a vector at distance r collides on a line with the probability
+that |N(0, 1)| < ``width``.  A vector that collides on the share ``hits`` of
+the lines is a candidate, and only candidates' distances are computed, exactly.
+A query stops when its k-th distance is within the radius that the windows
+stand for, or when every vector of the block has been verified.  Collisions
+are counted from the arrays' parts outside the windows where those are shorter.
+
+Rows are dealt to blocks in turn, whatever their ids; a block's arrays are
+built once, and the queries stream past them, so a task's memory is a block
+and a batch of queries.  Each (query, block) gives its k best; the k best of
+all blocks follow by rank, where partial ranks cut what is shuffled.
 
 Null vectors, zero vectors and those with null or non-finite components take
 no part; so do vectors of another length than the query's.  Equal distances go
-to the smaller id, repeated rows count each, fewer than k candidates are all
-returned, an empty table gives an empty result.
+to the smaller id, repeated rows count each, a repeated query id is one query
+(its smallest vector) and none of its rows is a candidate, fewer than k
+candidates are all returned, an empty table gives an empty result, other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES, HITS, GROW = 32, 12, 1.25
+from .common import one_thread
+
+LINES, WIDTH, HITS, GROW = 128, 1.5, 0.855, 1.08
+BLOCK = 32_768
 
 
 class SortedLines:
     """One block's projections, sorted on each line."""
 
-    def __init__(self, vectors: np.ndarray, lines: int = LINES, seed: int = 5):
-        self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], lines))
-        self.at = vectors @ self.directions
-        self.order = np.argsort(self.at, axis=0, kind="stable").T.copy()
-        self.value = np.take_along_axis(self.at, self.order.T, 0).T.copy()
-        self.vectors = vectors
-
-    def search(self, query: np.ndarray, own: np.ndarray, k: int, hits: int, grow: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and distances verified; ``own`` rows are left out."""
-        n, lines = len(self.at), len(self.value)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, lines: int = LINES, seed: int = 5):
+        n, d = vectors.shape
+        rng = np.random.default_rng(seed)
+        bases = [np.linalg.qr(rng.normal(size=(d, d)))[0] * np.sqrt(d) for _ in range(-(-lines // d))]
+        self.directions = np.concatenate(bases, 1)[:, :lines]
+        at = (vectors @ self.directions).T
+        self.ids, self.vectors, self.n = ids, vectors, n
+        self.order = np.argsort(at, axis=1, kind="stable").ravel()
+        # one ascending array for all lines: line i lies between 4i - 1 and 4i + 1
+        self.reach = max(float(np.abs(at).max()), 1e-300)
+        self.line = 4.0 * np.arange(at.shape[0])
+        self.value = (np.sort(at, axis=1) / self.reach + self.line[:, None]).ravel()
+        # the first radius: below most vectors' k-th distance in this block
+        some = vectors[rng.permutation(n)[:24]]
+        far = np.sqrt(np.maximum((some * some).sum(1)[:, None] + (vectors * vectors).sum(1) - 2 * some @ vectors.T, 0))
+        self.radius = 0.85 * float(np.quantile(np.partition(far, min(n - 1, k), axis=1)[:, min(n - 1, k)], 0.1))
+
+    def _bounds(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        edge = [np.clip((centre + s * half) / self.reach, -2, 2) + self.line for s in (-1, 1)]
+        return np.searchsorted(self.value, edge[0], "left"), np.searchsorted(self.value, edge[1], "right")
+
+    def _tally(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How often each row stands in the given stretches of the arrays."""
+        some = ends > starts
+        parts = [self.order[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+
+    def search(self, query: np.ndarray, own: int | None, k: int, hits: float = HITS, grow: float = GROW, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and distances of the k best that were verified, and how many
+        were; rows with the id ``own`` are left out."""
+        lines = len(self.line)
+        need = int(np.ceil(hits * lines - 1e-9))
         centre = query @ self.directions
-        low = np.array([np.searchsorted(v, c) for v, c in zip(self.value, centre, strict=True)])
-        high = low.copy()
-        count = np.zeros(n, np.int16)
-        taken = np.zeros(n, bool)
-        taken[own] = True
-        want = n - int(taken.sum())
-        rows, dist = [], []
-        got = 0
-        kth = np.inf
-        # the first radius: what holds some k of the nearest on an average line
-        gaps = np.abs(self.at - centre)
-        radius = max(float(np.partition(gaps, min(n - 1, 4 * k), axis=0)[min(n - 1, 4 * k)].mean()), 1e-12)
-        while got < want:
-            for i in range(lines):
-                a = int(np.searchsorted(self.value[i], centre[i] - radius, "left"))
-                b = int(np.searchsorted(self.value[i], centre[i] + radius, "right"))
-                count[self.order[i, a : low[i]]] += 1
-                count[self.order[i, high[i] : b]] += 1
-                low[i], high[i] = a, b
-            new = np.flatnonzero((count >= hits) & ~taken)
-            if (low == 0).all() and (high == n).all():
-                new = np.flatnonzero(~taken)
+        first = np.arange(lines) * self.n
+        last = first + self.n
+        taken = self.ids == own if own is not None else np.zeros(self.n, bool)
+        left = self.n - int(taken.sum())
+        rows, dist = np.zeros(0, np.int64), np.zeros(0)
+        radius, count, verified = self.radius, None, 0
+        while left:
+            low, high = self._bounds(centre, width * radius)
+            if count is None:
+                if (high - low).sum() * 2 < lines * self.n:
+                    count = self._tally(low, high)
+                else:
+                    count = lines - self._tally(np.concatenate([first, high]), np.concatenate([low, last]))
+            else:
+                count += self._tally(np.concatenate([low, before[1]]), np.concatenate([before[0], high]))
+            before = low, high
+            new = np.flatnonzero((count >= need) & ~taken)
             if len(new):
                 taken[new] = True
+                left -= len(new)
+                verified += len(new)
                 d = self.vectors[new] - query
-                d = np.sqrt((d * d).sum(1))
-                rows.append(new)
-                dist.append(d)
-                got += len(new)
-                if got >= k:
-                    every = np.concatenate(dist)
-                    kth = float(np.partition(every, k - 1)[k - 1])
-            # a vector at distance r is within the radius on a line with the
-            # probability that |N(0, 1)| < radius / r
-            if kth * 0.75 <= radius:
+                rows, dist = np.concatenate([rows, new]), np.concatenate([dist, np.sqrt((d * d).sum(1))])
+                best = np.lexsort((self.ids[rows], dist))[:k]
+                rows, dist = rows[best], dist[best]
+            if len(rows) >= k and dist[k - 1] <= radius:
                 break
-            radius *= grow
-        return (np.concatenate(rows), np.concatenate(dist)) if rows else (np.zeros(0, int), np.zeros(0))
+            radius = radius * grow if radius > 0 else self.reach / 1e6
+        return self.ids[rows], dist, verified
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -90,39 +113,63 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
     return vectors.filter(F.col(key).isNotNull() & F.col(column).isNotNull()).filter(fine).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
-def neighbours(base: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, chunk: int = 512, lines: int = LINES, hits: int = HITS, grow: float = GROW) -> DataFrame:
-    """(query_id, rank, vec_id, score) from frames of (id, v)."""
-    import pandas as pd
-
-    sizes = base.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
-    blocks, chunks = max(1, -(-sizes[0] // block)), max(1, -(-sizes[1] // chunk))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.select("id", "v", dealt(blocks).alias("block"), every(chunks).alias("chunk"))
-    right = queries.select("id", "v", every(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"))
-
-    def searched(key, rows, asked):
-        out: list[tuple] = []
-        widths = {len(v) for v in asked["v"]} if len(rows) and len(asked) else set()
-        for width in sorted(widths):
-            own = rows[rows["v"].map(len) == width]
-            ask = asked[asked["v"].map(len) == width]
-            if not len(own):
+def _by_width(parts: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vector length: (ids, [rows, length])."""
+    found: dict[int, list] = {}
+    for part in parts:
+        v = part.column("v")
+        size = v.value_lengths().to_numpy()
+        flat, start = v.flatten().to_numpy(), np.cumsum(size) - size
+        ids = part.column("id").to_numpy()
+        for w in np.unique(size).tolist():
+            at = np.flatnonzero(size == w)
+            found.setdefault(w, []).append((ids[at], flat[start[at][:, None] + np.arange(w)]))
+    return {w: tuple(np.concatenate(x) for x in zip(*got, strict=True)) for w, got in found.items()}
+
+
+def neighbours(base: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, lines: int = LINES, hits: float = HITS, grow: float = GROW) -> DataFrame:
+    """(query_id, rank, vec_id, score, verified) from frames of (id, v), ids of
+    queries distinct; ``verified``: distances computed for the query."""
+    blocks = max(1, -(-base.count() // block))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
+    rows = base.select(turn.alias("block"), F.lit(0).alias("kind"), "id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
+
+    def searched(batches):
+        one_thread()
+        last, held, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ids = own["id"].to_numpy()
-            index = SortedLines(np.stack(own["v"].to_list()).astype(float), lines)
-            for q, v in zip(ask["id"].tolist(), ask["v"], strict=True):
-                at, d = index.search(np.asarray(v, float), np.flatnonzero(ids == q), k, hits, grow)
-                best = np.lexsort((ids[at], d))[:k]
-                out += [(q, int(ids[at[i]]), float(d[i])) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(searched, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score")
+            key = batch.column("block").to_numpy().astype(np.int64) * 2 + batch.column("kind").to_numpy()
+            turns = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for start, end in zip(turns[:-1], turns[1:], strict=True):
+                number, kind = divmod(int(key[start]), 2)
+                part = batch.slice(start, end - start)
+                if number != last:
+                    last, held, index = number, [], None
+                if kind == 0:
+                    held.append(part)
+                    continue
+                if index is None:
+                    index = {w: SortedLines(ids, v, k, lines) for w, (ids, v) in _by_width(held).items()}
+                    held = []
+                out = []
+                for w, (ids, v) in _by_width([part]).items():
+                    for q, x in zip(ids.tolist(), v, strict=True):
+                        if w in index:
+                            near, dist, verified = index[w].search(x, q, k, hits, grow)
+                            out.append((np.full(len(near), q), near, dist, np.full(len(near), verified)))
+                if out:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score", "verified"])
+
+    dealt = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(searched, "query_id long, vec_id long, score double, verified long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def search_table(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """Queries: ids divisible by ``every``; candidates: all other rows."""
     base = usable(vectors)
-    return neighbours(base, base.filter(F.col("id") % every == 0).dropDuplicates(["id"]), k)
+    return neighbours(base, base.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), k)
