@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
@@ -81,11 +82,14 @@ def test_best_candidate_chain():
     assert E.best_candidate([base, base | {"unigram": True}])["unigram"] and E.best_candidate([base, base | {"c": 0.1}])["c"] == 0.1
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("hub", [500, 3])
+def test_components_against_union_find(spark, monkeypatch, hub):
     import random
 
+    monkeypatch.setattr(graph, "HUB_LINKS", hub)
+    monkeypatch.setattr(graph, "HUBS", 10**6)
     rng = random.Random(1)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(150, rng.randrange(200)) for _ in range(12)] + [(i, i + 1) for i in range(170, 190)]
     up = list(range(200))
 
     def find(i):

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors
-    share; where it is unset (tests on one machine) a folder under /tmp."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:///tmp/checkpoints/textmill"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
+    the session, else the checkpoint directory that the program has set.  Where
+    both are unset, a folder under /tmp on one machine, an error on a cluster."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if at:
+        return at
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    at = "file:///tmp/checkpoints/textmill"
+    context.setCheckpointDir(at)
+    return context.getCheckpointDir() or at
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,3 +45,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     merge them across a generator."""
     held = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
     return held.select(*[c for c in df.columns if c not in columns], *[F.col(f"_once.{k}").alias(k) for k in columns])
+
+
+#: Bytes of a table below which each core gets a share of it, whatever its files.
+SMALL_SHARE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small for the session's cores, dealt to all of them: a
+    file of one row group would be one task's work.  Larger tables have row
+    groups enough and are left as they are, so that no text is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
