@@ -137,24 +137,125 @@ def test_secrets(spark):
     assert hexes not in out and out.startswith("é <secret> then token =") and out.endswith("near Elephants#9s, end")
 
 
-def test_media_round_trip(docs):
+def _slow_mels(payload):
+    """The definition, with float64 sums one frame at a time."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h = np.ascontiguousarray(media._phases()[::-1]).ravel().astype(float)
+    up = np.zeros(2 * (len(x) + 3))
+    up[: 2 * len(x) : 2] = x
+    y = np.convolve(up, h)[::3][: -(-len(x) // 3) * 2]
+    y = np.concatenate([y, np.zeros(max(0, 256 - len(y)))])
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(60) + (mel(4000) - mel(60)) * i / 21) / 2595) - 1) for i in range(22)]
+    mels, energy = [], []
+    for at in range(0, len(y) - 255, 128):
+        part = y[at : at + 256] * np.hanning(256)
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(256) / 256))) ** 2 for k in range(129)]
+        band = lambda m, f: max(0.0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1])))
+        mels.append([math.log(sum(p * band(m, k * 8000 / 256) for k, p in enumerate(power)) + 1e-6) for m in range(20)])
+        energy.append((part * part).mean())
+    return np.array(mels), energy
+
+
+def _slow_segments(energy):
+    mid, on, out = float(np.median(energy)), None, []
+    for i, e in enumerate(energy):
+        if on is None and mid > 0 and e >= 1.1 * mid:
+            on = i
+        elif on is not None and e < 0.9 * mid:
+            out.append((on, i))
+            on = None
+    return out + ([(on, len(energy))] if on is not None else [])
+
+
+def test_forest_expression_and_held_out_findings(spark):
+    labelled = secrets.labelled_findings(spark, 1600)
+    forest = secrets.fit_forest(labelled)
+    rows = secrets._found(labelled, path="path").select(F.explode("found").alias("x")).select("x.features", F.expr(forest.sql("x.features")).alias("p")).collect()
+    assert len(rows) >= 1600 and np.allclose([r.p for r in rows], forest.predict(np.array([r.features for r in rows], float)))
+    got = secrets.evaluate(secrets.labelled_findings(spark))
+    print(got)
+    assert got["precision"] > 0.97 and got["recall"] > 0.97 and got["findings"] > 900
+
+
+def test_secret_candidates_against_a_plain_reading(spark):
+    rng = random.Random(9)
+    # any names, and names that the operator uses itself
+    names = ["_all", "row", "t", "found", "value", "gap", "at", "near", "every", "secret", "bad", "new", "start"]
+    run = "abcXYZ019_+/=-"
+    texts = ["".join(rng.choice([" ", "\n", '"', ".", "é", *("".join(rng.choice(run) for _ in range(rng.randrange(1, 40))) for _ in range(4))]) for _ in range(30)) for _ in range(60)]
+    texts += ['password = "' + "q!" * 4000 + '" end', "x" * 200_000 + " " + "7" * 30, "token: '" + "é" * 9 + "'"]
+    df = spark.createDataFrame([(i, t, *([i] * len(names))) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    forest = secrets.fit_forest(secrets.labelled_findings(spark, 400))
+    got = collections.defaultdict(list)
+    for r in secrets.scan(df, forest).collect():
+        got[r.doc_id].append((r.start, r.value))
+    quoted = re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|credential)[ \t:=!#$%&*>]{1,8}[\"']([^\s\"']{8,})[\"']")
+    for i, t in enumerate(texts):
+        want = [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9_+/=-]+", t) if len(m[0]) >= 16 and any(c in "0123456789" for c in m[0])] + [(m.start(1), m[1]) for m in quoted.finditer(t)]
+        assert sorted(got[i]) == sorted(set(want)), i
+    new = secrets.redact(df, forest)
+    assert new.columns == df.columns and [r.bad for r in new.orderBy("doc_id").select("bad").collect()] == list(range(len(texts)))
+    assert secrets.redact(df.limit(0), forest).count() == 0
+
+
+def test_media_features_against_their_definition():
+    rng = random.Random(3)
+    for n in (0, 150, 700, 3000):
+        payload = media.padded(_text(rng, 3000).encode()[:n])
+        want, energy = _slow_mels(payload)
+        mels, found = media.features(payload)
+        assert mels.shape == want.shape and np.allclose(mels, want, atol=2e-3, rtol=1e-3)
+        assert found == media.segments(np.array(energy, np.float32)) == _slow_segments(np.array(energy, np.float32))
+        for piece in (1, 2, 7):
+            again, others = media.features(payload, piece)
+            assert np.allclose(again, mels, atol=1e-4) and others == found
+
+
+def test_media_round_trip(spark, docs):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
-    got = {r.doc_id: r for r in media.digest(media.store_audio(docs)).collect()}
+    stored = media.store_tensors(media.store_audio(docs))
+    got = {r.doc_id: r for r in media.digest(stored).collect()}
+    rows = collections.defaultdict(list)
+    for r in media.audio_tensors(stored).collect():
+        rows[r.doc_id].append((r.start_ms, r.end_ms, r.tensor))
     for i, t in texts.items():
         p = media.padded(t)
-        assert got[i].payload_bytes == len(p) and len(p) % 192 == 0 and got[i].payload_sha256 == hashlib.sha256(p).hexdigest() and got[i].tail_crc32 == zlib.crc32(p[-16:])
-        assert media.samples(media.store(p)) == p
+        assert got[i].n_bytes == len(t) and got[i].payload_bytes == len(p) and len(p) % 192 == 0 and got[i].payload_sha256 == hashlib.sha256(p).hexdigest() and got[i].tail_crc32 == zlib.crc32(p[-16:])
+        m = media.store(p)
+        assert media.samples(m) == p and got[i].media_bytes == len(m) and got[i].media_sha256 == hashlib.sha256(m).hexdigest()
+        mels, found = media.features(p)
+        own = sorted(rows[i])
+        assert got[i].segments == len(found) and own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert np.array_equal(np.concatenate([np.array(x, np.float32).reshape(media.FRAMES, media.MELS) for *_, x in own])[: len(mels)], mels)
+        assert got[i].feature.split()[2:] == [f"{v:.3f}" for v in np.concatenate([np.array(x, np.float32).reshape(-1, media.MELS) for *_, x in own]).sum(0, dtype=float) / len(mels)]
     assert got[3].feature == got[63].feature and got[60].feature == got[61].feature
-    x = np.random.default_rng(0).normal(size=999).astype(np.float32)
-    h = np.ascontiguousarray(media._phases()[::-1]).ravel()
-    up = np.zeros(2 * (len(x) + 3))
-    up[: 2 * len(x) : 2] = x
-    slow = np.convolve(up, h)[::3]
-    assert np.allclose(media.resample(x)[:600], slow[:600], atol=1e-4)
+    assert media.digest(media.store_tensors(media.store_audio(docs.limit(0)))).count() == 0
+
+
+def _slow_targets(sizes, weights, cap=3.0):
+    """Words by weight, what is above a cap handed on until none is."""
+    capped = {}
+    while True:
+        free = [i for i, s in enumerate(sizes) if s > 0 and i not in capped]
+        left = sum(sizes) - sum(capped.values())
+        out = {i: left * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = [i for i in free if out[i] >= cap * sizes[i]]
+        if not over:
+            return [capped.get(i, out.get(i, 0.0)) for i in range(len(sizes))]
+        capped |= {i: cap * sizes[i] for i in over}
+
+
+def test_mixing_targets_against_their_definition():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = [rng.choice([0, 3, 50, 400, 10_000]) + rng.randrange(9) * rng.randrange(2) for _ in range(rng.randrange(1, 9))]
+        weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+        got = mixing.targets(sizes, weights)
+        assert np.allclose(got, _slow_targets(sizes, weights)) and all(g <= 3 * s for g, s in zip(got, sizes, strict=True))
 
 
 def test_mixing_apportions(docs):
-    assert mixing.apportion(np.array([53.0, 24, 23]), 10, np.array([99, 99, 99])).tolist() == [5, 3, 2] or sum(mixing.apportion(np.array([53.0, 24, 23]), 10, np.array([99, 99, 99]))) == 10
     for seats in (0, 1, 7, 50):
         w, most = np.array([5.0, 2, 1, 0.3]), np.array([20, 9, 99, 99])
         slow = [0] * 4
@@ -165,16 +266,35 @@ def test_mixing_apportions(docs):
     plan = mixing.plan(docs)
     rows = plan.collect()
     assert rows and sorted(map(str, rows)) == sorted(map(str, mixing.plan(docs).collect()))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += words(r.text)
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    goal = dict(zip(order, _slow_targets([sizes[k] for k in order], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(order))]), strict=True))
+    assert collections.Counter((r.doc_id, r.size) for r in rows) == collections.Counter((r.doc_id, words(r.text)) for r in docs.collect())
     by = collections.defaultdict(int)
     for r in rows:
-        assert r.taken <= 3 * r.size
-        by[r.source, r.target] += r.taken
-    assert all(abs(n - t) <= 64 for (_, t), n in by.items())
+        assert r.taken <= 3 * r.size and r.source_size == sizes[r.source] and math.isclose(r.target, goal[r.source])
+        by[r.source] += r.taken
+    assert all(abs(n - goal[k]) <= 2 * mixing.BLOCK for k, n in by.items())
     mixed = mixing.mixed_documents(docs, plan)
     assert mixed.columns == docs.columns
-    words = mixed.filter("doc_id is not null").select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
-    assert words == sum(r.taken for r in rows if r.doc_id is not None)
-    assert mixing.plan(docs.limit(0)).count() == 0
+    total = mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert total == sum(r.taken for r in rows)
+    assert mixing.plan(docs.limit(0)).count() == mixing.mixed_documents(docs.limit(0), mixing.plan(docs.limit(0))).count() == 0
+
+
+def test_a_tiny_source_does_not_change_the_others_blocks(spark):
+    rng = random.Random(5)
+    big = [(i, _text(rng, 300), "s%d" % (i % 2)) for i in range(60)]
+    spans = []
+    for rows in (big, [*big, (99, "a b c", "tiny")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.plan(df).collect()
+        spans.append([p.end - p.start for r in got for p in r.parts if r.doc_id != 99])
+        assert all(r.taken == 9 for r in got if r.doc_id == 99)
+    assert max(spans[1]) == max(spans[0]) == mixing.BLOCK
 
 
 def test_mixing_gives_every_row_its_own_plan(spark):
@@ -211,6 +331,41 @@ def test_quality_marginals_are_exact():
         assert np.allclose(got[a:b], z / total)
 
 
+def test_quality_gradient_and_length_weighting():
+    rng = np.random.default_rng(4)
+    f = quality.LineField()
+    f.w, f.move = rng.normal(size=quality.FEATURES) * 0.3, rng.normal(size=(2, 2))
+    x, first, labels = rng.normal(size=(9, quality.FEATURES)), np.array([0, 4, 5]), np.array([1, 0, 1])
+
+    def objective():
+        total = 0.0
+        for (a, b), y in zip(((0, 4), (4, 5), (5, 9)), labels, strict=True):
+            paths = []
+            for k in range(2 ** (b - a)):
+                s = [k >> i & 1 for i in range(b - a)]
+                paths.append(sum(x[a + i] @ f.w * s[i] for i in range(b - a)) + sum(f.move[p, q] for p, q in zip(s, s[1:])))
+            want = sum(x[a + i] @ f.w * y for i in range(b - a)) + (b - a - 1) * f.move[y, y]
+            total += (want - np.log(np.exp(paths).sum())) / (b - a) / 3
+        return total - 0.01 / 2 * ((f.w**2).sum() + (f.move**2).sum())
+
+    got = f.gradient(x, first, labels, 0.01)
+    for held, offset in ((f.w, 0), (f.move.reshape(-1), quality.FEATURES)):
+        for i in range(0, len(held), 3):
+            old = held[i]
+            held[i] = old + 1e-5
+            high = objective()
+            held[i] = old - 1e-5
+            low = objective()
+            held[i] = old
+            assert math.isclose((high - low) / 2e-5, got[offset + i], rel_tol=1e-4, abs_tol=1e-7)
+    f.fitted = True
+    texts = [b"one line\nAND ANOTHER ONE!!\n\nlast", b"", b"single"]
+    feats, weight, starts = quality.line_features(texts)
+    p, _ = f.marginals(feats, starts)
+    assert weight.tolist() == [9, 18, 1, 5, 1, 7]
+    assert np.allclose(f.quality(texts), [(p[:4] * weight[:4]).sum() / 33, p[4], p[5]])
+
+
 def test_quality_learns_and_handles_edges(spark, docs):
     rng = random.Random(4)
     rows = [(i, _text(rng, 40) if i % 2 else "\n".join(w.upper() + "!!" for w in _text(rng, 40).split()), i % 2) for i in range(200)]
@@ -221,6 +376,8 @@ def test_quality_learns_and_handles_edges(spark, docs):
     edge = quality.classify_quality(docs, lab).collect()
     assert len(edge) == docs.count() and all(0 <= r.score <= 1 for r in edge)
     assert quality.classify_quality(docs, lab.limit(0)).count() == docs.count()
+    assert quality.classify_quality(docs.limit(0), lab).count() == 0
+    assert quality.fit_lines(d, lab, lines=1000).fitted and not quality.fit_lines(d, lab, lines=0).fitted
 
 
 def test_encoder_equals_library():
@@ -357,6 +514,59 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [16, 64, 1024])
+def test_a_chain_of_near_copies_is_one_class(spark, piece):
+    # each text about 0.9 like the next, unlike those further on
+    words = ["c%d" % i for i in range(300 * 6 + 120)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 120])) for i in range(300)]
+    assert {r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), piece=piece).collect()} == {0}
+
+
+def test_near_duplicates_recall_against_all_pairs(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for g in range(150):
+        words = rng.sample(base, rng.choice([12, 30, 80, 200]))
+        for _ in range(rng.randrange(1, 5)):
+            new = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 30)):
+                k = rng.randrange(len(new))
+                new[k : k + rng.randrange(2)] = [rng.choice(base)]
+            rows.append((len(rows), " ".join(new)))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seqs = [neardup.labels(neardup.split_words(t)) for _, t in rows]
+    up = list(range(len(rows)))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if neardup.aligned(seqs[i], seqs[j]) >= 0.8]
+    found = sum(got[i] == got[j] for i, j in pairs)
+    for i, j in pairs:
+        while up[i] != i:
+            i = up[i]
+        while up[j] != j:
+            j = up[j]
+        up[max(i, j)] = min(i, j)
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    together = [(i, j) for i in range(len(rows)) for j in range(i) if got[i] == got[j]]
+    right = sum(root(i) == root(j) for i, j in together)
+    print("pairs", len(pairs), "recall", found / len(pairs), "precision", right / len(together))
+    assert len(pairs) > 100 and found / len(pairs) >= 0.99 and right == len(together)
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    one, two = " ".join("w%d" % i for i in range(60)), " ".join("v%d" % i for i in range(60))
+    rows = [(7, one, "a"), (7, two, "b"), (None, one + " x", "c"), (None, "only here without an id at all", "d"), (None, "only here without an id at all", "e"), (3, two + " y", "f"), (9, None, "g"), (None, "", "h"), (3, two + " y", "f"), (4, "word " * 30_000, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string").withColumn("key", F.lit(1))
+    got = {(r.doc_id, r.class_id, r.text_id) for r in neardup.near_duplicates(df).collect()}
+    alone = next(c for d, c, _ in got if c < 0)
+    assert got == {(7, 7, 7), (7, 3, 7), (None, 7, 7), (None, alone, alone), (3, 3, 3), (9, 9, 9), (None, 9, 9), (4, 4, 4)}
+    kept = neardup.representatives(df)
+    assert kept.columns == df.columns and sorted(r.class_id for r in kept.collect()) == ["a", "d", "f", "g", "i"]
+    assert neardup.representatives(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_in_a_template_family(spark):
     # one group above a piece, pairwise 0.7; each pair has no other partner
     rng = random.Random(11)
@@ -419,6 +629,34 @@ def test_toxicity(spark, docs):
     c2 = toxicity.fit_chain(d2.filter("doc_id < 300"), spark.createDataFrame([(r[0], r[2]) for r in stem], "doc_id long, toxic int"))
     assert all(r.is_toxic == (r.doc_id % 4 == 0) for r in toxicity.score_toxicity(d2.filter("doc_id >= 300"), c2).collect())
     assert toxicity.fit_chain(d, lab.filter("toxic = 0")) is None and toxicity.score_toxicity(docs, None).filter("is_toxic").count() == 0
+    for c in (chain, None):
+        assert toxicity.score_toxicity(docs.limit(0), c).count() == toxicity.drop_toxic(docs.limit(0), c).count() == 0
+    assert toxicity.fit_chain(d.limit(0), lab) is None and toxicity.fit_chain(d, lab.limit(0)) is None
+    # a category for each language with positives enough, and one for all
+    l2 = d2.withColumn("lang", F.when(F.col("doc_id") % 8 == 0, "xx").otherwise("yy"))
+    c3 = toxicity.fit_chain(l2, spark.createDataFrame([(r[0], r[2]) for r in stem], "doc_id long, toxic int"))
+    assert c3.categories == ["toxic_xx", "toxic_yy", "toxic"] and len(c3.weights[2]) == len(c3.vocabulary) + 1 + 2 + 1
+
+
+def test_toxicity_features_and_chain_by_hand():
+    texts = pa.array(["", "Achtung achten, ACH! über-achten 12", "nothing", "a1b"])
+    x = toxicity.features(texts, ["ach", "ach*", "achten", "a", "über"])
+    assert np.allclose(np.expm1(x), [[0] * 6, [1, 3, 2, 0, 1, 5], [0, 0, 0, 0, 0, 1], [0, 0, 0, 1, 0, 2]])
+    # out of fold: a fold's own rows change nothing in its predictions
+    rng = np.random.default_rng(1)
+    x, fold = rng.normal(size=(90, 3)), np.arange(90) % 3
+    first = (x[:, 0] + rng.normal(size=90) > 0).astype(int)
+    ys = np.stack([first, first * (x[:, 1] > 0)], 1)
+    columns = [np.array([0, 2]), np.array([0, 1, 2]), np.array([1, 2]), np.array([0, 1, 2])]
+    chain = toxicity.Chain(["u", "v"], ["a", "b"]).fit(x, ys, fold, columns)
+    out = np.zeros(90)
+    for k in range(3):
+        w = toxicity._logistic(x[fold != k][:, columns[k]], ys[fold != k, 0].astype(float), 1.0)
+        out[fold == k] = 1 / (1 + np.exp(-(x[fold == k][:, columns[k]] @ w[:-1] + w[-1])))
+    w = toxicity._logistic(np.concatenate([x, out[:, None]], 1), ys[:, 1].astype(float), 1.0)
+    assert np.allclose(chain.weights[1], w)
+    p = chain.predict(x)
+    assert np.allclose(p[:, 1], 1 / (1 + np.exp(-(np.concatenate([x, p[:, :1]], 1) @ w[:-1] + w[-1]))))
 
 
 def _exact(ids, v, q, x, k=10):

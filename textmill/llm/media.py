@@ -8,12 +8,19 @@ container (``store``), read back (``samples``), and turned into features:
 * log-mel energies over frames of 256 samples, 128 apart, Hann-windowed;
 * segments by an energy gate with hysteresis: a segment opens at the upper
   threshold and closes below the lower one, both relative to the median;
-* tensors of ``FRAMES`` x ``MELS`` float32 (the last one zero-filled) in an
-  Arrow ``fixed_shape_tensor`` array, each with its time span.
-
-Null texts count as empty; every text has at least one block of 192 samples.
-Equal texts give equal rows: each text is transformed on its own, in pieces of
-a fixed number of samples, so memory doesn't grow with its length.
+* tensors of ``FRAMES`` x ``MELS`` float32 (the last one zero-filled), each
+  with its time span.
+
+The tensors are stored as Arrow streams of a ``fixed_shape_tensor`` column
+with the spans beside it, some documents in a stream, as a binary column of a
+table in the shared folder; features are read back from there.
+
+Null texts count as empty; every text has at least one block of 192 samples;
+null ids and repeated rows are rows like others; an empty table gives an empty
+result; other columns are ignored.  Equal texts give equal values: each text is
+transformed on its own, a fixed number of frames at a time, so that what is
+made on the way doesn't grow with its length (its bytes and its features, 0.4
+bytes for each, do).
 """
 
 from __future__ import annotations
@@ -24,14 +31,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import cut, one_thread, slices, text_or_empty
 
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 24
-FRAME, HOP, MELS, FRAMES = 256, 128, 20, 64
+FRAME, HOP, MELS, FRAMES = 256, 128, 20, 16
+#: Frames that are made at a time.
+PIECE = 2048
 BLOCK = 192
-FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments long, spans_ms array<struct<start: long, end: long>>"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments long, spans_ms array<struct<start: long, end: long>>"
 
 
 def store(payload: bytes) -> bytes:
@@ -82,20 +93,19 @@ def _filterbank() -> np.ndarray:
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def logmel(x: np.ndarray, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """[frames, MELS] log-mel energies and [frames] mean energies."""
+def frames_of(n: int) -> int:
+    """Frames of n resampled samples: the last that is whole, one at least."""
+    return 1 + max(0, n - FRAME) // HOP
+
+
+def logmel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[frames, MELS] log-mel energies and [frames] mean energies of x, which
+    has at least FRAME samples."""
     if not _TABLES:
         _TABLES.update(bank=_filterbank(), window=np.hanning(FRAME).astype(np.float32))
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    mels, energy = [], []
-    for i in range(0, len(frames), most):
-        part = frames[i : i + most] * _TABLES["window"]
-        power = np.abs(np.fft.rfft(part, axis=1)) ** 2
-        mels.append(np.log(power.astype(np.float32) @ _TABLES["bank"] + 1e-6))
-        energy.append((part * part).mean(1))
-    return np.concatenate(mels), np.concatenate(energy)
+    part = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _TABLES["window"]
+    power = np.abs(np.fft.rfft(part, axis=1)) ** 2
+    return np.log(power.astype(np.float32) @ _TABLES["bank"] + 1e-6), (part * part).mean(1)
 
 
 def segments(energy: np.ndarray, upper: float = 1.1, lower: float = 0.9) -> list[tuple[int, int]]:
@@ -125,9 +135,26 @@ def _ms(frame: int) -> int:
     return frame * HOP * 1000 * DOWN // (UP * RATE)
 
 
-def features(payload: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mels, energy = logmel(resample(x))
+def features(payload: bytes, piece: int = PIECE) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Log-mel energies and segments.  ``piece`` frames are made at a time,
+    from the samples that they and the low-pass reach; the values are the same
+    for every ``piece``."""
+    data = np.frombuffer(payload, np.uint8)
+    n = -(-len(data) // DOWN) * UP  # resampled samples
+    count = frames_of(n)
+    mels, energy = np.empty((count, MELS), np.float32), np.empty(count, np.float32)
+    for at in range(0, count, piece):
+        end = min(count, at + piece)
+        first, last = at * HOP, min(n, (end - 1) * HOP + FRAME)
+        # resampled sample j ends at input sample j * DOWN / UP; HOP is even
+        low = first // UP * DOWN
+        high = min(len(data), -(-last // UP) * DOWN)
+        before = min(low, (TAPS + DOWN - 1) // DOWN * DOWN)
+        x = (data[low - before : high].astype(np.float32) - 128) / 128
+        y = resample(x)[before // DOWN * UP :][: last - first]
+        if len(y) < FRAME:
+            y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+        mels[at:end], energy[at:end] = logmel(y)
     return mels, segments(energy)
 
 
@@ -146,32 +173,81 @@ def store_audio(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
-def audio_tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, span_start_ms, span_end_ms, tensor): one row for each tensor,
-    its float32 values as bytes in row-major order [FRAMES, MELS]."""
-    def made(batches):
-        for batch in slices(batches, "media"):
-            for doc, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                array, spans = tensors(features(samples(m))[0])
-                cells = array.to_numpy_ndarray()
-                yield pa.record_batch({"doc_id": pa.array([doc] * len(spans), pa.int64()), "span_start_ms": pa.array([a for a, _ in spans], pa.int64()), "span_end_ms": pa.array([b for _, b in spans], pa.int64()), "tensor": pa.array([c.tobytes() for c in cells], pa.binary())})
+def tensor_stream(found: list[np.ndarray]) -> bytes:
+    """An Arrow stream of all documents' tensors: (doc: its place in the list,
+    start_ms, end_ms, tensor)."""
+    made = [tensors(m) for m in found]
+    spans = [s for _, own in made for s in own]
+    doc = np.repeat(np.arange(len(made)), [len(own) for _, own in made]).astype(np.int32)
+    array = pa.FixedShapeTensorArray.from_numpy_ndarray(np.concatenate([a.to_numpy_ndarray() for a, _ in made]))
+    batch = pa.record_batch([pa.array(doc), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1)), array], names=["doc", "start_ms", "end_ms", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[tensors] documents, [tensors, 2] spans in milliseconds and [tensors,
+    FRAMES, MELS] values, views of the stream."""
+    with pa.ipc.open_stream(stream) as reader:
+        batch = reader.read_next_batch()
+    kind = batch.schema.field("tensor").type
+    if not isinstance(kind, pa.FixedShapeTensorType) or list(kind.shape) != [FRAMES, MELS]:
+        raise ValueError("not a stream of tensors of this shape")
+    return batch.column("doc").to_numpy(), np.stack([batch.column(k).to_numpy() for k in ("start_ms", "end_ms")], 1), batch.column("tensor").to_numpy_ndarray()
+
 
-    return media.mapInArrow(made, "doc_id long, span_start_ms long, span_end_ms long, tensor binary")
+STORED = "docs array<struct<doc_id: long, n_bytes: long, payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, spans_ms: array<struct<start: long, end: long>>>>, tensors binary"
+_SPANS = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
+_ABOUT = pa.struct({"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "spans_ms": _SPANS})
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """The digest columns, from the stored bytes read back."""
+def store_tensors(media: DataFrame) -> DataFrame:
+    """STORED: the features of stored files, some documents in a row, with
+    what identifies each; written to the shared folder."""
     def made(batches):
-        for batch in slices(batches, "media"):
-            out = []
+        one_thread()
+        for batch in slices(batches, "media", 4 << 20):
+            about, found = [], []
             for doc, n, m in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n_bytes", "media")), strict=True):
                 payload = samples(m)
-                mels, found = features(payload)
-                array, _ = tensors(mels)
-                mean = " ".join(f"{v:.3f}" for v in mels.mean(0).tolist())
-                sha = hashlib.sha256(array.storage.values.to_numpy().tobytes()).hexdigest()[:16]
-                out.append({"doc_id": doc, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "feature": f"{len(array)}x{FRAMES}x{MELS} {sha} {mean}", "segments": len(found), "spans_ms": [{"start": _ms(a), "end": _ms(b)} for a, b in found]})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema({"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "segments": pa.int64(), "spans_ms": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))}))
-
-    return media.mapInArrow(made, FIELDS)
+                mels, own = features(payload)
+                found.append(mels)
+                about.append({"doc_id": doc, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "spans_ms": [{"start": _ms(a), "end": _ms(b)} for a, b in own]})
+            if about:
+                yield pa.record_batch({"docs": pa.array([about], pa.list_(_ABOUT)), "tensors": pa.array([tensor_stream(found)], pa.binary())})
+
+    return cut(media.mapInArrow(made, STORED))
+
+
+def audio_tensors(stored: DataFrame) -> DataFrame:
+    """(doc_id, start_ms, end_ms, tensor): one row for each tensor, its float32
+    values in row-major order [FRAMES, MELS], read from the streams."""
+    def rows(batches):
+        for batch in batches:
+            for about, stream in zip(batch.column("ids").to_pylist(), batch.column("tensors").to_pylist(), strict=True):
+                doc, spans, values = read_tensors(stream)
+                yield pa.record_batch({"doc_id": pa.array(about, pa.int64()).take(pa.array(doc)), "start_ms": pa.array(spans[:, 0]), "end_ms": pa.array(spans[:, 1]), "tensor": pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS).cast(pa.list_(pa.float32()))})
+
+    return stored.select(F.col("docs.doc_id").alias("ids"), "tensors").mapInArrow(rows, "doc_id long, start_ms long, end_ms long, tensor array<float>")
+
+
+def digest(stored: DataFrame) -> DataFrame:
+    """The digest columns, the features' from the stored tensors read back."""
+    def rows(batches):
+        for batch in batches:
+            for about, stream in zip(batch.column("docs"), batch.column("tensors").to_pylist(), strict=True):
+                own = pa.RecordBatch.from_struct_array(about.values)
+                doc, spans, values = read_tensors(stream)
+                start = np.searchsorted(doc, np.arange(own.num_rows + 1))
+                text = []
+                for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                    sha = hashlib.sha256(np.ascontiguousarray(values[a:b])).hexdigest()[:16]
+                    frames = max(1, round(int(spans[b - 1, 1]) * UP * RATE / (HOP * 1000 * DOWN)))
+                    mean = values[a:b].sum((0, 1), dtype=np.float64) / frames
+                    text.append(f"{b - a}x{FRAMES}x{MELS} {sha} " + " ".join(f"{v:.3f}" for v in mean.tolist()))
+                spans_ms = own.column("spans_ms")
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(7)), pa.array(text, pa.string()), pc.cast(pc.list_value_length(spans_ms), pa.int64()), spans_ms], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments", "spans_ms"])
+
+    return stored.mapInArrow(rows, DIGEST)

@@ -11,7 +11,11 @@ permutation.  So no document is taken more than ``cap`` times.
 
 Documents are laid end to end in a shard in the order of a hash of their id;
 only (id, size) is shuffled.  The driver sees one row for each source and for
-each shard, at most ``SHARDS`` a source.
+each shard, at most ``SHARDS`` a source; the plan is broadcast up to
+``BROADCAST`` such rows and joined like any table beyond.  Blocks are equally
+long, whatever the sources; only a source of less than 16 blocks is cut finer,
+by itself, and gets the seats that its target rounds to (those of the same
+rule at a divisor of its own block).
 
 Null texts and empty ones have no words and take none; null sources are one
 source, the last by order; repeated rows are rows of their own, in a fixed
@@ -32,6 +36,8 @@ from .common import cut, slices
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Shards of a source at most; documents that a shard is planned for.
 SHARDS, SHARD_DOCS = 4096, 2000
+#: Words of a block; rows of the plan that are broadcast at most.
+BLOCK, BROADCAST = 32, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,7 +98,7 @@ def _step(n: int, seed: int) -> tuple[int, int]:
     return a, (seed * 97 + 13) % n
 
 
-def plan(docs: DataFrame, block: int = 32, cap: float = 3.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+def plan(docs: DataFrame, block: int = BLOCK, cap: float = 3.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, size, source,
     source_size, target, taken, whole (times that all of it is taken) and
     parts, the [start, end) words taken once more."""
@@ -103,7 +109,7 @@ def plan(docs: DataFrame, block: int = 32, cap: float = 3.0, weights: tuple[floa
     goal = targets([s for _, s, _ in sources], [weights[i % len(weights)] for i in range(len(sources))], cap)
     table = [(i, name, size, float(t), max(1, min(SHARDS, -(-n // SHARD_DOCS)))) for i, ((name, size, n), t) in enumerate(zip(sources, goal, strict=True))]
     about = _local(spark, table, "source_no long, source string, source_size long, target double, shards long")
-    own = sized.join(F.broadcast(about), sized.source.eqNullSafe(about.source)).drop(about.source)
+    own = sized.join(_small(about, len(table)), sized.source.eqNullSafe(about.source)).drop(about.source)
     mixed = F.xxhash64(F.lit(seed), "doc_id", "size")
     own = own.withColumn("shard", F.pmod(mixed, F.col("shards")))
     shards = sorted((r.source_no, r.shard, r.size) for r in own.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).collect())
@@ -113,7 +119,7 @@ def plan(docs: DataFrame, block: int = 32, cap: float = 3.0, weights: tuple[floa
     from pyspark.sql import Window
 
     before = F.sum("size").over(Window.partitionBy("source_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    laid = own.withColumn("at", F.coalesce(before, F.lit(0))).join(F.broadcast(chosen), ["source_no", "shard"])
+    laid = own.withColumn("at", F.coalesce(before, F.lit(0))).join(_small(chosen, len(quotas)), ["source_no", "shard"])
     # blocks that the document touches, and of them those chosen
     picked = F.expr("filter(sequence(at div block, (at + size - 1) div block), j -> pmod(cast(j as decimal(38, 0)) * a + b, n) < more)".replace("block", "length"))
     spans = F.expr("transform(_j, j -> named_struct('start', greatest(j * length, at) - at, 'end', least((j + 1) * length, at + size) - at))")
@@ -126,15 +132,26 @@ def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _quotas(table: list[tuple], shards: list[tuple], block: int, cap: float, seed: int) -> list[tuple]:
-    total = sum(t[2] for t in table)
-    smallest = min((t[2] for t in table if t[2] > 0), default=1)
-    length = max(1, min(block, smallest // 16))  # equal for all, fine enough for the smallest source
-    blocks = [-(-t[2] // length) for t in table]
-    seats = apportion(np.array([t[3] for t in table]), round(total / length), np.array([math.floor(cap * n) for n in blocks])) if table else []
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
+def _quotas(table: list[tuple], shards: list[tuple], length: int, cap: float, seed: int) -> list[tuple]:
+    own_length = [max(1, min(length, t[2] // 16)) for t in table]
+    blocks = [-(-t[2] // n) for t, n in zip(table, own_length, strict=True)]
+    most = [math.floor(cap * n) for n in blocks]
+    seats = [min(m, math.floor(t[3] / n + 0.5)) for t, n, m in zip(table, own_length, most, strict=True)]
+    whole = [i for i, n in enumerate(own_length) if n == length]
+    if whole:
+        goal = np.array([table[i][3] for i in whole])
+        for i, q in zip(whole, apportion(goal, round(goal.sum() / length), np.array([most[i] for i in whole])).tolist(), strict=True):
+            seats[i] = q
+    held: dict[int, list[tuple]] = {}
+    for shard in shards:
+        held.setdefault(shard[0], []).append(shard)
     out = []
-    for t, q in zip(table, seats, strict=True):
-        own = [s for s in shards if s[0] == t[0]]
+    for t, q, length in zip(table, seats, own_length, strict=True):
+        own = held.get(t[0], [])
         n = np.array([-(-s[2] // length) for s in own], np.int64)
         for (no, shard, _), n_s, q_s in zip(own, n.tolist(), apportion(np.array([s[2] for s in own], float), int(q), (cap * n).astype(np.int64)).tolist(), strict=True):
             a, b = _step(max(1, n_s), seed + shard * 131 + no * 7919)

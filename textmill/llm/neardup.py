@@ -19,13 +19,17 @@ Nothing is dropped or capped:
   to a root; the texts of a bucket above ``piece`` texts are all joined;
 * the candidate groups that result are verified by alignment, where texts that
   are linked already need no further alignment.  Groups above ``piece`` texts
-  are verified in salted pieces in ``rounds`` rounds with other salts; after
-  them, every pair that shares a label of its prefixes (the rarest labels) and
-  isn't linked yet is aligned, so that no pair depends on the salts.
+  or ``PIECE_LABELS`` labels are verified in salted pieces in ``rounds`` rounds
+  with other salts; after them, every pair that shares a label of its prefixes
+  (the rarest labels) and isn't linked yet is aligned, so that no pair depends
+  on the salts.
 
+Texts are told apart by a digest of their words and numbered, so that repeated
+and null ids are rows like others: a row's class depends on its text alone.
 Null texts count as empty; texts below five words are one shingle (all empty
-texts are one class); null ids and repeated rows are kept as rows, the class is
-the smallest id; an empty table gives an empty result.
+texts are one class); the class is the smallest id in it, and a negative number
+made from its digest if no row of it has an id; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,7 +163,8 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
 
 
 def describe(docs: DataFrame, count: int, length: int) -> DataFrame:
-    """(doc_id, key, size, sketch array, sig): one row for each document."""
+    """(doc_id, exact, key, size, sketch array, sig): one row for each
+    document; exact and key are digests of the text and of its words."""
     def described(batches):
         for batch in slices(batches, "text"):
             key, size, sketch, sig = [], [], [], []
@@ -170,9 +175,13 @@ def describe(docs: DataFrame, count: int, length: int) -> DataFrame:
                 size.append(len(s))
                 sketch.append(sketches(s, count, length).tolist())
                 sig.append(signature(s).tobytes())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "key": pa.array(key, pa.binary()), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "exact": batch.column("exact"), "key": pa.array(key, pa.binary()), "size": pa.array(size, pa.int64()), "sketch": pa.array(sketch, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(described, "doc_id long, key binary, size long, sketch array<long>, sig binary")
+    return docs.select("doc_id", exact_text().alias("exact"), text_or_empty().alias("text")).mapInArrow(described, "doc_id long, exact string, key binary, size long, sketch array<long>, sig binary")
+
+
+def exact_text():
+    return F.md5(text_or_empty().cast("binary"))
 
 
 #: Slots that a pair of similarity 0.8 agrees on in all but 3 of 10^6 cases;
@@ -246,41 +255,82 @@ def _aligned_links(rows: pa.RecordBatch) -> list[tuple[int, int]]:
     return _verified(ids, [labels(words[i].as_py().split(b" ")) for i in first.tolist()]) if len(ids) > 1 else []
 
 
-def verified_links(groups: DataFrame, words: DataFrame, piece: int, pivots: int, rounds: int) -> DataFrame:
-    """(a, b): aligned links within groups (doc_id, root), by the texts'
+#: Labels of a piece at most, about: some 200 MB of texts and labels.
+PIECE_LABELS = 2_000_000
+
+
+def _large(groups: DataFrame, piece: int) -> DataFrame:
+    """(root, n, pieces) of the groups that one piece doesn't hold."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("_l"))
+    pieces = F.greatest(F.ceil(F.col("n") / piece), F.ceil(F.col("_l") / PIECE_LABELS))
+    return sizes.select("root", "n", F.least(pieces, "n").alias("pieces")).filter("pieces > 1")
+
+
+def verified_links(groups: DataFrame, words: DataFrame, piece: int, pivots: int, rounds: int, salts: int = 32) -> DataFrame:
+    """(a, b): aligned links within groups (doc_id, root, size), by the texts'
     (doc_id, words binary)."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    sized = groups.join(sizes, "root")
-    pieces = F.ceil(F.col("n") / piece)
-    turn = F.explode(F.expr(f"if(n <= {piece}, array(0), sequence(0, {rounds - 1}))"))
-    sized = sized.withColumn("turn", turn)
-    salt = F.pmod(F.xxhash64("doc_id", "turn"), pieces)
-    pivot = (F.col("n") > piece) & ((F.col("doc_id") == F.col("root")) | (F.pmod(F.xxhash64(F.lit("p"), "doc_id", "turn"), F.col("n")) < pivots))
-    dealt = sized.withColumn("salt", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.array(salt))))
+    # a large group is many rows: they meet its size by salt
+    large = _large(groups, piece).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sized = groups.select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_s")).join(large, ["root", "_s"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
+    sized = sized.withColumn("turn", F.explode(F.expr(f"if(pieces = 1, array(0), sequence(0, {rounds - 1}))")))
+    salt = F.pmod(F.xxhash64("doc_id", "turn"), F.col("pieces"))
+    pivot = (F.col("pieces") > 1) & ((F.col("doc_id") == F.col("root")) | (F.pmod(F.xxhash64(F.lit("p"), "doc_id", "turn"), F.col("n")) < pivots))
+    dealt = sized.withColumn("salt", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).otherwise(F.array(salt))))
     return by_group(dealt.select("doc_id", "root", "turn", "salt").join(words, "doc_id"), ["root", "turn", "salt"], _aligned_links)
 
 
-def near_duplicates(docs: DataFrame, count: int = 12, length: int = 3, piece: int = 1024, pivots: int = 8, rounds: int = 2) -> DataFrame:
-    """(doc_id, class_id, text_id): every row's class, and its exact text's
-    smallest id.  A class of one text has that text's id."""
+def classes(docs: DataFrame, count: int = 12, length: int = 3, piece: int = 1024, pivots: int = 8, rounds: int = 2) -> DataFrame:
+    """(doc_id, exact, key, text_id, class_id, class_key): a row for each row
+    of ``docs``; class_key is the smallest digest of the class."""
     described = cut(describe(docs, count, length))
-    folded = described.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.min_by(F.struct("size", "sketch", "sig"), "doc_id").alias("x"))
-    texts = cut(folded.filter("text_id is not null").select("key", F.col("text_id").alias("doc_id"), "x.*"))
+    folded = described.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.first(F.struct("size", "sketch", "sig")).alias("x"))
+    # distinct texts by a number of their own; fixed, as they are written
+    texts = cut(folded.select("key", "text_id", F.monotonically_increasing_id().alias("doc_id"), "x.*"))
     loose = components(candidate_links(texts, piece))
-    groups = cut(loose.unionByName(loose.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "doc_id"))
+    grouped = loose.unionByName(loose.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "doc_id")
+    groups = cut(grouped.join(texts.select("doc_id", "key", "size"), "doc_id"))
 
     def packed(batches):
         for batch in slices(batches, "text"):
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "words": pa.array([b" ".join(split_words(t)) for t in batch.column("text").to_pylist()], pa.binary())})
+            texts = batch.column("text").to_pylist()
+            cut_ = [split_words(t) for t in texts]
+            yield pa.record_batch({"key": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in cut_], pa.binary()), "words": pa.array([b" ".join(w) for w in cut_], pa.binary())})
 
     # the texts that take part, once: every level below reads them again
-    members = docs.select("doc_id", text_or_empty().alias("text")).join(groups.select("doc_id"), "doc_id", "left_semi")
-    words = cut(members.mapInArrow(packed, "doc_id long, words binary").dropDuplicates(["doc_id"]))
+    own = described.join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "exact")).alias("x")).select(F.col("x.doc_id").alias("_d"), F.col("x.exact").alias("_e"))
+    rows = docs.select("doc_id", exact_text().alias("exact"), text_or_empty().alias("text"))
+    members = rows.join(own, (rows["exact"] == own["_e"]) & rows["doc_id"].eqNullSafe(own["_d"]), "left_semi").select("text")
+    once_each = members.mapInArrow(packed, "key binary, words binary").groupBy("key").agg(F.first("words").alias("words"))
+    words = cut(once_each.join(groups.select("key", "doc_id"), "key").select("doc_id", "words"))
     links = cut(verified_links(groups, words, piece, pivots, rounds))
-    merged = _across_pieces(groups, words, links, piece)
-    classes = components(merged).withColumnRenamed("id", "text_id").withColumnRenamed("root", "class_id")
-    of_text = texts.select("key", F.col("doc_id").alias("text_id")).join(classes, "text_id", "left").select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
-    return described.select("doc_id", "key").join(of_text, "key", "left").select("doc_id", "class_id", "text_id")
+    roots = components(_across_pieces(groups, words, links, piece)).withColumnRenamed("id", "doc_id")
+    of_text = cut(texts.select("doc_id", "key", "text_id").join(roots, "doc_id", "left").select("key", "text_id", F.coalesce("root", "doc_id").alias("root")))
+    # a class's smallest id and digest: partial minima, then a join back
+    least = of_text.groupBy("root").agg(F.min("text_id").alias("_id"), F.min("key").alias("class_key"))
+    unnamed = -1 - F.pmod(F.xxhash64("class_key"), F.lit(2**62))
+    named = of_text.join(least, "root").select("key", "class_key", F.coalesce("_id", unnamed).alias("class_id"), F.coalesce("text_id", "_id", unnamed).alias("text_id"))
+    return described.select("doc_id", "exact", "key").join(named, "key")
+
+
+def near_duplicates(docs: DataFrame, count: int = 12, length: int = 3, piece: int = 1024, pivots: int = 8, rounds: int = 2) -> DataFrame:
+    """(doc_id, class_id, text_id): every row's class, and its exact text's
+    smallest id.  A class of one text has that text's id."""
+    return classes(docs, count, length, piece, pivots, rounds).select("doc_id", "class_id", "text_id")
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """One row of ``docs`` for each class, all columns: the smallest id's (rows
+    without an id last; equal ids by the text's digest, equal texts by the
+    other columns)."""
+    of = classes(docs, **how)
+    last = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("exact").alias("c"))
+    keep = of.groupBy("class_key").agg(F.min(last).alias("_x")).select(F.col("_x.b").alias("_b"), F.col("_x.c").alias("_c"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_b2"), exact_text().alias("_c"))
+    # a class's row: the least of those that agree in id and text
+    found = rows.join(keep, (rows["_c"] == keep["_c"]) & rows["_b2"].eqNullSafe(keep["_b"]), "left_semi")
+    least = F.first if "map<" in docs.schema.simpleString() else F.min
+    return found.groupBy("_c", "_b2").agg(least("_row").alias("_row")).select("_row.*")
 
 
 #: Bins of the table of label frequencies; labels that share one are only
@@ -303,11 +353,11 @@ def _across_pieces(groups: DataFrame, words: DataFrame, links: DataFrame, piece:
     label in the prefixes of both (Xiao et al. 2011: the smaller text's up to
     n - ceil(2 t / (1 + t) n) + 1 labels, and enough labels after it); every
     such pair is aligned."""
-    large = groups.groupBy("root").agg(F.count("*").alias("n")).filter(f"n > {piece}").select("root")
+    large = _large(groups, piece).select("root")
     if large.isEmpty():
         return links
     found = components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("part"))
-    own = groups.join(large, "root").join(found, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    own = groups.select("doc_id", "root").join(large, "root").join(found, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     several = own.groupBy("root").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("root")
     own = cut(own.join(several, "root").join(words, "doc_id"))
 

@@ -6,13 +6,16 @@ the same figures of the lines beside it; transitions link neighbours.
 Forward-backward gives each line's probability of being good, and a document's
 quality is their mean weighted by line length.
 
-Training reads at most ``sample`` labelled documents (a documented bound, the
-smallest crc32 of the id first) outside the held-out remainder; a document's
-label holds for all its lines, so the likelihood is that of a constant path.
+Training reads at most ``sample`` labelled documents and ``lines`` lines of
+them (documented bounds, the smallest crc32 of the id first) outside the
+held-out remainder; a document's label holds for all its lines, so what is
+maximised is the likelihood of a constant path, for each document a line's
+share of it.
 
 Null texts count as empty, an empty text is one empty line, null ids belong to
-no fold and are scored as not held out, repeated rows get equal scores.  With
-no labelled rows of both kinds every score is the share of good labels (1 if
+no fold and are scored as not held out, repeated rows get equal scores, an
+empty table gives an empty result, other columns are ignored.  With no
+labelled rows of both kinds every score is the share of good labels (1 if
 there are none).
 """
 
@@ -22,10 +25,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, text_or_empty
+from .common import one_thread, remainder, slices, text_or_empty
 
 _KINDS = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "blank": (9, 11, 12, 13, 32), "bar": (124,), "mark": b"!#$%&*", "stop": b".,;:?", "newline": (10,)}
 _KIND = np.full(256, len(_KINDS), np.int64)
@@ -70,9 +73,10 @@ class LineField:
         self.w, self.move, self.prior = np.zeros(FEATURES), np.zeros((2, 2)), 1.0
         self.fitted = False
 
-    def marginals(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[lines] probability of good, [2, 2] expected transitions.  All
-        texts take a step together, the longest ones last."""
+    def marginals(self, x: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """[lines] probability of good, [2, 2] expected transitions (each as
+        often as its line's ``weight``).  All texts take a step together, the
+        longest ones last."""
         emit = np.zeros((len(x), 2))
         emit[:, 1] = ((x - self.mean) / self.std) @ self.w
         emit -= emit.max(1, keepdims=True)
@@ -92,28 +96,32 @@ class LineField:
             ahead = b[at] * e[at]
             back = ahead @ a.T
             norm = (f[at - 1] * back).sum(1, keepdims=True)
-            moves += np.einsum("ni,nj->ij", f[at - 1] / norm, ahead) * a
+            moves += np.einsum("ni,nj->ij", f[at - 1] / norm if weight is None else f[at - 1] * weight[at][:, None] / norm, ahead) * a
             b[at - 1] = back / back.sum(1, keepdims=True)
         p = f * b
         return p[:, 1] / p.sum(1), moves
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray, ridge: float) -> np.ndarray:
+        """Of the mean over texts of a line's share of log p(constant path),
+        less ridge / 2 times the weights' squares: [FEATURES + 4]."""
+        sizes = np.diff([*first, len(x)])
+        per = np.repeat(1.0 / sizes, sizes) / len(sizes)
+        p, moves = self.marginals(x, first, per)
+        z = (x - self.mean) / self.std
+        stay = [((sizes - 1) / sizes)[labels == k].sum() / len(sizes) for k in (0, 1)]
+        return np.concatenate([z.T @ ((np.repeat(labels, sizes) - p) * per) - ridge * self.w, (np.diag(stay) - moves).ravel() - ridge * self.move.ravel()])
+
     def fit(self, docs: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> LineField:
         if len(set(labels)) < 2:
             self.prior = float(np.mean(labels)) if labels else 1.0
             return self
         x = np.concatenate(docs)
         first = np.cumsum([0, *map(len, docs)])[:-1]
-        sizes = np.array([len(d) for d in docs])
-        y = np.repeat(np.array(labels, float), sizes)
-        per = np.repeat(1.0 / sizes, sizes)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-3
         self.mean[-1], self.std[-1] = 0, 1
-        stay = np.array([(sizes[np.array(labels) == k] - 1).sum() for k in (0, 1)], float)
         self.fitted, m, v = True, np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
         for step in range(1, steps + 1):
-            p, moves = self.marginals(x, first)
-            z = (x - self.mean) / self.std
-            grad = np.concatenate([z.T @ ((y - p) * per) / len(docs) - ridge * self.w, ((np.diag(stay) - moves) / len(x)).ravel() - ridge * self.move.ravel()])
+            grad = self.gradient(x, first, np.array(labels), ridge)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             self.w += move[:FEATURES]
@@ -130,9 +138,10 @@ class LineField:
         return np.clip(np.add.reduceat(p * weight, first) / np.add.reduceat(weight, first), 0, 1)
 
 
-def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str = "quality") -> LineField:
-    """A field from at most ``sample`` labelled rows of ``docs``; features are
-    made where the texts are, the driver gets figures only."""
+def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str = "quality", lines: int = 500_000) -> LineField:
+    """A field from at most ``sample`` labelled rows of ``docs`` and ``lines``
+    lines of them; features are made where the texts are, the driver gets
+    figures only."""
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter("y in (0, 1)").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y").limit(sample)
 
     def made(batches):
@@ -141,7 +150,11 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str
                 x, _, _ = line_features([text])
                 yield pa.record_batch({"doc_id": pa.array([doc], pa.int64()), "y": pa.array([y], pa.int32()), "x": pa.array([x.astype("<f4").tobytes()], pa.binary())})
 
-    picked = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    held = docs.select("doc_id", text_or_empty().cast("binary").alias("text"), F.length(F.regexp_replace(text_or_empty(), "[^\n]", "")).alias("n")).join(F.broadcast(chosen), "doc_id")
+    # a running sum over the sample: rows without their texts
+    before = F.sum(F.col("n") + 1).over(Window.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y", "n"))
+    fits = held.select("doc_id", "y", "n").withColumn("lines", before).filter(F.col("lines") <= lines).select("doc_id", "y").distinct()
+    picked = held.join(F.broadcast(fits), ["doc_id", "y"])
     rows = sorted(picked.select("doc_id", "y", "text").mapInArrow(made, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, r.y, bytes(r.x)))
     return LineField().fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in rows], [r.y for r in rows])
 
@@ -151,6 +164,7 @@ def score_quality(docs: DataFrame, model: LineField) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
+        one_thread()
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(shared.value.quality(texts), pa.float64()), "n_lines": pa.array([t.count(b"\n") + 1 for t in texts], pa.int64())})

@@ -3,15 +3,15 @@
 Everything that touches rows is a DataFrame expression; no Python runs on the
 executors.  Candidates are long runs of token characters that hold a digit, or
 quoted values after a credential's name.  Each is described by its length,
-character transitions, dictionary coverage, the path of the row (where a
-column for it is named) and its neighbouring words.  A random forest, grown on
-the driver from labelled findings (a bounded table: by default ``FINDINGS``
-rows made by rule, see :func:`labelled_findings`), is turned into one
+character transitions, dictionary coverage, the path of its row and its
+neighbouring words.  A random forest, grown on the driver from labelled
+findings (texts with one reviewed finding each), is turned into one
 expression; candidates below the threshold are false positives.
 
 Null texts have no candidates and stay null, empty texts have none, equal
-findings in a text are counted each, an empty table gives an empty result.
-Offsets are characters from 0.
+findings in a text are counted each, null ids and repeated rows are rows like
+others, columns may have any names, a null path is no path, an empty table
+gives an empty result.  Offsets are characters from 0.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.operators.storage import once
+
 #: Characters on each side of a candidate that count as its neighbourhood.
 NEAR = 48
 #: Names that introduce a credential (fixed list).
@@ -31,44 +33,67 @@ DICTIONARY = "example|sample|placeholder|dummy|test|your|token|secret|password|c
 RUN = "[A-Za-z0-9_+/=-]"
 #: One pattern, so that a text is read once: a run that isn't part of a longer
 #: one and holds a digit, or a quoted value after a name.
-CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z_+/=-]*+[0-9]){RUN}{{16,}}+|(?<=[\"'])(?i:(?<=(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|credential)[ \t:=!#$%&*]{{1,8}}[\"'])[^\s\"']{{8,200}}(?=[\"']))"
+CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z_+/=-]*+[0-9]){RUN}{{16,}}+|(?<=[\"'])(?i:(?<=(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|credential)[ \t:=!#$%&*>]{{1,8}}[\"'])[^\s\"']{{8,}}+(?=[\"']))"
 FEATURES = ("length", "moves", "distinct", "digits", "upper", "hex", "covered", "named", "assigned", "quoted", "harmless", "dashed", "pathlike", "testpath", "only_digits")
-FINDINGS = 1600
+FINDINGS = 4000
 
 
-def findings(df: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each candidate: ``keep`` columns, start, value, features."""
-    held = df.filter(F.col(text).rlike(CANDIDATE))
+def _found(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """(row: the whole row, t: its text, found: an array of start, value and
+    features of its candidates).  No join, and names of its own only."""
+    pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
+    none = F.lit(None).cast("array<string>")
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row")
+    where = docs[f"`{path}`"].cast("string") if path else F.lit(None).cast("string")
+    base = docs.select(row, docs[f"`{text}`"].alias("t"), where.alias("path"))
+    has = F.col("t").rlike(CANDIDATE)
     # what stands before each candidate, and the candidate: their lengths give
     # the offsets
-    pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
-    cut = held.select(*keep, F.col(text).alias("_t"), (F.col(path) if path else F.lit(None).cast("string")).alias("_path"), F.regexp_extract_all(F.col(text), pattern, F.lit(1)).alias("_gap"), F.regexp_extract_all(F.col(text), pattern, F.lit(2)).alias("_value"))
-    steps = F.expr("transform(arrays_zip(_gap, _value), x -> named_struct('g', length(x._gap), 'v', x._value))")
-    starts = F.expr("aggregate(_steps, named_struct('at', 0, 'all', cast(array() as array<struct<start:int,value:string>>)), (a, x) -> named_struct('at', a.at + x.g + length(x.v), 'all', concat(a.all, array(named_struct('start', a.at + x.g, 'value', x.v)))), a -> a.all)")
-    cut = _once(cut, _steps=steps)
-    rows = cut.withColumn("_f", F.explode(starts)).select(*keep, "_path", F.col("_f.start").alias("start"), F.col("_f.value").alias("value"), F.expr(f"substring(_t, greatest(1, _f.start + 1 - {NEAR}), least({NEAR}, _f.start))").alias("before"), F.expr(f"substring(_t, _f.start + 1 + length(_f.value), {NEAR})").alias("after"))
-    x = {k: F.col(k) for k in ("value", "before", "after")}
-    return _once(rows, features=F.array(*described(x, F.col("_path")))).select(*keep, "start", "value", "features")
+    base = once(base, gap=F.when(has, F.regexp_extract_all("t", pattern, F.lit(1))).otherwise(none), value=F.when(has, F.regexp_extract_all("t", pattern, F.lit(2))).otherwise(none))
+    steps = F.expr("aggregate(arrays_zip(gap, value), named_struct('at', 0, 'all', cast(array() as array<struct<start:int,value:string>>)), (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.value), 'all', concat(a.all, array(named_struct('start', a.at + length(x.gap), 'value', x.value)))), a -> a.all)")
+    at = once(base, at=F.when(F.col("value").isNotNull(), steps))
+    near = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), F.expr("t").substr(F.greatest(F.lit(1), x["start"] + 1 - NEAR), F.least(F.lit(NEAR), x["start"])).alias("before"), F.expr("t").substr(x["start"] + 1 + F.length(x["value"]), F.lit(NEAR)).alias("after")))
+    near = once(at, near=near)
+    found = F.transform("near", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), F.array(*described(x, F.col("path"))).alias("features")))
+    return once(near, found=found).select("row", "t", "found")
+
+
+def _scored(docs: DataFrame, forest: Forest, threshold: float, path: str | None) -> DataFrame:
+    """(row, t, every: candidates with scores, secret: those above the
+    threshold and others of the same value)."""
+    empty = F.expr("cast(array() as array<struct<start:int,value:string,score:double>>)")
+    scored = F.expr(f"transform(found, x -> named_struct('start', x.start, 'value', x.value, 'score', {forest.sql('x.features')}))")
+    every = once(_found(docs, "text", path).select("row", "t", "found"), every=F.coalesce(scored, empty))
+    # a value that is a secret in one place is one in all others of the text
+    bad = once(every, bad=F.expr(f"array_distinct(transform(filter(every, x -> x.score >= {threshold}D), x -> x.value))"))
+    secret = F.when(F.size("bad") > 0, F.expr("filter(every, x -> array_contains(bad, x.value))")).otherwise(empty)
+    return once(bad, secret=secret).select("row", "t", "every", "secret")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(text, path, label): short texts with one finding each, by rule from
-    hashes, half of them real credentials.  A table of reviewed findings with
-    these columns can be given instead."""
+    """(text, path, label): texts with one finding each, half of them real
+    credentials, by rule from hashes: formats of keys and of what is taken for
+    them, among made-up words and marks; fixtures and documentation hold more
+    false ones.  A table of reviewed findings with these columns can be given
+    instead."""
     h = "sha2(concat('finding', {0}, ':', id), 512)".format
-    word = "element_at(array('la','und','the','of','thtion','queeau','erist','osci','on','der'), cast(1 + conv(substring({0}, {1}, 4), 16, 10) % 10 as int))".format
+    # made-up words: letters for hex digits, three to eight of them
+    word = "translate(substring({0}, {1}, cast(3 + conv(substring({0}, {1}, 1), 16, 10) % 6 as int)), '0123456789abcdef', 'aeiounrstlmdkbpg')".format
+    marks = "translate(substring({0}, {1}, cast(conv(substring({0}, {1}, 1), 16, 10) % 4 as int)), '0123456789abcdef', '!#$%&*=:!#$%&*=:')".format
     hexes = lambda k, at=1: f"substring({h(1)}, {at}, {k})"
     mixed = lambda k: f"substring(translate(base64(unhex({h(2)})), '+/=', 'xYz'), 1, {k})"
     base32 = f"substring(translate({h(3)}, '0189abcdef', 'QWZXABCDEF'), 1, 16)"
     name = "element_at(array('token','secret','password','api_key','auth_token','access_key','apikey','credential'), cast(1 + id div 16 % 8 as int))"
-    sign = "element_at(array(' = \"',': \"','=\"',' =!! \"',' =### \"',' =*** \"'), cast(1 + id div 3 % 6 as int))"
+    sign = f"concat(element_at(array(' =', ':', '=', ' :', ' =>'), cast(1 + id div 3 % 5 as int)), if(id div 7 % 2 = 0, ' ', ''), {marks(h(6), 3)}, '\"')"
     real = [f"concat({name}, {sign}, {hexes(40)}, '\"')", f"concat(upper({name}), {sign}, upper({hexes(40)}), '\"')", f"concat({name}, ' = \"ghp_', {mixed(36)}, '\"')", f"concat({name}, {sign}, {mixed(32)}, '\"')", f"concat('key ', 'AKIA', upper({base32}), ' ')", f"concat({name}, {sign}, {hexes(32)}, '\"')", f"concat('Bearer ', {mixed(64)})", f"concat({name}, {sign}, {mixed(20)}, '\"')"]
-    false = [f"concat('commit ', {hexes(40)})", f"concat('id ', {hexes(8)}, '-', {hexes(4, 9)}, '-4', {hexes(3, 13)}, '-a', {hexes(3, 17)}, '-', {hexes(12, 21)})", f"concat('md5: ', {hexes(32)})", f"substring(translate({h(4)}, 'abcdef', '123456'), 1, 16)", f"concat({name}, {sign}, 'your-', {name}, '-here-123456789', '\"')", f"concat('https://files.example.org/data/', {hexes(32)}, '/index.html')", f"concat('chapter-', id, '-section-', id % 7, '-figure-', id % 11, '-table')", f"concat('build/release-2', id, '/image_width_1024_height_768')", f"concat('sha256 checksum ', {hexes(64)})", f"concat({name}, ' example_value_0000000000')"]
+    false = [f"concat('commit ', {hexes(40)})", f"concat('id ', {hexes(8)}, '-', {hexes(4, 9)}, '-4', {hexes(3, 13)}, '-a', {hexes(3, 17)}, '-', {hexes(12, 21)})", f"concat('md5: ', {hexes(32)})", f"substring(translate({h(4)}, 'abcdef', '123456'), 1, 16)", f"concat({name}, {sign}, 'your-', {name}, '-here-123456789', '\"')", f"concat('https://files.example.org/data/', {hexes(32)}, '/index.html')", "concat('chapter-', id, '-section-', id % 7, '-figure-', id % 11, '-table')", "concat('build/release-2', id, '/image_width_1024_height_768')", f"concat('sha256 checksum ', {hexes(64)})", f"concat({name}, ' example_value_0000000000')"]
     arms = [f"when {i} then {x}" for i, x in enumerate(real)], [f"when {i} then {x}" for i, x in enumerate(false)]
     shown = f"case when id % 2 = 1 then (case id div 2 % {len(real)} {' '.join(arms[0])} end) else (case id div 2 % {len(false)} {' '.join(arms[1])} end) end"
-    words = lambda at: f"concat_ws(' ', {', '.join(word(h(5), at + 5 * j) for j in range(3))})"
-    path = "element_at(array('src/app.py','tests/fixtures/a.json','docs/readme.md', null, null, null), cast(1 + conv(substring(sha2(concat('p', id), 256), 1, 4), 16, 10) % 6 as int))"
-    made = _once(spark.range(n), text=F.expr(f"concat({words(1)}, ' ', {shown}, ' ', {words(20)})"), path=F.expr(path))
+    words = lambda at: f"concat_ws(' ', {', '.join(word(h(5), at + 9 * j) for j in range(3))})"
+    draw = "cast(conv(substring(sha2(concat('p', id), 256), 1, 4), 16, 10) as int)"
+    path = f"if({draw} % 10 < if(id % 2 = 1, 1, 3), element_at(array('tests/fixtures/a.json','docs/readme.md','examples/run.sh'), 1 + {draw} % 3), element_at(array('src/app.py','config/site.yml', null, null), 1 + {draw} % 4))"
+    case = f"if({draw} % 8 = 0, upper({{0}}), {{0}})".format
+    made = once(spark.range(n), text=F.expr(f"concat({case(words(1))}, ' ', {shown}, ' ', {case(words(40))})"), path=F.expr(path))
     return made.select("text", "path", F.expr("cast(id % 2 as int)").alias("label"))
 
 
@@ -122,70 +147,54 @@ class Forest:
 
 
 def fit_forest(labelled: DataFrame, most: int = 20_000, **kw) -> Forest:
-    """From at most ``most`` labelled findings (a documented bound); a text's
-    findings all have its label."""
-    rows = sorted((tuple(r.features), r.label) for r in findings(labelled, path="path", keep=("label",)).select("features", "label").limit(most).collect())
+    """From at most ``most`` labelled findings (a documented bound, the
+    smallest hashes of the text first); a text's findings all have its label."""
+    own = _found(labelled, path="path").select("row.label", "t", F.explode("found").alias("x")).orderBy(F.xxhash64("t"), "t", "x.start", "label").limit(most)
+    rows = sorted((tuple(r.features), r.label) for r in own.select("x.features", "label").collect())
     return Forest(**kw).fit(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float))
 
 
+def evaluate(labelled: DataFrame, apart: int = 4, threshold: float = 0.5, **kw) -> dict[str, float]:
+    """Precision and recall of findings whose texts' hash leaves 0 of
+    ``apart``, with a forest of the others."""
+    test = F.pmod(F.xxhash64("text"), F.lit(apart)) == 0
+    forest = fit_forest(labelled.filter(~test), **kw)
+    bad = F.size("secret") > 0
+    got = _scored(labelled.filter(test), forest, threshold, "path").agg(*[F.count_if(c & (F.col("row.label") == k)).alias(n) for n, c, k in (("tp", bad, 1), ("fp", bad, 0), ("fn", ~bad, 1), ("tn", ~bad, 0))]).first()
+    return {"precision": got.tp / max(1, got.tp + got.fp), "recall": got.tp / max(1, got.tp + got.fn), "findings": got.tp + got.fp + got.fn + got.tn}
+
+
 def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", path: str | None = None, threshold: float = 0.5) -> DataFrame:
     """One row for each candidate: key, start, value, score, is_secret."""
-    return findings(docs, path=path, keep=(key,)).select(key, "start", "value", F.expr(forest.sql("features")).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    found = _found(docs, path=path).select(F.col(f"row.`{key}`").alias(key), F.explode("found").alias("x"))
+    return found.select(key, "x.start", "x.value", F.expr(forest.sql("x.features")).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 
-def scan_report(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
+def scan_report(docs: DataFrame, forest: Forest, path: str | None = None, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs``: its candidates, secrets with spans, and the text's
     digest after redaction.  No join: findings stay in an array."""
-    found = _scored(docs.select("doc_id", "text"), forest, threshold)
-    return found.select(
-        "doc_id", F.size("_all").cast("long").alias("n_candidates"), F.size("_secret").cast("long").alias("n_secrets"),
-        F.expr("transform(_secret, x -> named_struct('start', cast(x.start as long), 'end', cast(x.start + length(x.value) as long), 'score', x.score, 'value_sha256', sha2(x.value, 256)))").alias("secrets"),
+    return _scored(docs.select("doc_id", "text", *([path] if path else [])), forest, threshold, path).select(
+        "row.doc_id", F.size("every").cast("long").alias("n_candidates"), F.size("secret").cast("long").alias("n_secrets"),
+        F.expr("transform(secret, x -> named_struct('start', cast(x.start as long), 'end', cast(x.start + length(x.value) as long), 'score', x.score, 'value_sha256', sha2(x.value, 256)))").alias("secrets"),
         F.sha2(_redacted(), 256).alias("redacted_sha256"),
     )
 
 
-def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
+def redact(docs: DataFrame, forest: Forest, path: str | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``<secret>`` for each secret; other columns as they are,
     n_chars (if there) counted anew."""
-    found = _once(_scored(docs, forest, threshold), _new=_redacted())
-    new = {c: F.col(c) for c in docs.columns} | {"text": F.col("_new")}
+    found = once(_scored(docs, forest, threshold, path), new=_redacted())
+    new = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in new:
-        new["n_chars"] = F.when(F.size("_secret") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.size("secret") > 0, F.length("new").cast("long")).otherwise(new["n_chars"])
     return found.select(*[c.alias(k) for k, c in new.items()])
 
 
 def _redacted() -> Column:
-    """The text with each span of ``_secret`` replaced; where a short value
+    """The text with each span of ``secret`` replaced; where a short value
     stands as a plain word or in one, it stays."""
-    step = "named_struct('at', x.start + length(x.value), 'out', concat(a.out, substring(text, a.at + 1, x.start - a.at), '<secret>'))"
-    return F.expr(f"case when size(_secret) = 0 then text else aggregate(_secret, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.at + 1))) end")
-
-
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once, however often they are used: the
-    optimizer doesn't merge projections across a generator."""
-    held = df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-    return held.select(*df.columns, *[F.col(f"_once.{k}").alias(k) for k in columns])
-
-
-def _scored(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
-    """Adds _all, the candidates with scores, and _secret, those above and
-    others of the same value."""
-    pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
-    none = F.lit(None).cast("array<string>")
-    has = F.col("text").rlike(CANDIDATE)
-    base = _once(docs, _gap=F.when(has, F.regexp_extract_all("text", pattern, F.lit(1))).otherwise(none), _value=F.when(has, F.regexp_extract_all("text", pattern, F.lit(2))).otherwise(none))
-    steps = F.expr("aggregate(arrays_zip(_gap, _value), named_struct('at', 0, 'all', cast(array() as array<struct<start:int,value:string>>)), (a, x) -> named_struct('at', a.at + length(x._gap) + length(x._value), 'all', concat(a.all, array(named_struct('start', a.at + length(x._gap), 'value', x._value)))), a -> a.all)")
-    at = _once(base, _at=F.when(F.col("_value").isNotNull(), steps))
-    near = F.transform(F.col("_at"), lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), F.expr("text").substr(F.greatest(F.lit(1), x["start"] + 1 - NEAR), F.least(F.lit(NEAR), x["start"])).alias("before"), F.expr("text").substr(x["start"] + 1 + F.length(x["value"]), F.lit(NEAR)).alias("after")))
-    near = _once(at, _near=near)
-    feat = _once(near, _feat=F.transform("_near", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), F.array(*described(x)).alias("features"))))
-    scored = F.expr(f"transform(_feat, x -> named_struct('start', x.start, 'value', x.value, 'score', {forest.sql('x.features')}))")
-    empty = F.expr("cast(array() as array<struct<start:int,value:string,score:double>>)")
-    out = _once(feat, _all=F.coalesce(scored, empty))
-    # a value that is a secret in one place is one in all others of the text
-    found = _once(out, _bad=F.expr(f"array_distinct(transform(filter(_all, x -> x.score >= {threshold}D), x -> x.value))"))
-    return _once(found, _secret=F.when(F.size("_bad") > 0, F.expr("filter(_all, x -> array_contains(_bad, x.value))")).otherwise(empty))
+    step = "named_struct('at', x.start + length(x.value), 'out', concat(a.out, substring(t, a.at + 1, x.start - a.at), '<secret>'))"
+    return F.expr(f"case when size(secret) = 0 then t else aggregate(secret, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(t, a.at + 1))) end")
 
 
 def described(x, path: Column | None = None) -> list[Column]:
