@@ -2,7 +2,14 @@
 
 Each stage works on all rows that the one before kept; between stages rows are
 written as Parquet and read again.  All but the last return the columns of
-``documents``.
+``documents``, of whatever names there are beside doc_id, text and source.
+
+Null and empty texts are kept by the classifier and the secret scan, are one
+class to the near-duplicates (so one row of them stays), have no words for the
+mix to take, and so end there.  Rows without an id and repeated ids are rows
+like others: what is decided of a row depends on its text.  Of a class the row
+of the smallest id stays, rows without an id last; equal rows are one.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import mixing, neardup, packing, secrets, toxicity
-from textmill.llm.common import fresh_dir, table
-from textmill.llm.registry import vocabulary
+from textmill.llm.common import fresh_dir, table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the smallest id; rows without
-    an id stay."""
-    classes = neardup.near_duplicates(docs)
-    keep = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """One document of each class stays, that of the smallest id."""
+    return neardup.representatives(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become ``<secret>``; every document stays."""
-    return secrets.redact(docs, secrets.fit_forest(secrets.labelled_findings(spark)))
+    return secrets.redact(docs, secrets.fit_forest(secrets.labelled_findings(spark)), path="source")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
