@@ -45,17 +45,44 @@ def remainder(key: str, by: int):
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``most`` bytes of one column, so that
-    what is made of a piece stays small whatever the length of the texts."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        at = total = 0
-        for i, n in enumerate(sizes):
-            total += n
-            if total >= most:
-                yield batch.slice(at, i + 1 - at)
-                at, total = i + 1, 0
-        if at < len(sizes):
-            yield batch.slice(at)
+    what is made of a piece stays small whatever the length of the texts.
+    Memory that was used for them goes back to the system at the end, as the
+    worker goes on with other tasks."""
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            at = total = 0
+            for i, n in enumerate(sizes):
+                total += n
+                if total >= most:
+                    yield batch.slice(at, i + 1 - at)
+                    at, total = i + 1, 0
+            if at < len(sizes):
+                yield batch.slice(at)
+    finally:
+        batch = None
+        trim()
+
+
+#: What a worker process keeps from task to task, by operator: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def takes_over(owner: str) -> None:
+    """A worker that starts on another operator's tasks drops what it kept for
+    the one before."""
+    for name, drop in KEPT.items():
+        if name != owner:
+            drop()
+
+
+def trim() -> None:
+    """Gives freed memory of this process back to the system, where the C
+    library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 @cache

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, takes_over
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Shards of a source at most; documents that a shard is planned for.
@@ -186,6 +186,7 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
     where = names.index("text")
 
     def made(batches):
+        takes_over("mixing")
         for batch in slices(batches, "text"):
             take, texts = [], []
             rows = zip(*(batch.column(k).to_pylist() for k in ("text", "_whole", "_from", "_to")), strict=True)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, cut, slices, text_or_empty
+from .common import KEPT, by_group, components, cut, slices, takes_over, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 SLOTS = 64
@@ -59,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Word hashes by a bounded per-process table."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -80,6 +80,7 @@ class Hasher:
 
 
 _HASH = Hasher()
+KEPT["neardup"] = _HASH.known.clear
 
 
 def split_words(text: str) -> list[bytes]:
@@ -166,6 +167,7 @@ def describe(docs: DataFrame, count: int, length: int) -> DataFrame:
     """(doc_id, exact, key, size, sketch array, sig): one row for each
     document; exact and key are digests of the text and of its words."""
     def described(batches):
+        takes_over("neardup")
         for batch in slices(batches, "text"):
             key, size, sketch, sig = [], [], [], []
             for text in batch.column("text").to_pylist():

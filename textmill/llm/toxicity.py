@@ -28,7 +28,7 @@ table gives an empty result.  Without positives and negatives nothing is toxic.
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -37,7 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, one_thread, slices, text_or_empty
+from .common import cut, one_thread, slices, takes_over, text_or_empty
+from .vocab import column_bytes
 
 #: Letters of the beginnings that are looked at.
 BEGINNINGS = range(3, 8)
@@ -46,21 +47,34 @@ FOLDS = 5
 LANGUAGES, POSITIVES = 8, 20
 
 
-def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Row and code of each word of all texts (runs of letters, lower-cased),
-    and the distinct words that codes stand for."""
-    parts = pc.split_pattern_regex(pc.utf8_lower(column), r"[^\pL]+")
-    rows = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
-    words = parts.flatten().dictionary_encode()
-    names, code = words.dictionary.to_pylist(), words.indices.to_numpy()
-    if "" in names:
-        some = code != names.index("")
-        rows, code = rows[some], code[some]
-    return rows, code, names
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes that stand in a word, or in a character beyond ASCII that may.
+_INSIDE = np.zeros(256, bool)
+_INSIDE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Row and code of each stretch of letters and other characters beyond
+    ASCII, and for each distinct stretch its words: runs of letters,
+    lower-cased."""
+    data, at = column_bytes(column)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    inside = _INSIDE[data]
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    border = np.zeros(len(data) + 1, bool)  # a text begins here
+    border[at] = True
+    starts = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | border[:-1]))
+    ends = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | border[1:])) + 1
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
+    words = [[w.decode()] if w.isascii() else _LETTERS.findall(w.decode("utf-8", "replace").lower()) for w in found.dictionary.to_pylist()]
+    return np.searchsorted(at, starts, "right") - 1, found.indices.to_numpy(), words
 
 
 def marks(word: str) -> list[str]:
-    """The word and its beginnings, the latter with a star."""
+    """The word and its beginnings, the latter with a star; all have the word's
+    first letters, so that a look at those tells whether any can be known."""
     return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
 
 
@@ -83,10 +97,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np
 def features(texts: pa.Array, vocabulary: list[str]) -> np.ndarray:
     """log(1 + count) of each mark of the vocabulary, and of all words."""
     place = {w: i for i, w in enumerate(vocabulary)}
-    rows, code, names = distinct_words(texts)
+    rows, code, words = distinct_words(texts)
     n, v = len(texts), len(vocabulary)
-    # a word's marks among the vocabulary, as one list for all words
-    found = [[place[m] for m in marks(w) if m in place] for w in names]
+    # the marks among the vocabulary, as one list for all words
+    heads, none = {m.rstrip("*")[: BEGINNINGS[0]] for m in vocabulary}, []
+    found = [[place[m] for w in own if w[: BEGINNINGS[0]] in heads for m in marks(w) if m in place] if own else none for own in words]
     size = np.array([len(f) for f in found], np.int64)
     flat = np.array([i for f in found for i in f], np.int64)
     first = np.cumsum(size) - size
@@ -94,7 +109,7 @@ def features(texts: pa.Array, vocabulary: list[str]) -> np.ndarray:
     at = np.repeat(first[code] - (np.cumsum(of) - of), of) + np.arange(int(of.sum()))
     x = np.empty((n, v + 1))
     x[:, :v] = np.bincount(np.repeat(rows, of) * v + flat[at], minlength=n * v).reshape(n, v) if v else 0
-    x[:, v] = np.bincount(rows, minlength=n)
+    x[:, v] = np.bincount(rows, weights=np.array([len(own) for own in words], float)[code], minlength=n)
     return np.log1p(x)
 
 
@@ -163,9 +178,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: flo
     def counted(batches):
         for batch in slices(batches, "text"):
             got: dict[tuple[int, int], Counter] = {}
-            rows, code, names = distinct_words(batch.column("text"))
+            rows, code, words = distinct_words(batch.column("text"))
             held = [set() for _ in range(batch.num_rows)]
-            of = [marks(w) for w in names]
+            of = [[m for w in own for m in marks(w)] for own in words]
             for i, c in set(zip(rows.tolist(), code.tolist(), strict=True)):
                 held[i].update(of[c])
             for h, y, k in zip(held, batch.column("y").to_pylist(), batch.column("fold").to_pylist(), strict=True):
@@ -215,6 +230,7 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] =
 
     def scored(batches):
         one_thread()
+        takes_over("toxicity")
         for batch in slices(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "")
             p = shared.value.score(texts) if shared.value else np.zeros((len(texts), len(names)))
@@ -232,6 +248,7 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) ->
 
     def kept(batches):
         one_thread()
+        takes_over("toxicity")
         for batch in slices(batches, "text"):
             model = shared.value
             if model:

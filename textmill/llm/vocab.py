@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import KEPT, takes_over
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units kept by a worker process: at some 200 bytes each, 120 MB.
-CACHE_UNITS = 600_000
+#: Units kept by a worker process: at some 200 bytes each, 60 MB.
+CACHE_UNITS = 300_000
 
 #: Bytes that end a unit, and those that send a text to the library whole.
 _BREAK = np.zeros(256, bool)
@@ -209,10 +211,12 @@ class FastEncoder:
 
 
 _ENCODERS: dict[str, FastEncoder] = {}
+KEPT["vocab"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> FastEncoder:
     """One encoder a process for each vocabulary file."""
+    takes_over("vocab")
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = FastEncoder(path)
