@@ -30,8 +30,9 @@ URL = r"(?i)https?://\S+|www\.\S+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 TAG = r"^[@#]\S+$"
 
-#: A token is open to change if none of these holds.
-PROTECTED = "t rlike '(?i)https?://|www[.]' or t rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}' or t rlike '^[@#].' or length(regexp_replace(t, '[^\\\\p{L}\\\\p{N}]', '')) < 4 or not regexp_replace(t, '[^\\\\p{L}\\\\p{N}]', '') rlike '[^0-9]'"
+#: A token x.t is open to change: four letters or digits, one of them no digit
+#: of ASCII, and no address, mention or tag.  Cheap conditions come first.
+OPEN = "x.t rlike '(?:[\\\\p{L}\\\\p{N}][^\\\\p{L}\\\\p{N}]*){4}' and x.t rlike '[\\\\p{L}\\\\p{N}&&[^0-9]]' and not (left(x.t, 1) in ('@', '#') and length(x.t) > 1) and not (contains(x.t, '@') and x.t rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') and not ((contains(x.t, '://') or contains(x.t, '.')) and x.t rlike '(?i)https?://|www[.]')"
 
 
 def conditions(df: DataFrame) -> DataFrame:
@@ -40,9 +41,10 @@ def conditions(df: DataFrame) -> DataFrame:
     return df.withColumn("_c", F.explode(made)).select(*df.columns, "_c.family", "_c.severity")
 
 
-def eligible_tokens(text: str = "text") -> Column:
+def eligible_tokens(tokens: str | None = None, text: str = "text") -> Column:
     """Array of struct(i, t): 1-based positions of open tokens."""
-    return F.expr(f"filter(transform(regexp_extract_all({text}, '\\\\S+', 0), (t, i) -> named_struct('i', cast(i + 1 as long), 't', t)), x -> not ({PROTECTED.replace('t rlike', 'x.t rlike').replace('(t,', '(x.t,')}))")
+    tokens = tokens or f"regexp_extract_all({text}, '\\\\S+', 0)"
+    return F.expr(f"filter(transform({tokens}, (t, i) -> named_struct('i', cast(i + 1 as long), 't', t)), x -> {OPEN})")
 
 
 def protected_spans(text: str = "text") -> Column:
@@ -65,39 +67,47 @@ _OPEN = {
 
 
 def hash_mode(records: DataFrame, family: str, seed: int = SEED) -> DataFrame:
-    """Adds text_obfuscated, modified_token_count and changed to records with
-    doc_id, text, severity, for one family."""
+    """Adds severity (both, where ``records`` has none), text_obfuscated,
+    modified_token_count and changed to records with doc_id and text, for one
+    family.  A text is cut into tokens once for both severities; only chosen
+    tokens are taken apart, and the text around them is joined as it is."""
     key = lambda *more: "md5(concat_ws('|', '%d', doc_id, '%s', severity, %s))" % (seed, family, ", ".join(more))
-    ready = F.expr(f"filter(_e, x -> x.t rlike '[{DIGIT_FROM}]')") if family == "O1_CHAR_SUBSTITUTION" else F.col("_e")
     few = "if(severity = 'MILD', 1, 2)"
-    df = once(once(records, _e=eligible_tokens()), _e=ready)
-    df = once(df, _k=F.expr(f"slice(array_sort(transform(_e, x -> named_struct('k', {key('x.i')}, 'i', x.i, 't', x.t))), 1, {few})"))
-    df = once(df, _k=F.expr("transform(_k, x -> named_struct('i', x.i, 'c', filter(split(x.t, ''), y -> y <> '')))"))
-    many = few if family == "O1_CHAR_SUBSTITUTION" else "1"
+    # tokens with the white space before them
+    df = once(records, _z=F.expr("regexp_extract_all(text, '\\\\s*\\\\S+', 0)"))
+    tokens = F.expr("transform(_z, z -> regexp_replace(z, '^\\\\s+', ''))")
+    df = once(once(df, _w=tokens), _e=eligible_tokens("_w"))
+    ready = "filter(_e, x -> x.t rlike '[%s]')" % DIGIT_FROM if family == FAMILIES[0] else "_e"
+    df = once(df, _i=F.expr(f"transform({ready}, x -> x.i)")).drop("_e")
+    if "severity" not in records.columns:
+        df = df.withColumn("severity", F.explode(F.array(*map(F.lit, SEVERITIES))))
+    picks = once(df, _k=F.expr(f"slice(array_sort(transform(_i, i -> named_struct('k', {key('i')}, 'i', i))), 1, {few})"))
+    df = once(picks, _k=F.expr("transform(_k, x -> named_struct('i', x.i, 'c', filter(split(_w[x.i - 1], ''), y -> y <> '')))")).drop("_i")
+    many = few if family == FAMILIES[0] else "1"
     picked = lambda open_: f"transform(slice(array_sort(transform({open_}, p -> named_struct('k', {key('x.i', 'p')}, 'p', p))), 1, {many}), y -> y.p)"
     opened = _OPEN[family].replace("(c)", "(x.c)").replace("c[", "x.c[")
     df = once(df, _p=F.expr(f"transform(_k, x -> named_struct('i', x.i, 'c', x.c, 'p', {picked(opened)}, 'how', 0))"))
-    if family == "O4_UNICODE_ORTHOGRAPHIC":
+    if family == FAMILIES[3]:
         vowel = "filter(sequence(1, size(x.c)), p -> lower(x.c[p - 1]) in ('a', 'e', 'i', 'o', 'u'))"
         inner = f"filter(sequence(1, size(x.c)), p -> p > 1 and p < size(x.c) and x.c[p - 1] rlike '{ALNUM}')"
         df = once(df, _p=F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(vowel)}, 'how', 1)))"))
         df = once(df, _p=F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(inner)}, 'how', 1)))"))
     coin = f"size(filter(x.c, y -> y rlike '{ALNUM}')) >= 5 and substring({key('x.i', chr(39) + 'coin' + chr(39))}, 1, 1) in ('0', '1', '2', '3', '4', '5', '6', '7')"
     change = {
-        "O1_CHAR_SUBSTITUTION": f"translate(y, '{DIGIT_FROM}', '{DIGIT_TO}')",
-        "O2_CHAR_INSERT_DELETE": f"if({coin}, '', concat(y, y))",
-        "O3_WHITESPACE": "concat(' ', y)",
-        "O4_UNICODE_ORTHOGRAPHIC": f"if(x.how = 0, translate(y, '{LOOKALIKE_FROM}', '{LOOKALIKE_TO}'), concat(y, y))",
+        FAMILIES[0]: f"translate(y, '{DIGIT_FROM}', '{DIGIT_TO}')",
+        FAMILIES[1]: f"if({coin}, '', concat(y, y))",
+        FAMILIES[2]: "concat(' ', y)",
+        FAMILIES[3]: f"if(x.how = 0, translate(y, '{LOOKALIKE_FROM}', '{LOOKALIKE_TO}'), concat(y, y))",
     }[family]
-    df = once(df, _n=F.expr(f"transform(filter(_p, x -> size(x.p) > 0), x -> named_struct('i', x.i, 't', array_join(transform(x.c, (y, j) -> if(array_contains(x.p, j + 1), {change}, y)), '')))"))
-    # gaps and tokens alternate; the first gap may be empty
-    gaps = "regexp_extract_all(text, '(\\\\s*)(\\\\S+)', 1)"
-    toks = "regexp_extract_all(text, '(\\\\s*)(\\\\S+)', 2)"
-    body = "array_join(transform(_z, (z, j) -> concat(z.g, coalesce(element_at(_m, cast(j + 1 as long)), z.w))), '')"
-    df = once(df, _z=F.arrays_zip(F.expr(gaps).alias("g"), F.expr(toks).alias("w")), _m=F.expr("map_from_entries(_n)"))
-    df = once(df, text_obfuscated=F.expr(f"concat({body}, regexp_extract(text, '(\\\\s*)$', 1))"))
+    made = f"array_join(transform(x.c, (y, j) -> if(array_contains(x.p, j + 1), {change}, y)), '')"
+    gap = "left(_z[x.i - 1], length(_z[x.i - 1]) - length(_w[x.i - 1]))"
+    df = once(df, _n=F.expr(f"array_sort(transform(filter(_p, x -> size(x.p) > 0), x -> named_struct('i', x.i, 't', concat({gap}, {made}))))"))
+    # the tokens before, between and after the (one or two) changed ones
+    spliced = "aggregate(_n, named_struct('at', 1L, 'out', ''), (a, x) -> named_struct('at', x.i + 1, 'out', concat(a.out, array_join(slice(_z, cast(a.at as int), cast(x.i - a.at as int)), ''), x.t)), a -> concat(a.out, array_join(slice(_z, cast(a.at as int), size(_z)), '')))"
+    tail = "regexp_extract(right(text, length(text) - length(array_join(_z, ''))), '^(\\\\s*)$', 1)"
+    df = once(df, text_obfuscated=F.expr(f"if(size(_n) = 0, text, concat({spliced}, {tail}))"))
     df = df.withColumn("modified_token_count", F.size("_n").cast("long")).withColumn("changed", F.col("text_obfuscated") != F.col("text"))
-    return df.drop("_e", "_k", "_p", "_n", "_z", "_m")
+    return df.drop("_k", "_p", "_n", "_z", "_w")
 
 
 def _common(a: str, i: int, b: str, j: int) -> int:
@@ -118,17 +128,17 @@ def _common(a: str, i: int, b: str, j: int) -> int:
     return n
 
 
-def edit_distance(a: str, b: str, most: int = 8) -> int:
-    """Levenshtein distance, or -1 above ``most``: the furthest point on each
-    diagonal for 0, 1, ... edits (Ukkonen 1985), so long texts with few edits
-    take a few slice comparisons."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance (-1 above ``most``, if given): the furthest point
+    on each diagonal for 0, 1, ... edits (Ukkonen 1985), so long texts with few
+    edits take a few slice comparisons."""
     n, m = len(a), len(b)
     reach = {0: _common(a, 0, b, 0)}
     if n == m == reach[0]:
         return 0
-    for edits in range(1, most + 1):
+    for edits in range(1, (max(n, m) if most is None else most) + 1):
         ahead = {}
-        for d in range(-edits, edits + 1):
+        for d in range(max(-edits, -n), min(edits, m) + 1):
             at = min(max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1), n, m - d)
             if at >= 0 and at + d >= 0:
                 ahead[d] = at + _common(a, at, b, at + d)

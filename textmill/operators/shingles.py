@@ -31,13 +31,13 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def with_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``shingles``: distinct word bigrams in lower case; the text itself
-    if it has one word; none below four characters."""
+    """Adds ``shingles``: distinct word bigrams in lower case; the text
+    without white space around it if it has one word; none below four characters."""
     words = f"filter(split(lower({text}), '(?U)[\\\\s\\\\x1c-\\\\x1f]+'), w -> w <> '')"
     df = once(docs, _w=F.expr(words))
     pairs = F.expr("array_distinct(transform(sequence(1, size(_w) - 1), i -> concat(_w[i - 1], ' ', _w[i])))")
     none = F.expr("cast(array() as array<string>)")
-    return once(df, shingles=F.when(F.length(text) < 4, none).when(F.size("_w") >= 2, pairs).otherwise(F.array(F.lower(text)))).drop("_w")
+    return once(df, shingles=F.when(F.length(text) < 4, none).when(F.size("_w") >= 2, pairs).otherwise(F.expr("array(coalesce(try_element_at(_w, 1), ''))"))).drop("_w")
 
 
 def exact_pairs(docs: DataFrame, threshold: float = 0.65) -> DataFrame:

@@ -56,5 +56,5 @@ def spread(df: DataFrame) -> DataFrame:
     file of one row group would be one task's work.  Larger tables have row
     groups enough and are left as they are, so that no text is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_SHARE else df

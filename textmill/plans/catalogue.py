@@ -13,6 +13,7 @@ from textmill.operators import graph, ml, pool, shingles
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
+from textmill.operators.storage import spread
 from textmill.plans import sql
 from textmill.sources import registry as R
 
@@ -29,7 +30,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return _t(spark, d, "documents")
+    return spread(_t(spark, d, "documents"))
 
 
 def _label(id_col: str = "doc_id"):
@@ -347,7 +348,7 @@ def protected_spans(spark, d):
 
 
 def _records(spark, d):
-    return _docs(spark, d).select("doc_id", "source", "text", F.explode(F.array(F.lit("MILD"), F.lit("STRONG"))).alias("severity"))
+    return _docs(spark, d).select("doc_id", "source", "text")
 
 
 def _hashed(spark, d, family):

@@ -96,7 +96,7 @@ ORACLE["harmonize_union"] = """SELECT printf('DS1_%06d', doc_id) AS record_id, '
 UNION ALL SELECT printf('DS2_%06d', conv_id * 1000 + turn), 'DS2', 'conversations', (conv_id * 1000 + turn)::BIGINT, coalesce(text, ''), NULL FROM conversations
 UNION ALL SELECT printf('DS3_%06d', item_id), 'DS3', 'benchmark', item_id, coalesce(text, ''), NULL FROM benchmark"""
 ORACLE["byte_equality"] = "SELECT count_if(doc_id % 50 = 7)::BIGINT AS missing_rows, 0::BIGINT AS mismatches, count_if(doc_id % 50 <> 7)::BIGINT AS equal_rows FROM documents"
-_SH = r"""CASE WHEN length(text) < 4 THEN []::VARCHAR[] WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE [lower(text)] END"""
+_SH = r"""CASE WHEN length(text) < 4 THEN []::VARCHAR[] WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE [coalesce(w[1], '')] END"""
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')"
 _TEXTS = f"texts AS (SELECT min(doc_id) AS doc_id, text, {_WORDS} AS w FROM documents GROUP BY text), sh AS (SELECT doc_id, {_SH} AS shingles FROM texts)"
 ORACLE["shingle_counts"] = f"WITH b AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, {_SH} AS x FROM b) SELECT doc_id, len(x) AS n_shingles, sha256(array_to_string(list_sort(x), '|')) AS digest FROM s"
