@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
@@ -34,12 +34,13 @@ def canonical_label(label: Column) -> Column:
 
 
 def canonical(df: DataFrame, key: str, order: list[str], invalid: Column | None = None) -> DataFrame:
-    """Marks one row of each key, the first by ``order``, and what its group
-    holds.  Group figures come from a partial aggregate; only the rank needs
-    the group's rows in order, and rows alone are kept there, no text."""
-    w = Window.partitionBy(key).orderBy(*order)
-    ok = F.lit(True) if invalid is None else ~invalid
-    return df.withColumn("is_representative", (F.row_number().over(w) == 1) & ok & F.col(key).isNotNull())
+    """One row of each key, the first by ``order`` (a total order) among all of
+    its rows, and that row only if it isn't invalid: a grouped minimum, so a
+    hot key needs no task for its rows."""
+    rest = [c for c in df.columns if c not in (key, *order)]
+    bad = F.lit(False) if invalid is None else invalid
+    got = df.filter(F.col(key).isNotNull()).withColumn("_bad", bad).groupBy(key).agg(F.min(F.struct(*order, "_bad", *rest)).alias("_x"), F.count("*").alias("source_record_count"))
+    return got.filter(~F.col("_x._bad")).select(key, *[F.col(f"_x.{c}").alias(c) for c in (*order, *rest)], "source_record_count")
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -74,19 +75,24 @@ LEVELS = ("exact", "whitespace", "normalized", "alnum")
 
 def pairwise_overlap(df: DataFrame, dataset: str = "source") -> DataFrame:
     """For every two datasets: exact groups of either whose key of each level
-    is on both sides, and distinct keys shared, for four levels of keys."""
+    is on both sides, and distinct keys shared, for four levels of keys.
+
+    One pass: the distinct (dataset, exact key) rows give a count for each
+    (level, key, dataset), and pairs are made from a key's datasets, never
+    from its rows.  Groups on both sides are counted twice by that, and are
+    the exact keys that the pair shares."""
     names = df.select(dataset).distinct()
     pairs = names.select(F.col(dataset).alias("dataset_a")).join(names.select(F.col(dataset).alias("dataset_b")), F.col("dataset_a") < F.col("dataset_b"))
-    out = pairs
-    for level in LEVELS:
-        held = df.filter(F.col(f"{level}_key").isNotNull()).select(F.col(f"{level}_key").alias("k"), F.col("exact_key").alias("e"), F.col(dataset).alias("d")).distinct()
-        # a key's datasets are few: pairs are made per key, not per row
-        sides = held.groupBy("k").agg(F.sort_array(F.collect_set("d")).alias("ds"), F.collect_set(F.struct("e", "d")).alias("rows")).filter("size(ds) > 1")
-        of = sides.select("k", "rows", F.explode("ds").alias("dataset_a"), "ds").select("k", "rows", "dataset_a", F.explode(F.expr("filter(ds, x -> x > dataset_a)")).alias("dataset_b"))
-        in_pair = of.select("k", "dataset_a", "dataset_b", F.explode(F.expr("array_distinct(transform(filter(rows, r -> r.d = dataset_a or r.d = dataset_b), r -> r.e))")).alias("e"))
-        got = in_pair.groupBy("dataset_a", "dataset_b").agg(F.count_distinct("e").alias(f"shared_{level}_groups"), F.count_distinct("k").alias(f"unique_{level}_shared"))
-        out = out.join(got, ["dataset_a", "dataset_b"], "left")
-    return out.fillna(0)
+    # a text's keys follow from its exact key
+    texts = df.groupBy(F.col(dataset).alias("d"), "exact_key").agg(*[F.first(f"{k}_key").alias(f"{k}_key") for k in LEVELS[1:]])
+    each = texts.select("d", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"{k}_key").alias("k")) for k in LEVELS])).alias("x")).select("d", "x.level", "x.k").filter("k is not null")
+    per = each.groupBy("level", "k", "d").agg(F.count("*").alias("n"))
+    # a key's datasets are few
+    sides = per.groupBy("level", "k").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("s")).filter("size(s) > 1")
+    of = sides.select("level", F.posexplode("s").alias("i", "a"), "s").select("level", "a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b"))
+    got = of.groupBy(F.col("a.d").alias("dataset_a"), F.col("b.d").alias("dataset_b")).agg(*[F.count_if(F.col("level") == k).alias(f"unique_{k}_shared") for k in LEVELS], *[F.sum(F.when(F.col("level") == k, F.col("a.n") + F.col("b.n")).otherwise(0)).alias(f"_{k}") for k in LEVELS])
+    out = pairs.join(got, ["dataset_a", "dataset_b"], "left").fillna(0)
+    return out.select("dataset_a", "dataset_b", *[c for k in LEVELS for c in ((F.col(f"_{k}") - F.col("unique_exact_shared")).alias(f"shared_{k}_groups"), F.col(f"unique_{k}_shared"))])
 
 
 def overlap_monotonicity(overlap: DataFrame) -> DataFrame:
@@ -108,14 +114,22 @@ def isolate(pool: DataFrame, held: DataFrame, levels: tuple[str, ...] = LEVELS)
 
 
 def reconciliation(df: DataFrame) -> DataFrame:
-    """Per dataset and TOTAL: rows, invalid, duplicates within the dataset
-    (TOTAL: in the pool), across datasets, representatives, by status."""
-    in_ds = df.groupBy("source", "exact_key").agg(F.count("*").alias("n_ds"))
-    in_all = in_ds.groupBy("exact_key").agg(F.sum("n_ds").alias("n_all"), F.count("*").alias("n_sources"))
-    rows = df.join(in_ds, ["source", "exact_key"]).join(in_all, "exact_key")
-    sums = lambda g, dup: g.agg(F.count("*").alias("raw_rows"), F.count_if(F.col("status") == "invalid").alias("invalid_rows"), F.count_if(dup > 1).alias("exact_duplicate_rows"), F.count_if(F.col("n_sources") > 1).alias("cross_duplicate_rows"), F.count_if("is_representative").alias("final_rows"))
-    per = sums(rows.groupBy("source"), F.col("n_ds"))
-    return per.unionByName(sums(rows.groupBy(F.lit("TOTAL").alias("source")), F.col("n_all")))
+    """Per dataset and TOTAL, from rows (doc_id, source, exact_key, status,
+    label): rows, invalid, duplicates within the dataset (TOTAL: in the pool),
+    across datasets, with conflicting labels, for review (a conflict within a
+    dataset only), accepted, representatives and excluded.
+
+    No row is joined back: the rows of a (dataset, key) are counted first, and
+    a key's datasets, which are few, are held together and taken apart."""
+    per = df.groupBy("source", "exact_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.first("status").alias("status"), F.sort_array(F.collect_set("label")).alias("labels"))
+    key = per.groupBy("exact_key", "status").agg(F.collect_list(F.struct("source", "n", "low")).alias("s"), F.sum("n").alias("n_all"), F.min("low").alias("low_all"), F.size(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("n_labels"), F.count_distinct("labels").alias("n_sets"))
+    total = F.array(F.struct(F.lit("TOTAL").alias("source"), F.col("n_all").alias("n"), F.col("low_all").alias("low")))
+    rows = key.select("*", F.explode(F.concat("s", total)).alias("x"), (F.size("s") > 1).alias("many")).select("x.*", "status", "low_all", "many", (F.col("n_labels") > 1).alias("conflict"), ((F.col("n_labels") > 1) & (F.col("n_sets") == 1)).alias("review"))
+    valid = F.col("status") != "invalid"
+    rows_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    final = F.count_if(valid & (F.col("low") == F.col("low_all")))
+    got = rows.groupBy("source").agg(F.sum("n").alias("raw_rows"), rows_if(~valid).alias("invalid_rows"), rows_if(F.col("n") > 1).alias("exact_duplicate_rows"), rows_if(F.col("many")).alias("cross_duplicate_rows"), rows_if(F.col("conflict")).alias("conflict_rows"), rows_if(F.col("review") & valid).alias("review_rows"), rows_if(~F.col("review") & valid).alias("accepted_rows"), final.alias("final_rows"))
+    return got.withColumn("excluded_rows", F.col("raw_rows") - F.col("final_rows"))
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:

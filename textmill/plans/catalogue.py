@@ -13,7 +13,7 @@ from textmill.operators import graph, ml, pool, shingles
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
-from textmill.operators.storage import spread
+from textmill.operators.storage import cut, spread
 from textmill.plans import sql
 from textmill.sources import registry as R
 
@@ -85,7 +85,7 @@ def entity_report(spark, d):
     found = _entities(spark, d, TERMS)
     total = found.agg(F.count("*").alias("n"))
     per = found.select(F.explode("found").alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
-    return per.crossJoin(F.broadcast(total)).select("term", "documents", F.round(F.col("documents") / F.col("n") * 100, 2).alias("pct_of_total"))
+    return per.crossJoin(F.broadcast(total)).select("term", "documents", F.bround(F.col("documents") / F.col("n") * 100, 2).alias("pct_of_total")).orderBy(F.desc("documents"), "term")
 
 
 @query
@@ -191,20 +191,21 @@ def isolation_report(spark, d):
     return pool.isolate(*_pools(spark, d)).groupBy(F.coalesce("overlap_level", F.lit("isolated")).alias("level")).agg(F.count("*").alias("n"))
 
 
+#: The registered sources, one flag each.
+SOURCES = tuple(f"src{i}" for i in range(20))
+
+
 @query
 def source_coverage(spark, d):
     rows = _docs(spark, d).select("doc_id", "source", K.exact_key(F.col("text")).alias("k"))
     got = rows.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("s"))
-    return got.select("doc_id", F.size("s").cast("long").alias("source_count"), *[F.array_contains("s", x).alias(f"appears_in_{x}") for x in ("src0", "src1", "src2")])
+    return got.select("doc_id", F.size("s").cast("long").alias("source_count"), *[F.array_contains("s", x).alias(f"appears_in_{x}") for x in SOURCES])
 
 
 @query
 def reconciliation(spark, d):
     t = F.col("text")
-    rows = _docs(spark, d).select("doc_id", "source", K.exact_key(t).alias("exact_key"), K.quality_status(K.quality_flags(t)).alias("status"))
-    first = rows.groupBy("exact_key").agg(F.min("doc_id").alias("first"))
-    rows = rows.join(first, "exact_key").withColumn("is_representative", (F.col("doc_id") == F.col("first")) & (F.col("status") != "invalid")).drop("first")
-    return pool.reconciliation(rows)
+    return pool.reconciliation(_docs(spark, d).select("doc_id", "source", K.exact_key(t).alias("exact_key"), K.quality_status(K.quality_flags(t)).alias("status"), _label().alias("label")))
 
 
 @query
@@ -296,7 +297,8 @@ def review_queue_sample(spark, d):
 
 
 def _folds(spark, d):
-    rows = _docs(spark, d).select("doc_id", "source", _label().alias("label"), K.exact_key(F.col("text")).alias("g"))
+    groups = leakage_groups(spark, d).select("doc_id", F.md5(F.col("leakage_group_id").cast("binary")).alias("g"))
+    rows = cut(_docs(spark, d).select("doc_id", "source", _label().alias("label")).join(groups, "doc_id"))
     return rows.join(S.snake_folds(S.group_counts(rows, "g", "label"), "g").select("g", "fold"), "g").withColumn("split", S.split_name())
 
 
@@ -475,7 +477,7 @@ def class_weights(spark, d):
 @query
 def tfidf_terms(spark, d):
     """Document frequency and smoothed idf of every term."""
-    words = _docs(spark, d).select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9_]{2,}', 0)")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    words = _docs(spark, d).select("doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]{2,}', 0)")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     total = _docs(spark, d).agg(F.count("*").alias("n"))
     per = words.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     return per.crossJoin(F.broadcast(total)).select("term", "df", "cf", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
@@ -494,8 +496,9 @@ def running_best(spark, d):
     """Best figure so far over steps, whether a step is it, steps since."""
     day = _t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("value"))
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a day
-    got = day.withColumn("best_so_far", F.max("value").over(w))
-    return got.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "value", "best_so_far", (F.col("value") == F.col("best_so_far")).alias("is_best"))
+    got = day.withColumn("best_so_far", F.max("value").over(w)).withColumn("is_best", F.col("value") == F.col("best_so_far")).withColumn("step", F.row_number().over(Window.orderBy("day")))
+    last = F.max(F.when(F.col("is_best"), F.col("step"))).over(w)
+    return got.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "value", "best_so_far", "is_best", (F.col("step") - last).cast("long").alias("steps_since"))
 
 
 @query

@@ -36,7 +36,7 @@ ORACLE["quality_summary"] = f"""WITH {_FLAGS} SELECT source, count(*) AS n_rows,
 ORACLE["length_profile"] = """SELECT min(length(text)) AS min_len, quantile_cont(length(text), 0.5)::DOUBLE AS median_len, avg(length(text)) AS mean_len, max(length(text)) AS max_len,
  quantile_cont(length(text), 0.995)::DOUBLE AS p995, (ceil(quantile_cont(length(text), 0.995) / 32) * 32)::BIGINT AS max_length FROM documents"""
 ORACLE["entity_report"] = """WITH p(term, pat) AS (VALUES ('license', 'licen[sc]e'), ('mail', '@mail'), ('token', 'token'), ('idiot_clown', 'idiot|clown'), ('entertainment', 'enter'), ('heading', 'the'))
-SELECT term, count(*) AS documents, round(count(*)::DOUBLE / (SELECT count(*) FROM documents) * 100, 2) AS pct_of_total FROM documents, p WHERE regexp_matches(lower(text), pat) GROUP BY term"""
+SELECT term, count(*) AS documents, round_even(count(*)::DOUBLE / (SELECT count(*) FROM documents) * 100, 2) AS pct_of_total FROM documents, p WHERE regexp_matches(lower(text), pat) GROUP BY term"""
 
 
 def _named(patterns: dict[str, str]) -> str:
@@ -87,11 +87,14 @@ iso AS (SELECT doc_id, CASE WHEN exact_key IN (SELECT exact_key FROM held) THEN
  WHEN alnum_key IN (SELECT alnum_key FROM held WHERE alnum_key IS NOT NULL) THEN 'alnum' END AS overlap_level FROM keyed WHERE source <> 'src0')"""
 ORACLE["isolate_pool"] = f"WITH {_ISO} SELECT * FROM iso"
 ORACLE["isolation_report"] = f"WITH {_ISO} SELECT coalesce(overlap_level, 'isolated') AS level, count(*) AS n FROM iso GROUP BY 1"
-ORACLE["source_coverage"] = "SELECT min(doc_id) AS doc_id, count(DISTINCT source) AS source_count, bool_or(source = 'src0') AS appears_in_src0, bool_or(source = 'src1') AS appears_in_src1, bool_or(source = 'src2') AS appears_in_src2 FROM documents GROUP BY text"
-ORACLE["reconciliation"] = f"""WITH {_FLAGS}, r AS (SELECT source, status, count(*) OVER (PARTITION BY source, text) AS n_ds, count(*) OVER (PARTITION BY text) AS n_all, s.n AS n_sources, doc_id = s.first AND status <> 'invalid' AS rep
- FROM stated JOIN (SELECT text, count(DISTINCT source) AS n, min(doc_id) AS first FROM documents GROUP BY text) s USING (text))
-SELECT source, count(*) AS raw_rows, count_if(status = 'invalid')::BIGINT AS invalid_rows, count_if(n_ds > 1)::BIGINT AS exact_duplicate_rows, count_if(n_sources > 1)::BIGINT AS cross_duplicate_rows, count_if(rep)::BIGINT AS final_rows FROM r GROUP BY source
-UNION ALL SELECT 'TOTAL', count(*), count_if(status = 'invalid')::BIGINT, count_if(n_all > 1)::BIGINT, count_if(n_sources > 1)::BIGINT, count_if(rep)::BIGINT FROM r"""
+_appears = ", ".join(f"bool_or(source = 'src{i}') AS appears_in_src{i}" for i in range(20))
+ORACLE["source_coverage"] = f"SELECT min(doc_id) AS doc_id, count(DISTINCT source) AS source_count, {_appears} FROM documents GROUP BY text"
+ORACLE["reconciliation"] = f"""WITH {_FLAGS}, k AS (SELECT text, count(DISTINCT source) AS n_sources, min(doc_id) AS first, count(DISTINCT {_LABEL}) > 1 AS conflict FROM documents GROUP BY text),
+ ls AS (SELECT text, source, list_sort(list(DISTINCT {_LABEL})) AS s FROM documents GROUP BY 1, 2), lk AS (SELECT text, count(DISTINCT s) AS n_sets FROM ls GROUP BY text),
+ r AS (SELECT source, status, count(*) OVER (PARTITION BY source, text) AS n_ds, count(*) OVER (PARTITION BY text) AS n_all, n_sources, conflict, conflict AND n_sets = 1 AS review, doc_id = first AND status <> 'invalid' AS rep FROM stated JOIN k USING (text) JOIN lk USING (text)),
+ two AS (SELECT source, n_ds AS n, * EXCLUDE (source, n_ds, n_all) FROM r UNION ALL SELECT 'TOTAL', n_all, * EXCLUDE (source, n_ds, n_all) FROM r)
+SELECT source, count(*) AS raw_rows, count_if(status = 'invalid')::BIGINT AS invalid_rows, count_if(n > 1)::BIGINT AS exact_duplicate_rows, count_if(n_sources > 1)::BIGINT AS cross_duplicate_rows, count_if(conflict)::BIGINT AS conflict_rows,
+ count_if(review AND status <> 'invalid')::BIGINT AS review_rows, count_if(NOT review AND status <> 'invalid')::BIGINT AS accepted_rows, count_if(rep)::BIGINT AS final_rows, (count(*) - count_if(rep))::BIGINT AS excluded_rows FROM two GROUP BY source"""
 ORACLE["harmonize_union"] = """SELECT printf('DS1_%06d', doc_id) AS record_id, 'DS1' AS source_dataset, 'documents' AS source_lineage, doc_id AS source_row_id, coalesce(text, '') AS text_raw, NULL::VARCHAR AS canonical_label FROM documents
 UNION ALL SELECT printf('DS2_%06d', conv_id * 1000 + turn), 'DS2', 'conversations', (conv_id * 1000 + turn)::BIGINT, coalesce(text, ''), NULL FROM conversations
 UNION ALL SELECT printf('DS3_%06d', item_id), 'DS3', 'benchmark', item_id, coalesce(text, ''), NULL FROM benchmark"""
@@ -122,13 +125,14 @@ SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY l
 _COND = "cond AS (SELECT f.family, s.severity FROM (VALUES ('O1_CHAR_SUBSTITUTION'), ('O2_CHAR_INSERT_DELETE'), ('O3_WHITESPACE'), ('O4_UNICODE_ORTHOGRAPHIC')) f(family), (VALUES ('MILD'), ('STRONG')) s(severity))"
 ORACLE["review_queue_sample"] = f"""WITH {_COND}, r AS (SELECT doc_id, family, severity, {_LABEL} AS label FROM documents, cond QUALIFY row_number() OVER (PARTITION BY family, severity, label ORDER BY sha256('42|' || doc_id), doc_id) <= 20)
 SELECT printf('REV_%04d', row_number() OVER (ORDER BY family, severity, label, doc_id)) AS review_id, doc_id, family, severity, label FROM r"""
-_SPLIT = f"""g AS (SELECT sha256(text) AS g, count(*) AS n, count_if({_LABEL} = 1) AS p FROM documents GROUP BY 1), o AS (SELECT g, row_number() OVER (ORDER BY p DESC, n DESC, g) - 1 AS r FROM g),
+_SPLIT = f"""{_COMP}, lg AS (SELECT d.doc_id, source, md5('LG_' || substr(printf('NDG_%06d', root), 5)) AS g FROM documents d JOIN texts t USING (text) JOIN comp ON comp.doc_id = t.doc_id),
+g AS (SELECT g, count(*) AS n, count_if({_LABEL} = 1) AS p FROM lg GROUP BY 1), o AS (SELECT g, row_number() OVER (ORDER BY p DESC, n DESC, g) - 1 AS r FROM g),
 f AS (SELECT g, (CASE WHEN (r // 10) % 2 = 0 THEN r % 10 ELSE 9 - r % 10 END)::BIGINT AS fold FROM o),
-folds AS (SELECT doc_id, source, {_LABEL} AS label, f.g, fold, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents JOIN f ON f.g = sha256(text))"""
-ORACLE["group_split"] = f"WITH {_SPLIT} SELECT doc_id, fold, split FROM folds"
-ORACLE["split_stats"] = f"WITH {_SPLIT} SELECT split, count(*) AS records, count_if(label = 1)::BIGINT AS positives, count(DISTINCT g) AS groups, count_if(label = 1)::DOUBLE / count(*) AS positive_rate FROM folds GROUP BY split"
-ORACLE["split_by_source"] = f"WITH {_SPLIT} SELECT split, source, count(*) AS records, count_if(label = 1)::BIGINT AS positives FROM folds GROUP BY 1, 2"
-ORACLE["split_leakage_check"] = f"WITH {_SPLIT} SELECT count(*) AS groups_in_several_splits FROM (SELECT g FROM folds GROUP BY g HAVING count(DISTINCT split) > 1)"
+folds AS (SELECT doc_id, source, {_LABEL} AS label, lg.g, fold, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM lg JOIN f USING (g))"""
+ORACLE["group_split"] = f"WITH RECURSIVE {_SPLIT} SELECT doc_id, fold, split FROM folds"
+ORACLE["split_stats"] = f"WITH RECURSIVE {_SPLIT} SELECT split, count(*) AS records, count_if(label = 1)::BIGINT AS positives, count(DISTINCT g) AS groups, count_if(label = 1)::DOUBLE / count(*) AS positive_rate FROM folds GROUP BY split"
+ORACLE["split_by_source"] = f"WITH RECURSIVE {_SPLIT} SELECT split, source, count(*) AS records, count_if(label = 1)::BIGINT AS positives FROM folds GROUP BY 1, 2"
+ORACLE["split_leakage_check"] = f"WITH RECURSIVE {_SPLIT} SELECT count(*) AS groups_in_several_splits FROM (SELECT g FROM folds GROUP BY g HAVING count(DISTINCT split) > 1)"
 ORACLE["author_overlap"] = """WITH r AS (SELECT DISTINCT CASE event_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS s, trim(user_id::VARCHAR) AS a FROM events WHERE user_id IS NOT NULL),
 tr AS (SELECT a FROM r WHERE s = 'train'), va AS (SELECT a FROM r WHERE s = 'val'), te AS (SELECT a FROM r WHERE s = 'test'),
 c AS (SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM va) AS n_val, (SELECT count(*) FROM te) AS n_test, (SELECT count(*) FROM tr JOIN va USING (a)) AS train_val, (SELECT count(*) FROM tr JOIN te USING (a)) AS train_test, (SELECT count(*) FROM va JOIN te USING (a)) AS val_test)
@@ -202,15 +206,16 @@ ORACLE["robustness_pivot"] = f"WITH {_PAIRED} SELECT model, " + ", ".join(f"avg(
 ORACLE["winner_per_condition"] = f"WITH {_PAIRED} SELECT condition, model AS winner, f1_obf AS f1 FROM paired QUALIFY row_number() OVER (PARTITION BY condition ORDER BY f1_obf DESC, model DESC) = 1"
 ORACLE["model_ranks"] = f"WITH {_PAIRED}, m AS (SELECT model, avg(f1_drop) AS mean_drop, avg(retention_pct) AS mean_retention FROM paired GROUP BY model) SELECT *, rank() OVER (ORDER BY mean_drop) AS drop_rank FROM m"
 ORACLE["class_weights"] = "SELECT toxic::BIGINT AS toxic, count(*) AS n_class, (SELECT count(*) FROM labels)::DOUBLE / (2 * count(*)) AS weight FROM labels GROUP BY 1"
-ORACLE["tfidf_terms"] = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, round(ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(DISTINCT doc_id))) + 1, 9) AS idf FROM w GROUP BY term"""
+ORACLE["tfidf_terms"] = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, round(ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(DISTINCT doc_id))) + 1, 9) AS idf FROM w GROUP BY term"""
 ORACLE["best_candidate"] = f"WITH {_PRED}, c AS (SELECT model, condition, {_cells('y_obf')} FROM pred GROUP BY 1, 2), m AS (SELECT *, {_figs()} FROM c) SELECT condition, model AS best_model FROM m QUALIFY row_number() OVER (PARTITION BY condition ORDER BY round(f1, 9) DESC, round(precision, 9) DESC, round(recall, 9) DESC, model DESC) = 1"
-ORACLE["running_best"] = "WITH d AS (SELECT ts::DATE AS day, max(value) AS value FROM events GROUP BY 1), b AS (SELECT *, max(value) OVER (ORDER BY day) AS best FROM d) SELECT strftime(day, '%Y-%m-%d') AS day, value, best AS best_so_far, value = best AS is_best FROM b"
+ORACLE["running_best"] = """WITH d AS (SELECT ts::DATE AS day, max(value) AS value FROM events GROUP BY 1), b AS (SELECT *, max(value) OVER (ORDER BY day) AS best, row_number() OVER (ORDER BY day) AS step FROM d)
+SELECT strftime(day, '%Y-%m-%d') AS day, value, best AS best_so_far, value = best AS is_best, step - max(CASE WHEN value = best THEN step END) OVER (ORDER BY day) AS steps_since FROM b"""
 ORACLE["char_encode"] = """WITH c AS (SELECT doc_id, list_transform(list_filter(string_split(substr(text, 1, 576), ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN unicode(c) - 30 ELSE 1 END) AS x FROM documents)
 SELECT doc_id, greatest(len(x), 1) AS n, sha256(array_to_string(list_resize(x, 576, 0), ' ')) AS digest FROM c"""
 ORACLE["oov_stats"] = r"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[^ \t\n]+')) AS w FROM documents), k AS (SELECT w FROM (SELECT DISTINCT doc_id, w FROM w WHERE lang = 'en') GROUP BY w HAVING count(*) >= 2),
 d AS (SELECT doc_id, lang, count(*) AS tokens, count_if(k.w IS NULL) AS unk FROM w LEFT JOIN k USING (w) GROUP BY 1, 2)
 SELECT lang, sum(tokens)::BIGINT AS total_tokens, avg(tokens) AS avg_tokens, sum(unk)::BIGINT AS unk_tokens, avg(CASE WHEN unk > 0 THEN 1.0 ELSE 0.0 END) * 100 AS pct_docs_with_unk FROM d GROUP BY lang"""
-ORACLE["expectations"] = f"""WITH {_SPLIT} SELECT 'ids_unique' AS "check", count(*) AS violations FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
+ORACLE["expectations"] = f"""WITH RECURSIVE {_SPLIT} SELECT 'ids_unique' AS "check", count(*) AS violations FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'text_not_null', count(*) FROM documents WHERE text IS NULL UNION ALL SELECT 'labels_in_domain', count(*) FROM labels WHERE toxic NOT IN (0, 1) OR quality NOT IN (0, 1)
 UNION ALL SELECT 'labels_have_documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'representatives_unique', 0
 UNION ALL SELECT 'groups_in_one_split', count(*) FROM (SELECT g FROM folds GROUP BY g HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'length_column_right', count(*) FROM documents WHERE length(text) <> n_chars"""
