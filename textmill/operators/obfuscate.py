@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -66,7 +67,13 @@ _OPEN = {
 }
 
 
-def hash_mode(records: DataFrame, family: str, seed: int = SEED) -> DataFrame:
+def homoglyph_only(records: DataFrame, seed: int = SEED) -> DataFrame:
+    """The look-alike family without its fall-back to doubled letters, so that
+    :func:`normalize_homoglyphs` restores every text."""
+    return hash_mode(records, FAMILIES[3], seed, fall_back=False)
+
+
+def hash_mode(records: DataFrame, family: str, seed: int = SEED, fall_back: bool = True) -> DataFrame:
     """Adds severity (both, where ``records`` has none), text_obfuscated,
     modified_token_count and changed to records with doc_id and text, for one
     family.  A text is cut into tokens once for both severities; only chosen
@@ -87,7 +94,7 @@ def hash_mode(records: DataFrame, family: str, seed: int = SEED) -> DataFrame:
     picked = lambda open_: f"transform(slice(array_sort(transform({open_}, p -> named_struct('k', {key('x.i', 'p')}, 'p', p))), 1, {many}), y -> y.p)"
     opened = _OPEN[family].replace("(c)", "(x.c)").replace("c[", "x.c[")
     df = once(df, _p=F.expr(f"transform(_k, x -> named_struct('i', x.i, 'c', x.c, 'p', {picked(opened)}, 'how', 0))"))
-    if family == FAMILIES[3]:
+    if family == FAMILIES[3] and fall_back:
         vowel = "filter(sequence(1, size(x.c)), p -> lower(x.c[p - 1]) in ('a', 'e', 'i', 'o', 'u'))"
         inner = f"filter(sequence(1, size(x.c)), p -> p > 1 and p < size(x.c) and x.c[p - 1] rlike '{ALNUM}')"
         df = once(df, _p=F.expr(f"transform(_p, x -> if(size(x.p) > 0, x, named_struct('i', x.i, 'c', x.c, 'p', {picked(vowel)}, 'how', 1)))"))
@@ -249,3 +256,38 @@ def mt_mode(records: DataFrame, seed: int = SEED) -> DataFrame:
 
     df = records.withColumn("_o", made("text", "record_id", "family", "severity")).select(*records.columns, "_o.*")
     return df.withColumn("changed", F.col("text_obfuscated") != F.col("text"))
+
+
+@dataclass(frozen=True)
+class Obfuscation:
+    """What became of one text."""
+
+    source_record_id: str
+    text_original: str
+    text_obfuscated: str
+    family: str
+    severity: str
+    seed: int
+    changed: bool
+    status: str
+    modified_char_count: int
+    modified_char_ratio: float
+    modified_token_count: int
+    failure_reason: str | None
+
+
+def obfuscate(text: str, source_record_id: str, family: str, severity: str, seed: int = SEED) -> Obfuscation:
+    """One text under one condition; the control (NORMAL, NORMAL) is a success
+    without a change.  Raises on unknown conditions and values that are no
+    text."""
+    if not isinstance(text, str) or not isinstance(source_record_id, str):
+        raise TypeError("text and record id must be strings")
+    if (family == "NORMAL") != (severity == "NORMAL") or family not in (*FAMILIES, "NORMAL") or severity not in (*SEVERITIES, "NORMAL"):
+        raise ValueError(f"unknown condition {family} {severity}")
+    out, tokens = mt_obfuscate(text, source_record_id, family, severity, seed)
+    changed = out != text
+    edits = edit_distance(text, out) if changed else 0
+    reason = None
+    if not changed and family != "NORMAL":
+        reason = "no token is open to change" if not open_spans(text) else "no open token can be changed in this way"
+    return Obfuscation(source_record_id, text, out, family, severity, seed, changed, "SUCCESS" if changed or family == "NORMAL" else "NO_CHANGE", edits, round(edits / max(1, len(text)), 4), tokens, reason)

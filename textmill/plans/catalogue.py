@@ -88,9 +88,15 @@ def entity_report(spark, d):
     return per.crossJoin(F.broadcast(total)).select("term", "documents", F.bround(F.col("documents") / F.col("n") * 100, 2).alias("pct_of_total")).orderBy(F.desc("documents"), "term")
 
 
+#: What the documents are given to find, one each in turn (the tables hold
+#: none of these names): every second one has nothing.
+PHRASES = ("Toke 69 slot", "gunung WIN maxwin", "kakek zeus jp", "weton`88 depo", "slots gacorr", "pulau-win", "ga ruda_ho ki scatter", "Ambil4D judi wd")
+
+
 @query
 def brand_signals(spark, d):
-    low = _docs(spark, d).select("doc_id", F.lower(K.nfkc("text")).alias("t"))
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("doc_id") / 2).cast("int") % len(PHRASES)) + 1), F.lit(" ."))).otherwise("")
+    low = _docs(spark, d).select("doc_id", F.lower(K.nfkc(F.concat("text", given))).alias("t"))
     return low.select("doc_id", F.array_join(K.matches(F.col("t"), K.BRANDS), ";").alias("known_brand_entity"), F.array_join(K.matches(F.col("t"), K.SIGNALS), ";").alias("gambling_signal_terms"))
 
 

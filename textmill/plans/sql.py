@@ -39,12 +39,13 @@ ORACLE["entity_report"] = """WITH p(term, pat) AS (VALUES ('license', 'licen[sc]
 SELECT term, count(*) AS documents, round_even(count(*)::DOUBLE / (SELECT count(*) FROM documents) * 100, 2) AS pct_of_total FROM documents, p WHERE regexp_matches(lower(text), pat) GROUP BY term"""
 
 
-def _named(patterns: dict[str, str]) -> str:
-    arms = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{k}' END" for k, p in patterns.items())
+def _named(patterns: dict[str, str], text: str = "text") -> str:
+    arms = ", ".join(f"CASE WHEN regexp_matches(lower({text}), '{p}') THEN '{k}' END" for k, p in patterns.items())
     return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
 
 
-ORACLE["brand_signals"] = f"SELECT doc_id, array_to_string({_named(K.BRANDS)}, ';') AS known_brand_entity, array_to_string({_named(K.SIGNALS)}, ';') AS gambling_signal_terms FROM documents"
+_given = """(text || CASE WHEN doc_id % 2 = 0 THEN ' ' || (['Toke 69 slot', 'gunung WIN maxwin', 'kakek zeus jp', 'weton`88 depo', 'slots gacorr', 'pulau-win', 'ga ruda_ho ki scatter', 'Ambil4D judi wd'])[(doc_id // 2) % 8 + 1] || ' .' ELSE '' END)"""
+ORACLE["brand_signals"] = f"SELECT doc_id, array_to_string({_named(K.BRANDS, _given)}, ';') AS known_brand_entity, array_to_string({_named(K.SIGNALS, _given)}, ';') AS gambling_signal_terms FROM documents"
 _neg = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in K.NEGATIVE_SUBTYPES.items())
 _pos = " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in K.POSITIVE_SUBTYPES.items())
 ORACLE["heuristic_subtype"] = rf"""WITH b AS (SELECT doc_id, text, lower(text) AS low, {_LABEL} AS label, len({_named(K.SIGNALS)}) > 0 AS has_signal FROM documents)
@@ -96,7 +97,7 @@ ORACLE["reconciliation"] = f"""WITH {_FLAGS}, k AS (SELECT text, count(DISTINCT
 SELECT source, count(*) AS raw_rows, count_if(status = 'invalid')::BIGINT AS invalid_rows, count_if(n > 1)::BIGINT AS exact_duplicate_rows, count_if(n_sources > 1)::BIGINT AS cross_duplicate_rows, count_if(conflict)::BIGINT AS conflict_rows,
  count_if(review AND status <> 'invalid')::BIGINT AS review_rows, count_if(NOT review AND status <> 'invalid')::BIGINT AS accepted_rows, count_if(rep)::BIGINT AS final_rows, (count(*) - count_if(rep))::BIGINT AS excluded_rows FROM two GROUP BY source"""
 ORACLE["harmonize_union"] = """SELECT printf('DS1_%06d', doc_id) AS record_id, 'DS1' AS source_dataset, 'documents' AS source_lineage, doc_id AS source_row_id, coalesce(text, '') AS text_raw, NULL::VARCHAR AS canonical_label FROM documents
-UNION ALL SELECT printf('DS2_%06d', conv_id * 1000 + turn), 'DS2', 'conversations', (conv_id * 1000 + turn)::BIGINT, coalesce(text, ''), NULL FROM conversations
+UNION ALL SELECT printf('DS2_%06d', conv_id * 1000 + turn), 'DS2', 'conversations', (conv_id * 1000 + turn)::BIGINT, coalesce(text, ''), turn::VARCHAR FROM conversations
 UNION ALL SELECT printf('DS3_%06d', item_id), 'DS3', 'benchmark', item_id, coalesce(text, ''), NULL FROM benchmark"""
 ORACLE["byte_equality"] = "SELECT count_if(doc_id % 50 = 7)::BIGINT AS missing_rows, 0::BIGINT AS mismatches, count_if(doc_id % 50 <> 7)::BIGINT AS equal_rows FROM documents"
 _SH = r"""CASE WHEN length(text) < 4 THEN []::VARCHAR[] WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE [coalesce(w[1], '')] END"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ class SourceSpec:
 
 
 DOCUMENTS = SourceSpec("DS1", "documents.parquet", "doc_id", "text", None, "documents", 1)
-CONVERSATIONS = SourceSpec("DS2", "conversations.parquet", "row", "text", None, "conversations", 2)
+CONVERSATIONS = SourceSpec("DS2", "conversations.parquet", "row", "text", "turn", "conversations", 2)
 BENCHMARK = SourceSpec("DS3", "benchmark.parquet", "item_id", "text", None, "benchmark", 3)
 
 
@@ -60,8 +61,12 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(frames: dict[str, DataFrame]) -> list[dict]:
-    """Rows, columns and types of each table."""
-    return [{"dataset": k, "rows": df.count(), "columns": df.columns, "dtypes": dict(df.dtypes)} for k, df in frames.items()]
+    """Rows, columns and types of each table, counted in one job."""
+    if not frames:
+        return []
+    counts = reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in frames.items()])
+    rows = {r.k: r.n for r in counts.collect()}
+    return [{"dataset": k, "rows": rows[k], "columns": df.columns, "dtypes": dict(df.dtypes)} for k, df in frames.items()]
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -71,6 +76,37 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    """Character ids of a vocabulary file with ``stoi``, ``pad`` and ``unk``."""
-    return read_manifest(path)["stoi"]
+def vocabulary(path: str) -> dict:
+    """A vocabulary file's characters: ``stoi`` (ids), ``itos`` (by id), ``pad``
+    and ``unk``; raises if these don't agree."""
+    held = read_manifest(path)
+    stoi = {k: int(v) for k, v in held["stoi"].items()}
+    itos = {v: k for k, v in stoi.items()} | {int(k): v for k, v in dict(held.get("itos", {})).items()}
+    pad, unk = int(held.get("pad", 0)), int(held.get("unk", 1))
+    if any(itos[v] != k for k, v in stoi.items()) or pad == unk:
+        raise ValueError(f"{path} does not agree with itself")
+    return {"stoi": stoi, "itos": itos, "pad": pad, "unk": unk}
+
+
+def encode_characters(df: DataFrame, held: dict, width: int, text: str = "text") -> DataFrame:
+    """Adds ``ids``: the first ``width`` characters' ids, unknown ones as
+    ``unk``, padded; the map is a literal of the vocabulary's size."""
+    ids = F.create_map(*[F.lit(x) for pair in held["stoi"].items() for x in pair])
+    chars = F.filter(F.split(F.substring(text, 1, width), ""), lambda c: c != "")
+    known = F.transform(chars, lambda c: F.coalesce(ids[c], F.lit(held["unk"])))
+    return df.withColumn("ids", F.concat(known, F.array_repeat(F.lit(held["pad"]), F.lit(width) - F.size(known))))
+
+
+def read_model(path: str):
+    """A saved pipeline; raises with the path if it is none."""
+    from pyspark.ml import PipelineModel
+
+    try:
+        return PipelineModel.load(path)
+    except Exception as e:
+        raise ValueError(f"no saved pipeline at {path}") from e
+
+
+def priorities(specs: list[SourceSpec]) -> dict[str, int]:
+    """Datasets' ranks, the smallest preferred."""
+    return {s.dataset: s.priority for s in specs}

@@ -19,27 +19,38 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").options(header=True, escape='"', quoteAll=True).csv(path)
 
 
+def exists(spark, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_missing(df: DataFrame, path: str, keys: tuple[str, ...]) -> int:
     """Appends the partitions of ``df`` that aren't there yet; how many."""
     spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path).select(*keys).distinct()
-        new = df.join(there, list(keys), "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        new = df
+    new = df
+    if exists(spark, path) and exists(spark, f"{path}/_SUCCESS"):
+        new = df.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
     n = new.select(*keys).distinct().count()
     if n:
         new.write.mode("append").partitionBy(*keys).parquet(path)
     return n
 
 
+def write_review_queue(df: DataFrame, path: str, reason: str = "reason") -> int:
+    """Rows with a reason, by reason; how many there are."""
+    held = df.filter(f"{reason} is not null")
+    write_table(held, path, (reason,))
+    return df.sparkSession.read.parquet(path).count() if exists(df.sparkSession, path) else 0
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
+    """A result as a Markdown table; says how many rows are shown if it has
+    more than ``most``."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    rows = [[cell(v) for v in r] for r in df.limit(most).collect()]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows]) + "\n"
+    rows = [[cell(v) for v in r] for r in df.limit(most + 1).collect()]
+    more = f"\nThe first {most} rows.\n" if len(rows) > most else ""
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows[:most]]) + "\n" + more
 
 
 def canonical_json(value: object) -> str:
@@ -51,15 +62,36 @@ def identity(value: object) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def manifest(counts: dict[str, DataFrame], files: dict[str, str], config: object) -> dict:
+    """Rows of each table (one job), digests of files, the configuration's
+    identity and the environment."""
+    import platform
+
+    import pyspark
+
+    from textmill.sources.registry import inventory
+
+    return {"counts": {r["dataset"]: r["rows"] for r in inventory(counts)}, "sha256": {k: file_digest(p) for k, p in files.items()}, "identity": identity(config), "environment": {"python": platform.python_version(), "pyspark": pyspark.__version__}}
+
+
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def write_manifest(value: dict, path: str) -> str:
-    """Writes beside, syncs, then moves; returns the file's SHA-256."""
+    """Writes beside, syncs, then moves, and reads the result back; returns
+    its SHA-256."""
     data = (json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()
     with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f:
         f.write(data)
         f.flush()
         os.fsync(f.fileno())
     os.replace(f.name, path)
-    return hashlib.sha256(data).hexdigest()
+    digest = hashlib.sha256(data).hexdigest()
+    if file_digest(path) != digest:
+        raise OSError(f"{path} was not written as given")
+    return digest
 
 
 def same_identity(manifest: dict, config: object) -> None:
