@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
-from textmill.operators import graph, shingles
+from textmill.operators import graph, pool, shingles
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 
@@ -123,6 +123,25 @@ def test_exact_pairs_brute_force(spark):
     assert {(r.id_a, r.id_b) for r in shingles.exact_pairs(docs).collect()} == want
 
 
+def test_isolation_by_each_key_and_by_near_copies(spark):
+    held = "the quick brown fox jumps over the lazy dog near the old stone bridge at dawn"
+    near = held.replace("dawn", "noon")
+    far = near.replace("quick brown", "slow red")  # near the near copy, not near what is held out
+    rows = [(-1, held, True), (-2, None, True), (1, held, False), (2, held.replace(" ", "  "), False), (3, held.upper(), False), (4, near, False), (5, far, False), (6, "something else that nobody has written before", False), (7, None, False), (8, "", False)]
+    got = pool.with_near_duplicates(pool.keyed(spark.createDataFrame(rows, "doc_id long, text string, held boolean")))
+    out = pool.isolate(got.filter("not held"), got.filter("held")).select("doc_id", "overlap_level").collect()
+    assert dict(map(tuple, out)) == {1: "exact", 2: "whitespace", 3: "normalized", 4: "near_duplicate", 5: "near_duplicate", 6: None, 7: None, 8: None}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t, _ in rows if t}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert share(-1, 5) < 0.65 <= min(share(-1, 4), share(4, 5))
+
+
+def test_overlap_that_shrinks_is_reported(spark):
+    names = "dataset_a string, dataset_b string, " + ", ".join(f"shared_{k}_groups long" for k in pool.LEVELS)
+    rows = [("a", "b", 3, 3, 4, 4), ("a", "c", 3, 2, 4, 4), ("b", "c", 1, 1, 1, 0)]
+    assert {tuple(r) for r in pool.overlap_monotonicity(spark.createDataFrame(rows, names)).collect()} == {("a", "c"), ("b", "c")}
+
+
 def test_greedy_folds_balance():
     groups = [(f"g{i}", 3 if i % 4 else 0, 1 if i % 3 == 0 else 0) for i in range(300)]
     folds = S.greedy_folds(groups)

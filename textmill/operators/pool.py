@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
+from textmill.operators import shingles
 from textmill.sources.registry import SourceSpec
 
 
@@ -101,9 +102,24 @@ def overlap_monotonicity(overlap: DataFrame) -> DataFrame:
     return overlap.filter((cols[0] > cols[1]) | (cols[1] > cols[2]) | (cols[2] > cols[3])).select("dataset_a", "dataset_b")
 
 
-def isolate(pool: DataFrame, held: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+#: Keys by which a pool is isolated from held-out texts, first match first.
+ISOLATION = ("exact", "whitespace", "normalized", "near_duplicate")
+
+
+def with_near_duplicates(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, exact_key) without their text and with
+    ``near_duplicate_key``, the cluster of the text among all of these rows;
+    null for a null text.  Give pool and held-out rows together, with ids that
+    don't meet."""
+    first = rows.filter("exact_key is not null").groupBy("exact_key").agg(F.min("doc_id").alias("first"))
+    roots = shingles.clusters(rows.select("doc_id", "text").filter("text is not null")).toDF("first", "near_duplicate_key")
+    return rows.drop("text").join(first.join(roots, "first").select("exact_key", "near_duplicate_key"), "exact_key", "left")
+
+
+def isolate(pool: DataFrame, held: DataFrame, levels: tuple[str, ...] = ISOLATION) -> DataFrame:
     """``pool`` with ``overlap_level``, the first level at which its key is in
-    ``held``; null: isolated."""
+    ``held``; null: isolated.  A near copy counts as one through any chain of
+    texts, of either side, that are near copies of each other."""
     out = pool
     for name in levels:
         key = f"{name}_key"

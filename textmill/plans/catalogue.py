@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
-from textmill.operators import graph, ml, pool, shingles
+from textmill.operators import ml, pool, shingles
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
@@ -180,11 +180,11 @@ def overlap_monotonicity(spark, d):
 
 
 def _pools(spark, d):
-    """Held out: the last source and the benchmark; pool: the other sources."""
-    docs = pool.keyed(_docs(spark, d)).drop("text")
-    bench = pool.keyed(_t(spark, d, "benchmark")).select(*[f"{k}_key" for k in pool.LEVELS])
-    held = docs.filter("source = 'src0'").select(*bench.columns).unionByName(bench)
-    return docs.filter("source <> 'src0'"), held
+    """Held out: the first source and the benchmark; pool: all other rows."""
+    docs = _docs(spark, d).select("doc_id", "text", F.coalesce(F.col("source") == "src0", F.lit(False)).alias("held"))
+    bench = _t(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text", F.lit(True).alias("held"))
+    rows = pool.with_near_duplicates(pool.keyed(docs.unionByName(bench)))
+    return rows.filter(~F.col("held")), rows.filter("held")
 
 
 @query
@@ -255,10 +255,7 @@ def lsh_candidates(spark, d):
 
 
 def _components(spark, d):
-    pairs = shingles.exact_pairs(_docs(spark, d)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    texts = shingles.distinct_texts(_docs(spark, d)).select("doc_id")
-    roots = graph.components(pairs)
-    return texts.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    return shingles.clusters(_docs(spark, d))
 
 
 @query

@@ -253,7 +253,8 @@ def dataset_assertions(spark, d):
     flags = docs.select("doc_id", "source", "text", "n_chars", K.exact_key(F.col("text")).alias("k"), K.quality_status(K.quality_flags(F.col("text"))).alias("status"))
     final = canonical_by_priority(spark, d)
     overlap = pool.overlap_monotonicity(pool.pairwise_overlap(pool.keyed(docs).drop("text")))
-    isolated = pool.isolate(*C._pools(spark, d))
+    rest, held = C._pools(spark, d)
+    isolated = pool.isolate(rest, held).filter("overlap_level is null")
     counts = C.reconciliation(spark, d)
     total = counts.filter("source = 'TOTAL'").select("raw_rows", "accepted_rows", "review_rows", "invalid_rows")
     sums = counts.filter("source <> 'TOTAL'").agg(F.sum("raw_rows").alias("s"))
@@ -266,7 +267,7 @@ def dataset_assertions(spark, d):
         "labels_in_domain": C._t(spark, d, "labels").filter("quality not in (0, 1) or toxic not in (0, 1)"),
         "review_is_apart": review_queue(spark, d).filter("reason = 'empty_text'").join(final, "doc_id", "left_semi"),
         "overlap_grows": overlap,
-        "held_out_is_apart": isolated.filter("overlap_level is null").join(C._pools(spark, d)[1].select("exact_key").distinct(), "exact_key", "left_semi"),
+        "held_out_is_apart": isolated.join(held.select("exact_key").distinct(), "exact_key", "left_semi"),
         "totals_add_up": total.join(F.broadcast(sums)).filter("raw_rows <> s or raw_rows <> accepted_rows + review_rows + invalid_rows"),
         "status_known": flags.filter("status not in ('valid', 'suspicious', 'invalid')"),
     })

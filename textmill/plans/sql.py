@@ -82,12 +82,6 @@ def _overlap() -> str:
 
 ORACLE["pairwise_overlap"] = _overlap()
 ORACLE["overlap_monotonicity"] = f"SELECT dataset_a, dataset_b FROM ({_overlap()}) WHERE shared_exact_groups > shared_whitespace_groups OR shared_whitespace_groups > shared_normalized_groups OR shared_normalized_groups > shared_alnum_groups"
-_ISO = f"""{_KEYS}, bench AS (SELECT sha256(text) AS exact_key, sha256({_WS.format("text")}) AS whitespace_key, sha256({_WS.format("lower(text)")}) AS normalized_key, sha256(nullif(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '')) AS alnum_key FROM benchmark),
-held AS (SELECT exact_key, whitespace_key, normalized_key, alnum_key FROM keyed WHERE source = 'src0' UNION ALL SELECT * FROM bench),
-iso AS (SELECT doc_id, CASE WHEN exact_key IN (SELECT exact_key FROM held) THEN 'exact' WHEN whitespace_key IN (SELECT whitespace_key FROM held) THEN 'whitespace' WHEN normalized_key IN (SELECT normalized_key FROM held) THEN 'normalized'
- WHEN alnum_key IN (SELECT alnum_key FROM held WHERE alnum_key IS NOT NULL) THEN 'alnum' END AS overlap_level FROM keyed WHERE source <> 'src0')"""
-ORACLE["isolate_pool"] = f"WITH {_ISO} SELECT * FROM iso"
-ORACLE["isolation_report"] = f"WITH {_ISO} SELECT coalesce(overlap_level, 'isolated') AS level, count(*) AS n FROM iso GROUP BY 1"
 _appears = ", ".join(f"bool_or(source = 'src{i}') AS appears_in_src{i}" for i in range(20))
 ORACLE["source_coverage"] = f"SELECT min(doc_id) AS doc_id, count(DISTINCT source) AS source_count, {_appears} FROM documents GROUP BY text"
 ORACLE["reconciliation"] = f"""WITH {_FLAGS}, k AS (SELECT text, count(DISTINCT source) AS n_sources, min(doc_id) AS first, count(DISTINCT {_LABEL}) > 1 AS conflict FROM documents GROUP BY text),
@@ -116,6 +110,12 @@ ORACLE["lsh_candidates"] = f"""WITH {_SIG}, bands AS (SELECT doc_id, b, array_to
 SELECT DISTINCT id_a, doc_id AS id_b FROM bands JOIN least_id USING (b, k) WHERE doc_id > id_a"""
 _COMP = f"""{_PAIRS}, links AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs), reach(n, r) AS (SELECT doc_id, doc_id FROM texts UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.n),
 comp AS (SELECT n AS doc_id, min(r) AS root FROM reach GROUP BY n)"""
+_ISO = f"""every AS (SELECT doc_id, text, coalesce(source = 'src0', false) AS held FROM documents UNION ALL SELECT -item_id - 1, text, true FROM benchmark), {_KEYS.replace("FROM documents", "FROM every")}, {_COMP.replace("FROM documents", "FROM every")},
+k AS (SELECT keyed.*, root FROM keyed LEFT JOIN texts ON texts.text = keyed.text LEFT JOIN comp ON comp.doc_id = texts.doc_id), h AS (SELECT * FROM k WHERE held),
+iso AS (SELECT doc_id, CASE WHEN exact_key IN (SELECT exact_key FROM h) THEN 'exact' WHEN whitespace_key IN (SELECT whitespace_key FROM h) THEN 'whitespace' WHEN normalized_key IN (SELECT normalized_key FROM h) THEN 'normalized'
+ WHEN root IN (SELECT root FROM h) THEN 'near_duplicate' END AS overlap_level FROM k WHERE NOT held)"""
+ORACLE["isolate_pool"] = f"WITH RECURSIVE {_ISO} SELECT * FROM iso"
+ORACLE["isolation_report"] = f"WITH RECURSIVE {_ISO} SELECT coalesce(overlap_level, 'isolated') AS level, count(*) AS n FROM iso GROUP BY 1"
 ORACLE["near_dup_components"] = f"WITH RECURSIVE {_COMP} SELECT doc_id, printf('NDG_%06d', root) AS near_duplicate_group FROM comp"
 ORACLE["cluster_sizes"] = f"WITH RECURSIVE {_COMP}, z AS (SELECT root, count(*) AS size FROM comp GROUP BY root) SELECT size, count(*) AS clusters FROM z GROUP BY size"
 ORACLE["largest_clusters"] = f"WITH RECURSIVE {_COMP} SELECT root, count(*) AS size FROM comp GROUP BY root ORDER BY size DESC, root LIMIT 100"
