@@ -1,4 +1,5 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,10 +66,27 @@ def test_vocabulary(spark, tmp_path):
         R.vocabulary(str(path))
 
 
+def test_public_names():
+    import textmill
+
+    assert all(getattr(textmill, name) is not None for name in textmill.__all__) and textmill.obfuscate is O.obfuscate
+    with pytest.raises(AttributeError):
+        textmill.nothing_of_this_name  # noqa: B018
+
+
+def test_smooth_idf(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.sparse(3, {0: 2.0, 1: 1.0}),), (Vectors.sparse(3, {0: 1.0}),), (Vectors.sparse(3, {0: 3.0, 2: 1.0}),)], ["tf"])
+    got = [r.x.toArray().tolist() for r in ml.SmoothIDF("tf", "x").fit(df).transform(df).collect()]
+    rare = math.log(4 / 2) + 1
+    assert got == [[2.0, pytest.approx(rare), 0.0], [1.0, 0.0, 0.0], [3.0, 0.0, pytest.approx(rare)]]
+
+
 def test_models_are_saved_read_and_compared(spark, tmp_path):
     rows = [(i, "good words here now" if i % 2 else "bad words there then", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, text string, y int")
-    model = ml.svm_pipeline(bigrams=True, iterations=10).fit(ml.weighted(df, "y"))
+    model = ml.svm_pipeline(len(rows), bigrams=True).fit(ml.weighted(df, "y"))
     again = ml.save_and_check(model, str(tmp_path / "m"), df)
     assert all(r.predicted_label == r.y for r in ml.predict(R.read_model(str(tmp_path / "m")), df).collect()) and again is not model
     with pytest.raises(ValueError):

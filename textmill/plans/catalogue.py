@@ -509,7 +509,8 @@ def svm_train_predict(spark, d):
     """Figures of the linear machine on a held-out tenth."""
     rows = _docs(spark, d).join(_t(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    model = ml.svm_pipeline(iterations=20).fit(ml.weighted(rows.filter(~test), "toxic"))
+    train = rows.filter(~test)
+    model = ml.svm_pipeline(train.count()).fit(ml.weighted(train, "toxic"))
     got = model.transform(ml.weighted(rows.filter(test), "toxic")).withColumn("p", F.col("prediction").cast("int"))
     return got.agg(*E.confusion("toxic", "p")).withColumns(E.figures())
 
