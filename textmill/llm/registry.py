@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, digests, lm, media, mixing, neardup, packing, quality, secrets, tokenfile, toxicity
+from . import alignment, ann, digests, licenses, lm, media, mixing, neardup, packing, quality, secrets, sortmeans, tokenfile, toxicity
 from .common import table, vocabulary
 
 
@@ -51,13 +51,27 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_table(table(spark, sf_dir, "embeddings"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_report(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, which SQL can say."""
+    return sortmeans.report(spark, table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_secret_scans, op3_media_columns, op4_mixing, op5_quality, op6_token_files, op7_packing, op8_near_duplicates, op9_toxicity, op10_neighbours)
+    own = (op1_lm_scoring, op2_secret_scans, op3_media_columns, op4_mixing, op5_quality, op6_token_files, op7_packing, op8_near_duplicates, op9_toxicity, op10_neighbours, op11_license_scans, op12_tokenizer_alignment, op13_centroid_clusters)
     return {f.__name__: f for f in own} | {f.__name__: f for f in digests.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten is one SQL statement: trained models, sketches, file
-    formats and tokenizers.  Each is tested against a brute-force version; the
-    columns that SQL can express are queries of their own."""
-    return dict(digests.SQL)
+    """The license scan and the clustering are SQL statements in whole.  Trained
+    models, sketches, file formats and tokenizers aren't: those operators are
+    tested against brute-force versions, and the columns that SQL can express
+    are queries of their own."""
+    return dict(digests.SQL) | {"op11_license_scans": licenses.oracle_sql(), "op13_centroid_clusters": sortmeans.oracle_sql()}
