@@ -129,7 +129,7 @@ def test_alignment_starts_over_and_folds(monkeypatch):
 
     texts = [t or "" for t in ODD]
     results = []
-    for units, partial in ((alignment.UNITS, alignment.PARTIAL), (3, 1)):
+    for units, partial in ((alignment.UNITS, alignment.PARTIAL), (3, 1), (40, 1)):
         monkeypatch.setattr(alignment, "UNITS", units)
         monkeypatch.setattr(alignment, "PARTIAL", partial)
         own = alignment.Aligner(*map(vocabulary, FILES))
@@ -137,7 +137,7 @@ def test_alignment_starts_over_and_folds(monkeypatch):
         made = [own.batch(pa.array(texts[i : i + 4], pa.string())) for i in range(0, len(texts), 4)]
         counts = sorted(r for b in own.counts() for r in zip(*(b.column(c).to_pylist() for c in ("a", "b", "docs")), strict=True))
         results.append(([{k: v.to_pylist() for k, v in m.items()} for m in made], counts))
-    assert results[0] == results[1]
+    assert results[0] == results[1] == results[2]
 
 
 def plain_means(rows, k=16, rounds=3):

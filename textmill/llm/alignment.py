@@ -7,8 +7,8 @@ token in which an A token begins and the one in which it ends, a range join the
 B tokens between, and these are the links.  Where tokens of both end a group
 ends; a window sum over these marks numbers the groups.
 
-Both encoders treat what stands before a blank between two words apart from
-what follows: no token of either goes across.  So a text is cut there, and each
+Both encoders treat what stands before a blank or line end between two words
+apart from what follows: no token of either goes across.  So a text is cut there, and each
 distinct unit of a partition is encoded and aligned once; texts are sums over
 their units, and their groups follow one another.  Where the neighbours of a
 blank could be white space, or there is none, units are as long as need be: a
@@ -30,6 +30,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ from textmill.operators.storage import spread
 from .common import KEPT, fresh_dir, slices, takes_over, trim
 from .vocab import _byte_letters, column_bytes
 
-#: Units that a worker keeps aligned; beyond, it starts over.
-UNITS = 200_000
+#: Units that a worker keeps aligned, frequent ones being among the first; when
+#: they are less than this share of a batch's units, it starts over.
+UNITS, SERVED = 200_000, 0.25
 #: Bytes of text that are aligned at a time.
 BATCH = 2 << 20
 #: Rows of partial counts in DuckDB before they are summed up.
@@ -76,38 +78,50 @@ def pieces_of_b(model) -> list[bytes]:
 
 def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where units begin in ``data``: texts with a blank before each.  At each
-    text's blank, and at blanks between two characters that surely aren't
-    white space: printing ASCII, or two bytes long from U+00C0 on."""
-    n = len(data)
-    mark = np.zeros(n, bool)
+    text's blank, and at blanks and line ends between two characters that surely
+    aren't white space: printing ASCII, or two bytes long from U+00C0 on."""
+    mark = np.zeros(len(data), bool)
     plain = (data > 32) & (data < 127)
     two = (data >= 0xC3) & (data <= 0xDF)
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:] = plain[:-1]
     before[2:] |= two[:-2]
     after[:-1] = plain[1:] | two[1:]
-    blank = (data == 32) & before & after
-    mark[blank] = True
+    mark[((data == 32) | (data == 10)) & before & after] = True
     mark[at[:-1]] = True
     return np.flatnonzero(mark)
 
 
-#: Links, groups and counts of new units, from token tables ta and tb of (u,
-#: k: number, id, s, e: first byte and the one after the last); k, s and e
-#: go on from unit to unit.
+#: Links of new units, from token tables ta and tb of (u, k: number, id, s, e:
+#: first byte and the one after the last); k, s and e go on from unit to unit.
 LINKS = """CREATE OR REPLACE TEMP TABLE links AS
 WITH reach AS (
   SELECT x.u, x.id, x.k, x.low, y.k AS high FROM
     (SELECT ta.u, ta.id, ta.k, ta.e - 1 AS last, tb.k AS low FROM ta ASOF JOIN tb ON ta.s >= tb.s) x
     ASOF JOIN tb y ON x.last >= y.s)
 SELECT reach.u, reach.k AS ka, reach.id AS a, tb.k AS kb, tb.id AS b FROM reach JOIN tb ON tb.k BETWEEN reach.low AND reach.high"""
-GROUPS = """CREATE OR REPLACE TEMP TABLE groups AS
-WITH cut AS (SELECT ta.e FROM ta JOIN tb ON ta.e = tb.e),
- a AS (SELECT u, k, id, coalesce(sum((e IN (SELECT e FROM cut))::INT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ta),
- b AS (SELECT u, k, id, coalesce(sum((e IN (SELECT e FROM cut))::INT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM tb),
- ga AS (SELECT any_value(u) AS u, g, string_agg(id, ',' ORDER BY k) AS t FROM a GROUP BY g),
- gb AS (SELECT g, string_agg(id, ',' ORDER BY k) AS t FROM b GROUP BY g)
-SELECT ga.u, count(*) AS n, string_agg(ga.t || '|' || gb.t, ';' ORDER BY g) AS t FROM ga JOIN gb USING (g) GROUP BY ga.u"""
+#: Each token's group: the ends of both sides' tokens that stand before it.
+GROUPS = """SELECT k, u, id, coalesce(sum((e IN (SELECT {0}.e FROM {0}))::INT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM {1} ORDER BY k"""
+
+
+class Pieces:
+    """The bytes of a vocabulary's tokens."""
+
+    def __init__(self, of: list[bytes]):
+        self.size = np.array([len(x) for x in of], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(of), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size[ids]
+        return self.data[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums over runs of the lengths ``n``."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n]
 
 
 class Aligner:
@@ -121,8 +135,10 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = pieces_of_a(path_a), pieces_of_b(self.b)
-        self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        self.pieces = Pieces(pieces_of_a(path_a)), Pieces(pieces_of_b(self.b))
+        self.blank = self.b.piece_to_id("▁")
+        # an id as it stands in a digest: within a group, at the end of its side
+        self.shown = [[np.array([f"{i}{end}" for i in range(len(p.size))], object) for end in (",", last)] for p, last in zip(self.pieces, "|;", strict=True)]
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         self.clear()
@@ -132,6 +148,7 @@ class Aligner:
         self.fine, self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(0, np.int64) for _ in range(5))
         self.text: list[str] = []
         self.db.execute("CREATE OR REPLACE TABLE pair (u INTEGER, a INTEGER, b INTEGER, n INTEGER)")
+        self.db.execute("CREATE OR REPLACE TEMP TABLE pair_new AS FROM pair")
 
     def begin(self) -> None:
         """Drops the partial counts of the partition before."""
@@ -139,44 +156,81 @@ class Aligner:
         self.rows = 0
 
     def _tokens(self, units: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Ids of A and B of each unit, none of a unit whose bytes differ."""
+        """For A and B: all units' ids one after another, and how many each
+        has; none where a unit's bytes differ.  And which units' don't."""
         texts = [u.decode() for u in units]
-        of_a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        of_b = [np.array(x, np.int64) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
-        fine = np.array([b"".join([self.bytes_a[i] for i in x.tolist()]) == u == b"".join([self.bytes_b[i] for i in y.tolist()]) for u, x, y in zip(units, of_a, of_b, strict=True)])
-        return of_a, of_b, fine
-
-    def _table(self, name: str, first: int, ids: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-        """Registers the token intervals of units (numbered from ``first``)
-        one after another; returns the tokens of each."""
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int64)])
-        end = np.cumsum(size[flat])
-        self.db.register(name, pa.table({"u": (first + np.repeat(np.arange(len(ids)), n)).astype(np.int32), "k": np.arange(len(flat)), "id": flat.astype(np.int32), "s": end - size[flat], "e": end}))
-        return n
+        of_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B puts a blank before: it stands for the unit's own, or, where a unit
+        # begins with a line end, is a token by itself that isn't in the text
+        led = [u[0] == 32 for u in units]
+        of_b = self.b.encode([t[1:] if own else t for t, own in zip(texts, led, strict=True)], num_threads=1)
+        of_b = [x if own or x[:1] != [self.blank] else x[1:] for x, own in zip(of_b, led, strict=True)]
+        length = np.array([len(u) for u in units], np.int64)
+        flat = np.frombuffer(b"".join(units), np.uint8)
+        fine = np.ones(len(units), bool)
+        both = []
+        for ids, pieces in zip((of_a, of_b), self.pieces, strict=True):
+            n = np.array([len(x) for x in ids], np.int64)
+            every = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            both.append((every, n))
+            fine &= _sums(pieces.size[every], n) == length
+        for (every, n), pieces in zip(both, self.pieces, strict=True):
+            same = pieces.joined(every[np.repeat(fine, n)]) == flat[np.repeat(fine, length)]
+            fine[fine] = _sums(~same, length[fine]) == 0
+        return [every[np.repeat(fine, n)] for every, n in both], [n * fine for _, n in both], fine
+
+    def _table(self, name: str, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Registers the tokens with their byte intervals."""
+        end = np.cumsum(size[ids])
+        self.db.register(name, pa.table({"u": numbers.astype(np.int32), "k": np.arange(len(ids)), "id": ids.astype(np.int32), "s": end - size[ids], "e": end}))
+
+    def _groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In the order of the digests: every token's text, unit and whether
+        it ends a group."""
+        got = [self.db.execute(GROUPS.format(*x)).fetchnumpy() for x in (("tb", "ta"), ("ta", "tb"))]
+        g = [x["g"] for x in got]
+        place = [np.arange(len(g[0])) + np.searchsorted(g[1], g[0], "left"), np.arange(len(g[1])) + np.searchsorted(g[0], g[1], "right")]
+        n = len(g[0]) + len(g[1])
+        text, unit, ends = np.empty(n, object), np.zeros(n, np.int64), np.zeros(n, bool)
+        for side, (x, at) in enumerate(zip(got, place, strict=True)):
+            last = np.append(g[side][1:] != g[side][:-1], True)[: len(at)]
+            text[at] = np.where(last, self.shown[side][1][x["id"]], self.shown[side][0][x["id"]])
+            unit[at] = x["u"]
+            if side:
+                ends[at] = last
+        return text, unit, ends
 
     def learn(self, units: list[bytes]) -> None:
         """Aligns units that aren't known yet."""
         first = len(self.known)
         self.known.update(zip(units, range(first, first + len(units)), strict=True))
-        of_a, of_b, fine = self._tokens(units)
-        empty = np.zeros(0, np.int64)
-        of_a, of_b = ([x if f else empty for x, f in zip(y, fine.tolist(), strict=True)] for y in (of_a, of_b))
-        n_a, n_b = self._table("ta", first, of_a, self.size_a), self._table("tb", first, of_b, self.size_b)
+        ids, n, fine = self._tokens(units)
+        for name, x, k, pieces in zip(("ta", "tb"), ids, n, self.pieces, strict=True):
+            self._table(name, first + np.repeat(np.arange(len(units)), k), x, pieces.size)
         self.db.execute(LINKS)
-        self.db.execute(GROUPS)
-        self.db.execute("INSERT INTO pair SELECT u, a, b, count(*) FROM links GROUP BY u, a, b")
-        links, groups, text = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [""] * len(units)
+        self.db.execute("CREATE OR REPLACE TEMP TABLE pair_new AS SELECT u, a, b, count(*)::INTEGER AS n FROM links GROUP BY u, a, b")
         got = self.db.execute("SELECT u, count(*) AS n FROM links GROUP BY u").fetchnumpy()
-        links[got["u"] - first] = got["n"]
-        got = self.db.sql("SELECT u, n, t FROM groups").to_arrow_table()
-        at = got["u"].to_numpy() - first
-        groups[at] = got["n"].to_numpy()
-        for i, t in zip(at.tolist(), got["t"].to_pylist(), strict=True):
-            text[i] = t
-        for name, new in (("fine", fine), ("n_a", n_a), ("n_b", n_b), ("n_groups", groups), ("n_links", links)):
+        links = np.bincount(got["u"] - first, got["n"], len(units))
+        text, unit, ends = self._groups()
+        groups = np.bincount(unit - first, ends, len(units))
+        bounds = np.searchsorted(unit, first + np.arange(len(units) + 1)).tolist()
+        shown = text.tolist()
+        self.text += ["".join(shown[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        for name, new in (("fine", fine), ("n_a", n[0]), ("n_b", n[1]), ("n_groups", groups), ("n_links", links)):
             setattr(self, name, np.concatenate([getattr(self, name), new.astype(np.int64)]))
-        self.text += text
+
+    def settle(self, first: int, new: list[bytes]) -> None:
+        """After a batch: its new units, numbered from ``first``, are kept or,
+        where there are too many, forgotten."""
+        if first + len(new) <= UNITS:
+            self.db.execute("INSERT INTO pair FROM pair_new")
+        else:
+            for u in new:
+                del self.known[u]
+            del self.text[first:]
+            for name in ("fine", "n_a", "n_b", "n_groups", "n_links"):
+                setattr(self, name, getattr(self, name)[:first].copy())
+        self.db.execute("DELETE FROM pair_new")
 
     def batch(self, texts: pa.Array) -> dict[str, pa.Array]:
         """The columns of the first pass for texts without nulls; adds their pairs
@@ -191,9 +245,13 @@ class Aligner:
         begin = _cuts(spaced, start) if len(spaced) else np.zeros(0, np.int64)
         units = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(spaced)).astype(np.int64)), pa.py_buffer(spaced)]).dictionary_encode()
         names = units.dictionary.to_pylist()
-        if len(self.known) + len(names) > UNITS:
+        new = [u for u in names if u not in self.known]
+        if len(self.known) + len(new) > UNITS and len(names) - len(new) < SERVED * len(names):
             self.clear()
-        self.learn(new) if (new := [u for u in names if u not in self.known]) else None
+            new = names
+        first = len(self.known)
+        if new:
+            self.learn(new)
         number = np.array([self.known[u] for u in names], np.int64)[units.indices.to_numpy()] if names else np.zeros(0, np.int64)
         doc = full[np.searchsorted(start, begin, "right") - 1] if len(full) else np.zeros(0, np.int64)
         bad = np.zeros(n_docs, bool)
@@ -203,9 +261,10 @@ class Aligner:
         out = {c: pa.array(np.bincount(doc, getattr(self, c)[number], n_docs).astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")}
         bounds = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
         unit = number.tolist()
-        digests = [hashlib.sha256(";".join([self.text[u] for u in unit[i:j]]).encode()).hexdigest() if j > i else "" for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        digests = [hashlib.sha256("".join([self.text[u] for u in unit[i:j]])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         self.db.register("held", pa.table({"doc": doc.astype(np.int32), "u": number.astype(np.int32)}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE linked AS SELECT doc, a, b, sum(held.n * pair.n)::INTEGER AS n FROM (SELECT doc, u, count(*) AS n FROM held GROUP BY doc, u) held JOIN pair USING (u) GROUP BY doc, a, b")
+        self.db.execute("CREATE OR REPLACE TEMP TABLE linked AS SELECT doc, a, b, sum(held.n * pair.n)::INTEGER AS n FROM (SELECT doc, u, count(*) AS n FROM held GROUP BY doc, u) held JOIN (FROM pair UNION ALL FROM pair_new) pair USING (u) GROUP BY doc, a, b")
+        self.settle(first, new)
         got = self.db.execute("SELECT doc, a, b, n FROM linked ORDER BY doc, a, b").fetchnumpy()
         self.db.execute("INSERT INTO partial SELECT a, b, count(*) FROM linked GROUP BY a, b")
         self.rows += len(got["doc"])
@@ -305,14 +364,9 @@ def report(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, key:
                     order = np.argsort(code)
                     table, held = (code[order], count[order], best[order]), []
                 n = part.column("of_n").value_lengths().to_numpy()
-                doc = np.repeat(np.arange(part.num_rows), n)
                 a, b, times = (part.column(f"of_{c}").flatten().to_numpy().astype(np.int64) for c in "abn")
                 where = np.searchsorted(table[0], (a << SHIFT) | b)
-                sums = []
-                for values in (table[2], table[1]):
-                    total = np.append(0, np.cumsum(times * values[where])) if len(where) else np.zeros(1, np.int64)
-                    ends = np.cumsum(n)
-                    sums.append(total[ends] - total[ends - n])
+                sums = [_sums(times * x[where], n) for x in (table[2], table[1])]
                 yield pa.record_batch([*(part.column(c) for c in out[:5]), pa.array(sums[0]), pa.array(sums[1]), part.column("groups_sha256")], names=[*out[:5], "n_best", "count_sum", "groups_sha256"])
 
     found = dealt.mapInArrow(summed, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
