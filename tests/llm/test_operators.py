@@ -380,6 +380,51 @@ def test_quality_learns_and_handles_edges(spark, docs):
     assert quality.fit_lines(d, lab, lines=1000).fitted and not quality.fit_lines(d, lab, lines=0).fitted
 
 
+def test_quality_bound_leaves_out_what_is_too_long(spark, monkeypatch):
+    """A labelled text beyond the bound of lines is left out alone; a labelled
+    id in many rows doesn't break the bound."""
+    rng = random.Random(5)
+    first = min(range(120), key=lambda i: zlib.crc32(str(i).encode()))
+    rows = [(i, _text(rng, 40) if i % 2 else "\n".join(w.upper() + "!!" for w in _text(rng, 40).split())) for i in range(120)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    long = spark.createDataFrame([(i, "\n" * 20_001 if i == first else t) for i, t in rows], "doc_id long, text string")
+    seen = []
+    fit = quality.LineField.fit
+    monkeypatch.setattr(quality.LineField, "fit", lambda self, x, y, *a, **k: (seen.append(sum(map(len, x))), fit(self, x, y, *a, **k))[1])
+    model = quality.fit_lines(long, lab, lines=20_000)
+    assert model.fitted and 1000 < seen[-1] <= 20_000
+    often = long.filter(F.col("doc_id") != first).unionByName(spark.range(700).select(F.lit(first).alias("doc_id"), F.concat(F.lit("a\n" * 99), F.col("id").cast("string")).alias("text")))
+    assert quality.fit_lines(often, lab, lines=2_000).fitted and seen[-1] <= 2_000
+    same = long.unionByName(long).unionByName(long)  # equal rows count once
+    assert np.allclose(quality.fit_lines(same, lab, lines=20_000).w, model.w)
+
+
+def test_empty_texts_are_never_toxic(spark):
+    rows = [(i, "" if i % 4 == 0 else "plain words number %d" % i, int(i % 4 == 0)) for i in range(400)]
+    d = spark.createDataFrame([r[:2] for r in rows] + [(1000 + i, None) for i in range(50)] + [(None, "")], "doc_id long, text string")
+    chain = toxicity.fit_chain(d, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    if chain is not None:  # whatever it says of a text without marks
+        chain.weights[-1][-1] = 30.0
+        left = toxicity.drop_toxic(d, chain)
+        assert left.filter("text is null").count() == 50 and left.filter("text = ''").count() == 101
+        assert toxicity.score_toxicity(d, chain, ("doc_id", "text")).filter("is_toxic and coalesce(text, '') = ''").count() == 0
+        assert left.filter("text like 'plain%'").count() == 0
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_d", "_dn", "_s", "_sn", "_size", "_no", "_whole", "_from", "_to", "row", "whole", "from", "to", "a.b", "at", "parts"]
+    rows = [(i, " ".join(["w%d" % i] * (20 + i)), "s%d" % (i % 2), *[f"{n}-{i}" for n in names]) for i in range(30)]
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("doc_id", LongType()), *[StructField(n, StringType()) for n in ("text", "source", *names)]])
+    df = spark.createDataFrame(rows, schema)
+    got = mixing.mixed_documents(df, mixing.plan(df))
+    assert got.columns == df.columns
+    of = {r[0]: r for r in rows}
+    found = got.collect()
+    assert len(found) >= 25 and all(tuple(r)[3:] == of[r.doc_id][3:] and set(r.text.split()) == {"w%d" % r.doc_id} for r in found)
+
+
 def test_encoder_equals_library():
     rng = random.Random(1)
     some = ["a", "B", " ", "\n", "'s", "é", "ß", "1", "İ", "\u0301", "x", "The", "👍", ",", "…", "—"]

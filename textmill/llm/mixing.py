@@ -169,7 +169,8 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     # a plan fits every text of its size: rows that agree in id, source and
-    # size take theirs one by one
+    # size take theirs one by one.  A row is packed, so that its columns' names
+    # meet no others
     keys = ["_d", "_dn", "_s", "_sn", "_size", "_no"]
 
     def numbered(df, size, order):
@@ -177,10 +178,11 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
         return df.withColumn("_no", F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(*order)))
 
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = numbered(docs, words, [F.xxhash64("text"), "text"])
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    rows = numbered(packed, words, [F.xxhash64("text"), "text"])
     own = numbered(planned, F.col("size"), ["whole", "parts"]).filter("whole > 0 or size(parts) > 0")
-    own = own.select(*keys, F.col("whole").alias("_whole"), F.expr("transform(parts, x -> x.start)").alias("_from"), F.expr("transform(parts, x -> x.end)").alias("_to"))
-    joined = rows.join(own, keys).select(*docs.columns, "_whole", "_from", "_to")
+    own = own.select(*keys, "whole", F.expr("transform(parts, x -> x.start)").alias("from"), F.expr("transform(parts, x -> x.end)").alias("to"))
+    joined = rows.join(own, keys).select("row", "text", "whole", "from", "to")
     schema = docs.schema
     names = docs.columns
     where = names.index("text")
@@ -189,7 +191,7 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
         takes_over("mixing")
         for batch in slices(batches, "text"):
             take, texts = [], []
-            rows = zip(*(batch.column(k).to_pylist() for k in ("text", "_whole", "_from", "_to")), strict=True)
+            rows = zip(*(batch.column(k).to_pylist() for k in ("text", "whole", "from", "to")), strict=True)
             for i, (text, whole, start, end) in enumerate(rows):
                 take += [i] * whole
                 texts += [text] * whole
@@ -199,12 +201,12 @@ def mixed_documents(docs: DataFrame, planned: DataFrame) -> DataFrame:
                     texts.append(" ".join(text[at[a][0] : at[b - 1][1]] for a, b in zip(start, end, strict=True)))
             if not take:
                 continue
-            part = batch.select(names).take(pa.array(take))
-            columns = list(part.columns)
-            columns[where] = pa.array(texts, part.schema.field(where).type)
+            row = batch.column("row").take(pa.array(take))
+            columns = row.flatten()
+            columns[where] = pa.array(texts, columns[where].type)
             if "n_chars" in names:
                 at = names.index("n_chars")
-                columns[at] = pa.array([len(t or "") for t in texts], part.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                columns[at] = pa.array([len(t or "") for t in texts], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(made, schema)

@@ -25,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_thread, remainder, slices, text_or_empty
@@ -139,10 +139,13 @@ class LineField:
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str = "quality", lines: int = 500_000) -> LineField:
-    """A field from at most ``sample`` labelled rows of ``docs`` and ``lines``
-    lines of them; features are made where the texts are, the driver gets
-    figures only."""
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter("y in (0, 1)").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y").limit(sample)
+    """A field from at most ``sample`` labelled texts of ``docs`` and ``lines``
+    lines of them, by the hash of their ids; a text that would go beyond the
+    bound is left out and the next is looked at.  Of the texts of a labelled id
+    the one with the least digest is in the sample.  Features are made where
+    the texts are, the driver gets figures only."""
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter("y in (0, 1)").distinct().orderBy(order, "doc_id", "y").limit(sample)
 
     def made(batches):
         for batch in slices(batches, "text"):
@@ -150,11 +153,17 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = 3000, label: str
                 x, _, _ = line_features([text])
                 yield pa.record_batch({"doc_id": pa.array([doc], pa.int64()), "y": pa.array([y], pa.int32()), "x": pa.array([x.astype("<f4").tobytes()], pa.binary())})
 
-    held = docs.select("doc_id", text_or_empty().cast("binary").alias("text"), F.length(F.regexp_replace(text_or_empty(), "[^\n]", "")).alias("n")).join(F.broadcast(chosen), "doc_id")
-    # a running sum over the sample: rows without their texts
-    before = F.sum(F.col("n") + 1).over(Window.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y", "n"))
-    fits = held.select("doc_id", "y", "n").withColumn("lines", before).filter(F.col("lines") <= lines).select("doc_id", "y").distinct()
-    picked = held.join(F.broadcast(fits), ["doc_id", "y"])
+    held = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    held = held.select("doc_id", "y", F.sha2("text", 256).alias("digest"), (F.length(F.regexp_replace(F.col("text").cast("string"), "[^\n]", "")) + 1).alias("n"), "text")
+    # the sample's ids, digests and lengths: at most ``sample`` rows
+    short = held.filter(F.col("n") <= lines).groupBy("doc_id", "y").agg(F.min(F.struct("digest", "n")).alias("x"))
+    fits, total = [], 0
+    for r in short.select("doc_id", "y", "x.*").orderBy(order, "doc_id", "y").collect():
+        if total + r.n <= lines:
+            total += r.n
+            fits.append((r.doc_id, r.y, r.digest))
+    own = docs.sparkSession.createDataFrame(fits, "doc_id long, y int, digest string")
+    picked = held.join(F.broadcast(own), ["doc_id", "y", "digest"]).groupBy("doc_id", "y", "digest").agg(F.first("text").alias("text"))
     rows = sorted(picked.select("doc_id", "y", "text").mapInArrow(made, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, r.y, bytes(r.x)))
     return LineField().fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in rows], [r.y for r in rows])
 

@@ -45,6 +45,8 @@ BEGINNINGS = range(3, 8)
 FOLDS = 5
 #: Languages with a category of their own at most, and positives they need.
 LANGUAGES, POSITIVES = 8, 20
+#: How much likelier a mark must be among the positives.
+LIFT = 3
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -159,7 +161,7 @@ def chosen_marks(sums: list, totals: tuple[float, float], p: str, q: str, share:
     for r in sums:
         a, b = r[p], r[q]
         lift = (a + 0.5) / (totals[0] + 1) / ((b + 0.5) / (totals[1] + 1))
-        if a >= max(2, share * totals[0]) and lift > 3 and a * np.log(lift) >= gain:
+        if a >= max(2, share * totals[0]) and lift > LIFT and a * np.log(lift) >= gain:
             found.append((-a * np.log(lift), r.word, a, b))
     alone: dict[tuple, str] = {}
     for _, word, a, b in sorted(sorted(found)[:most], key=lambda r: (-len(r[1].rstrip("*")), r[1])):
@@ -195,7 +197,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: flo
     if total is None or not total[f"p{FOLDS}"] or not total[f"q{FOLDS}"]:
         return None
     # what a subset of four folds may choose; at most (FOLDS + 1) x ``most`` x 2 rows
-    gains = F.greatest(*[F.expr(f"if(p{k} >= greatest(2, {share * total[f'p{k}']}), p{k} * ln((p{k} + 0.5) / {total[f'p{k}'] + 1}D / ((q{k} + 0.5) / {total[f'q{k}'] + 1}D)), 0)") for k in range(FOLDS + 1)])
+    def gained(k: int) -> str:
+        lift = f"((p{k} + 0.5) / {total[f'p{k}'] + 1}D / ((q{k} + 0.5) / {total[f'q{k}'] + 1}D))"
+        return f"if(p{k} >= greatest(2, {share * total[f'p{k}']}) and {lift} > {LIFT}, p{k} * ln({lift}), 0)"
+
+    gains = F.greatest(*[F.expr(gained(k)) for k in range(FOLDS + 1)])
     some = sums.filter("word <> ''").withColumn("g", gains).filter(f"g >= {gain * (1 - 1 / FOLDS)}").orderBy(F.desc("g"), "word").limit((FOLDS + 1) * most * 2).collect()
     own = [chosen_marks(some, (total[f"p{k}"], total[f"q{k}"]), f"p{k}", f"q{k}", share, gain * (1 if k == FOLDS else 1 - 1 / FOLDS), most) for k in range(FOLDS + 1)]
     union = sorted({m for o in own for m in o})
@@ -216,8 +222,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 8000, share: flo
     return Chain(own[-1], [*(f"toxic_{k}" for k in languages), label]).fit(x, ys, np.array([r.fold for r in rows]), columns)
 
 
+def _some(texts: pa.Array) -> np.ndarray:
+    """[texts] whether there is text at all."""
+    return pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+
+
 def score_toxicity(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """The ``keep`` columns of every row, p_<category> and ``is_toxic``."""
+    """The ``keep`` columns of every row, p_<category> and ``is_toxic``, which
+    null and empty texts never are."""
     names = chain.categories if chain else ["toxic"]
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     from pyspark.sql.types import BooleanType, DoubleType, StructType
@@ -236,14 +248,14 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] =
             p = shared.value.score(texts) if shared.value else np.zeros((len(texts), len(names)))
             out = {k: batch.column(k) for k in keep}
             out |= {f"p_{n}": pa.array(p[:, i], pa.float64()) for i, n in enumerate(names)}
-            yield pa.record_batch(out | {"is_toxic": pa.array(p[:, -1] >= threshold)})
+            yield pa.record_batch(out | {"is_toxic": pa.array((p[:, -1] >= threshold) & _some(texts))})
 
     return docs.select(*keep, *([] if have else ["text"])).mapInArrow(scored, schema)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose last category stays below the
-    threshold; a null text is kept."""
+    threshold; null and empty texts are kept, whatever the chain says of them."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def kept(batches):
@@ -252,8 +264,8 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) ->
         for batch in slices(batches, "text"):
             model = shared.value
             if model:
-                p = model.score(pc.fill_null(batch.column("text"), ""))
-                batch = batch.filter(pa.array(p[:, -1] < threshold))
+                texts = pc.fill_null(batch.column("text"), "")
+                batch = batch.filter(pa.array((model.score(texts)[:, -1] < threshold) | ~_some(texts)))
             if batch.num_rows:
                 yield batch
 
