@@ -10,7 +10,8 @@ _PLACES = {
     "textmill.operators.graph": ("components",),
     "textmill.operators.obfuscate": ("FAMILIES", "SEED", "SEVERITIES", "Obfuscation", "edit_distance", "hash_mode", "mt_mode", "normalize_homoglyphs", "obfuscate", "open_spans", "protected", "protected_spans", "spans_kept"),
     "textmill.operators.pool": ("canonical", "conflicts", "harmonise", "isolate", "keyed", "pairwise_overlap", "reconciliation", "with_near_duplicates"),
-    "textmill.operators.shingles": ("clusters", "exact_pairs", "minhash"),
+    "textmill.operators.nearcopies": ("clusters",),
+    "textmill.operators.shingles": ("exact_pairs", "minhash"),
 }
 _HOME = {name: place for place, names in _PLACES.items() for name in names}
 __all__ = sorted(_HOME)

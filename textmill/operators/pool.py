@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
-from textmill.operators import shingles
+from textmill.operators import nearcopies
 from textmill.sources.registry import SourceSpec
 
 
@@ -112,7 +112,7 @@ def with_near_duplicates(rows: DataFrame) -> DataFrame:
     null for a null text.  Give pool and held-out rows together, with ids that
     don't meet."""
     first = rows.filter("exact_key is not null").groupBy("exact_key").agg(F.min("doc_id").alias("first"))
-    roots = shingles.clusters(rows.select("doc_id", "text").filter("text is not null")).toDF("first", "near_duplicate_key")
+    roots = nearcopies.clusters(rows.select("doc_id", "text").filter("text is not null")).toDF("first", "near_duplicate_key")
     return rows.drop("text").join(first.join(roots, "first").select("exact_key", "near_duplicate_key"), "exact_key", "left")
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.operators import graph
 from textmill.operators.storage import once
 
 #: Modulus and multipliers of the 64 hash functions.
@@ -59,14 +58,6 @@ def exact_pairs(docs: DataFrame, threshold: float = 0.65) -> DataFrame:
     return both.withColumn("jaccard", F.round(j, 4)).filter(j >= threshold).select("id_a", "id_b", "jaccard")
 
 
-def clusters(docs: DataFrame, threshold: float = 0.65) -> DataFrame:
-    """(doc_id, root) of each distinct text: the smallest id that pairs with
-    Jaccard >= threshold lead to; its own, if none do."""
-    pairs = exact_pairs(docs, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    roots = graph.components(pairs).withColumnRenamed("id", "doc_id")
-    return distinct_texts(docs).select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-
-
 def minhash(docs: DataFrame) -> DataFrame:
     """Adds ``signature``: 64 minima of (a h + b) mod 2^31 - 1 over shingle
     hashes of 31 bits (no product leaves 63 bits)."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
-from textmill.operators import ml, pool, shingles
+from textmill.operators import ml, nearcopies, pool, shingles
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
@@ -255,7 +255,7 @@ def lsh_candidates(spark, d):
 
 
 def _components(spark, d):
-    return shingles.clusters(_docs(spark, d))
+    return nearcopies.clusters(_docs(spark, d))
 
 
 @query
