@@ -142,14 +142,6 @@ def test_overlap_that_shrinks_is_reported(spark):
     assert {tuple(r) for r in pool.overlap_monotonicity(spark.createDataFrame(rows, names)).collect()} == {("a", "c"), ("b", "c")}
 
 
-def test_greedy_folds_balance():
-    groups = [(f"g{i}", 3 if i % 4 else 0, 1 if i % 3 == 0 else 0) for i in range(300)]
-    folds = S.greedy_folds(groups)
-    assert set(folds) == {g for g, _, _ in groups}
-    pos = [sum(p for g, _, p in groups if folds[g] == f) for f in range(10)]
-    assert max(pos) - min(pos) <= 2
-
-
 def test_edit_distance():
     import random
 

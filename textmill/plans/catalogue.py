@@ -310,6 +310,14 @@ def group_split(spark, d):
     return _folds(spark, d).select("doc_id", "fold", "split")
 
 
+@query
+def greedy_split(spark, d):
+    """Ten folds by the published greedy rule over leakage groups."""
+    groups = leakage_groups(spark, d).select("doc_id", F.md5(F.col("leakage_group_id").cast("binary")).alias("g"))
+    rows = cut(_docs(spark, d).select("doc_id", _label().alias("label")).join(groups, "doc_id"))
+    return rows.join(S.stratified_group_folds(S.group_counts(rows, "g", "label"), "g").select("g", "fold"), "g").select("doc_id", "label", "fold")
+
+
 @query
 def split_stats(spark, d):
     got = _folds(spark, d).groupBy("split").agg(F.count("*").alias("records"), F.count_if(F.col("label") == 1).alias("positives"), F.count_distinct("g").alias("groups"))

@@ -13,6 +13,7 @@ from textmill.operators import obfuscate as O
 from textmill.operators import pool, shingles
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
+from textmill.operators.ranking import with_rank
 from textmill.plans import catalogue as C
 from textmill.plans import sql
 from textmill.sources import registry as R
@@ -137,12 +138,9 @@ def subword_stats(spark, d):
 @query
 def length_batches(spark, d):
     """Batches of 32 texts of like length for inference, with their padded
-    size; results carry the id, so nothing is put back in order.  Ranks are
-    counted within lengths, and lengths are offset by their counts."""
-    rows = C._docs(spark, d).select("doc_id", F.least(F.length("text"), F.lit(2048)).cast("long").alias("n"))
-    kinds = rows.groupBy("n").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("n").orderBy("doc_id"))
-    batch = rows.withColumn("r", place).join(kinds, "n").withColumn("batch", F.floor((F.col("before") + F.col("r") - 1) / 32))
+    size; results carry the id, so nothing is put back in order."""
+    rows = C._docs(spark, d).select("doc_id", F.length("text").cast("long").alias("n"))
+    batch = with_rank(rows, ["n", "doc_id"]).withColumn("batch", F.floor(F.col("rank") / 32))
     return batch.groupBy("batch").agg(F.count("*").alias("rows"), F.min("n").alias("shortest"), F.max("n").alias("padded"), F.sum("n").alias("characters"))
 
 
@@ -379,7 +377,7 @@ SELECT source, min(c) AS min_chars, avg(c) AS avg_chars, max(c) AS max_chars, mi
 SQL["tfidf_bigrams"] = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents), p AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 1) SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) >= 2"""
 SQL["subword_stats"] = r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), h AS (SELECT DISTINCT substr(w, 1, 4) AS h FROM w WHERE lang = 'en'), c AS (SELECT lang, w, h.h IS NOT NULL AS known, ((length(w) + 3) // 4)::BIGINT AS p FROM w LEFT JOIN h ON h.h = substr(w, 1, 4))
 SELECT lang, sum(CASE WHEN known THEN p ELSE 1 END)::BIGINT AS tokens, count_if(NOT known)::BIGINT AS unknown, sum(CASE WHEN known THEN p - 1 ELSE 0 END)::BIGINT AS continuations FROM c GROUP BY lang"""
-SQL["length_batches"] = "WITH r AS (SELECT doc_id, least(length(text), 2048) AS n FROM documents), b AS (SELECT n, (row_number() OVER (ORDER BY n, doc_id) - 1) // 32 AS batch FROM r) SELECT batch, count(*) AS rows, min(n) AS shortest, max(n) AS padded, sum(n)::BIGINT AS characters FROM b GROUP BY batch"
+SQL["length_batches"] = "WITH r AS (SELECT doc_id, length(text) AS n FROM documents), b AS (SELECT n, (row_number() OVER (ORDER BY n, doc_id) - 1) // 32 AS batch FROM r) SELECT batch, count(*) AS rows, min(n) AS shortest, max(n) AS padded, sum(n)::BIGINT AS characters FROM b GROUP BY batch"
 _FROZEN = f"""{sql._SPLIT}, fz AS (SELECT printf('DS1_%06d', doc_id) AS source_record_id, label AS canonical_label, d.source AS source_dataset, d.text AS text_original, doc_id, lang FROM folds JOIN documents d USING (doc_id) WHERE split = 'test')"""
 SQL["frozen_test"] = f"WITH RECURSIVE {_FROZEN} SELECT * FROM fz"
 _parts = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT AS part_{i}" for i in range(4))

@@ -131,6 +131,14 @@ g AS (SELECT g, count(*) AS n, count_if({_LABEL} = 1) AS p FROM lg GROUP BY 1),
 f AS (SELECT g, (CASE WHEN (r // 10) % 2 = 0 THEN r % 10 ELSE 9 - r % 10 END)::BIGINT AS fold FROM o),
 folds AS (SELECT doc_id, source, {_LABEL} AS label, lg.g, fold, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM lg JOIN f USING (g))"""
 ORACLE["group_split"] = f"WITH RECURSIVE {_SPLIT} SELECT doc_id, fold, split FROM folds"
+#: The greedy rule one group at a time: x and y are the folds' negatives and
+#: positives; of the ten states that a group can lead to the most even is kept.
+_GREEDY = f"""{_SPLIT}, ord AS (SELECT g, n - p AS a, p AS b, row_number() OVER (ORDER BY abs(n - 2 * p) DESC, p DESC, n DESC, g) AS i FROM g), tot AS (SELECT greatest(sum(a), 1)::DOUBLE AS ta, greatest(sum(b), 1)::DOUBLE AS tb FROM ord),
+step(i, x, y, f) AS (SELECT 0::BIGINT, list_transform(range(10), lambda k: 0::BIGINT), list_transform(range(10), lambda k: 0::BIGINT), -1::BIGINT
+ UNION ALL SELECT m.i, m.x, m.y, m.f FROM (SELECT arg_min({{'i': i, 'x': x2, 'y': y2, 'f': f}}, {{'e': round((list_aggregate(list_transform(x2, lambda v: v / ta), 'stddev_pop') + list_aggregate(list_transform(y2, lambda v: v / tb), 'stddev_pop')) / 2, 9), 's': x[f + 1] + y[f + 1], 'f': f}}) AS m
+  FROM (SELECT o.i, q.f, s.x, s.y, ta, tb, list_transform(s.x, lambda v, j: (CASE WHEN j = q.f + 1 THEN v + o.a ELSE v END)::BIGINT) AS x2, list_transform(s.y, lambda v, j: (CASE WHEN j = q.f + 1 THEN v + o.b ELSE v END)::BIGINT) AS y2
+   FROM step s JOIN ord o ON o.i = s.i + 1, range(10) q(f), tot)) WHERE m IS NOT NULL)"""
+ORACLE["greedy_split"] = f"WITH RECURSIVE {_GREEDY} SELECT doc_id, label, step.f AS fold FROM folds JOIN ord USING (g) JOIN step USING (i)"
 ORACLE["split_stats"] = f"WITH RECURSIVE {_SPLIT} SELECT split, count(*) AS records, count_if(label = 1)::BIGINT AS positives, count(DISTINCT g) AS groups, count_if(label = 1)::DOUBLE / count(*) AS positive_rate FROM folds GROUP BY split"
 ORACLE["split_by_source"] = f"WITH RECURSIVE {_SPLIT} SELECT split, source, count(*) AS records, count_if(label = 1)::BIGINT AS positives FROM folds GROUP BY 1, 2"
 ORACLE["split_leakage_check"] = f"WITH RECURSIVE {_SPLIT} SELECT count(*) AS groups_in_several_splits FROM (SELECT g FROM folds GROUP BY g HAVING count(DISTINCT split) > 1)"
