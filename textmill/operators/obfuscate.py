@@ -75,8 +75,8 @@ def homoglyph_only(records: DataFrame, seed: int = SEED) -> DataFrame:
 
 def hash_mode(records: DataFrame, family: str, seed: int = SEED, fall_back: bool = True) -> DataFrame:
     """Adds severity (both, where ``records`` has none), text_obfuscated,
-    modified_token_count and changed to records with doc_id and text, for one
-    family.  A text is cut into tokens once for both severities; only chosen
+    modified_token_count, modified_char_count and changed to records with
+    doc_id and text, for one family.  A text is cut into tokens once for both severities; only chosen
     tokens are taken apart, and the text around them is joined as it is."""
     key = lambda *more: "md5(concat_ws('|', '%d', doc_id, '%s', severity, %s))" % (seed, family, ", ".join(more))
     few = "if(severity = 'MILD', 1, 2)"
@@ -113,10 +113,18 @@ def hash_mode(records: DataFrame, family: str, seed: int = SEED, fall_back: bool
     spliced = "aggregate(_n, named_struct('at', 1L, 'out', ''), (a, x) -> named_struct('at', x.i + 1, 'out', concat(a.out, array_join(slice(_z, cast(a.at as int), cast(x.i - a.at as int)), ''), x.t)), a -> concat(a.out, array_join(slice(_z, cast(a.at as int), size(_z)), '')))"
     tail = "regexp_extract(right(text, length(text) - length(array_join(_z, ''))), '^(\\\\s*)$', 1)"
     df = once(df, text_obfuscated=F.expr(f"if(size(_n) = 0, text, concat({spliced}, {tail}))"))
-    df = df.withColumn("modified_token_count", F.size("_n").cast("long")).withColumn("changed", F.col("text_obfuscated") != F.col("text"))
+    # each place is one substitution, insertion or deletion
+    edits = F.expr("aggregate(_p, 0L, (a, x) -> a + size(x.p))")
+    df = df.withColumns({"modified_token_count": F.size("_n").cast("long"), "modified_char_count": edits, "changed": F.col("text_obfuscated") != F.col("text")})
     return df.drop("_k", "_p", "_n", "_z", "_w")
 
 
+def excessive(count: str = "modified_char_count", text: str = "text") -> Column:
+    """Whether more of a text is modified than its severity allows."""
+    ratio = F.col(count) / F.greatest(F.length(text), F.lit(1))
+    return ratio > F.when(F.col("severity") == "MILD", MILD_MAX_RATIO).otherwise(STRONG_MAX_RATIO)
+
+
 def _common(a: str, i: int, b: str, j: int) -> int:
     """How far a[i:] and b[j:] agree; slices are compared, not characters."""
     n = min(len(a) - i, len(b) - j)

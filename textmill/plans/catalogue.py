@@ -254,6 +254,14 @@ def lsh_candidates(spark, d):
     return shingles.lsh_candidates(shingles.minhash(_shingled(spark, d)))
 
 
+@query
+def lsh_pairs(spark, d):
+    """All pairs of a bucket, large ones divided, and which are near copies."""
+    texts = cut(shingles.minhash(_shingled(spark, d)).select("doc_id", "text", "shingles", "signature"))
+    pairs = cut(shingles.lsh_pairs(texts))
+    return pairs.join(shingles.similar(pairs, texts), ["id_a", "id_b"], "left")
+
+
 def _components(spark, d):
     return nearcopies.clusters(_docs(spark, d))
 
@@ -405,11 +413,13 @@ def obfuscation_stats(spark, d):
 
 @query
 def edit_diagnostics(spark, d):
-    """Length figures; the edit distance is in obfuscate_seeded."""
-    frames = [_hashed(spark, d, f).select(F.lit(f).alias("family"), "severity", "changed", F.length("text").alias("n"), F.length("text_obfuscated").alias("m")) for f in O.FAMILIES]
-    rows = pool.union_all(frames).withColumn("delta", F.abs(F.col("m") - F.col("n")))
-    ratio = F.col("m") / F.greatest("n", F.lit(1))
-    return rows.groupBy("family", "severity").agg(F.avg("delta").alias("mean_delta"), F.percentile("delta", F.lit(0.5)).alias("median_delta"), F.max("delta").cast("long").alias("max_delta"), F.count_if((ratio < O.MIN_LENGTH_RATIO) | (ratio > O.MAX_LENGTH_RATIO)).alias("length_anomalies"))
+    """Edits and lengths of each condition's changed rows, with those beyond
+    the caps: counted where the changes are made, without a distance."""
+    keep = lambda f: _hashed(spark, d, f).filter("changed").select(F.lit(f).alias("family"), "severity", F.length("text").alias("n"), F.length("text_obfuscated").alias("m"), F.col("modified_char_count").alias("edits"), O.excessive().alias("excess"))
+    rows = pool.union_all([keep(f) for f in O.FAMILIES]).withColumns({"delta": F.abs(F.col("m") - F.col("n")), "ratio": F.col("edits") / F.greatest("n", F.lit(1))})
+    length = F.col("m") / F.greatest("n", F.lit(1))
+    figures = [f.alias(f"{name}_{c}") for c in ("edits", "ratio", "delta") for name, f in (("mean", F.avg(c)), ("median", F.percentile(c, F.lit(0.5))), ("max", F.max(c)))]
+    return rows.groupBy("family", "severity").agg(F.count("*").alias("changed_count"), *figures, F.count_if("excess").alias("excessive_ratio_flags"), F.count_if((length < O.MIN_LENGTH_RATIO) | (length > O.MAX_LENGTH_RATIO)).alias("length_anomalies"))
 
 
 CONDITIONS = [f"O{i}_{s}" for i in (1, 2, 3, 4) for s in O.SEVERITIES]

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
 from textmill.operators import obfuscate as O
-from textmill.operators import pool, shingles
+from textmill.operators import pool, shingles, subwords
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
 from textmill.operators.ranking import with_rank
+from textmill.operators.storage import cut
 from textmill.plans import catalogue as C
 from textmill.plans import sql
 from textmill.sources import registry as R
@@ -124,15 +125,16 @@ def tfidf_bigrams(spark, d):
     return pairs.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2")
 
 
+WORDS = "regexp_extract_all(lower(text), '[\\\\p{L}]+', 0)"
+
+
 @query
 def subword_stats(spark, d):
-    """Pieces of words against a vocabulary of beginnings and continuations:
-    words of English documents' first four letters, and marked rests."""
-    words = C._docs(spark, d).select("lang", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    heads = words.filter("lang = 'en'").select(F.substring("w", 1, 4).alias("h")).distinct().withColumn("known", F.lit(1))
-    cut = words.withColumn("h", F.substring("w", 1, 4)).join(heads, "h", "left")
-    pieces = F.ceil(F.length("w") / 4)
-    return cut.groupBy("lang").agg(F.sum(F.col("n") * F.when(F.col("known").isNull(), 1).otherwise(pieces)).cast("long").alias("tokens"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unknown"), F.sum(F.col("n") * F.when(F.col("known").isNull(), 0).otherwise(pieces - 1)).cast("long").alias("continuations"))
+    """How far each language's words fall apart under a vocabulary counted on
+    the English ones."""
+    rows = cut(C._docs(spark, d).select("lang", "doc_id", F.explode(F.expr(WORDS)).alias("w")).groupBy("lang", "doc_id", "w").agg(F.count("*").alias("n")))
+    clean = rows.filter("lang = 'en'").groupBy("w").agg(F.sum("n").alias("n"))
+    return subwords.statistics(rows, ["lang"], subwords.vocabulary(clean))
 
 
 @query
@@ -227,18 +229,19 @@ def model_comparison(spark, d):
 
 @query
 def homoglyph_ablation(spark, d):
-    """Unknown words of English documents under look-alike changes, raw and
-    normalised, by severity, and of the clean texts."""
+    """Sub-words of English documents (the language that the vocabulary is
+    counted on) under look-alike changes, raw and normalised, by severity, and of the clean
+    texts."""
     docs = C._docs(spark, d).filter("lang = 'en'").select("doc_id", "text")
     made = O.homoglyph_only(docs)
-    frames = [docs.select(F.lit("clean").alias("variant"), F.lit("none").alias("severity"), "text"), docs.select(F.lit("clean_normalized").alias("variant"), F.lit("none").alias("severity"), O.normalize_homoglyphs(F.col("text")).alias("text"))]
+    frames = [docs.select(F.lit("clean").alias("variant"), F.lit("none").alias("severity"), "doc_id", "text"), docs.select(F.lit("clean_normalized").alias("variant"), F.lit("none").alias("severity"), "doc_id", O.normalize_homoglyphs(F.col("text")).alias("text"))]
     full = O.hash_mode(docs, O.FAMILIES[3])
     for name, frame in (("homoglyph", made), ("orthographic", full)):
-        frames.append(frame.select(F.lit(name).alias("variant"), "severity", F.col("text_obfuscated").alias("text")))
-        frames.append(frame.select(F.lit(name + "_normalized").alias("variant"), "severity", O.normalize_homoglyphs(F.col("text_obfuscated")).alias("text")))
-    words = pool.union_all(frames).select("variant", "severity", F.explode(F.expr("regexp_extract_all(text, '\\\\S+', 0)")).alias("w")).groupBy("variant", "severity", "w").agg(F.count("*").alias("n"))
-    known = words.filter("variant = 'clean' and n >= 2").select("w", F.lit(1).alias("known"))
-    return words.join(known, "w", "left").groupBy("variant", "severity").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unk_tokens"))
+        frames.append(frame.select(F.lit(name).alias("variant"), "severity", "doc_id", F.col("text_obfuscated").alias("text")))
+        frames.append(frame.select(F.lit(name + "_normalized").alias("variant"), "severity", "doc_id", O.normalize_homoglyphs(F.col("text_obfuscated")).alias("text")))
+    rows = cut(pool.union_all(frames).select("variant", "severity", "doc_id", F.explode(F.expr("regexp_extract_all(lower(text), '\\\\S+', 0)")).alias("w")).groupBy("variant", "severity", "doc_id", "w").agg(F.count("*").alias("n")))
+    clean = rows.filter("variant = 'clean'").groupBy("w").agg(F.sum("n").alias("n"))
+    return subwords.statistics(rows, ["variant", "severity"], subwords.vocabulary(clean))
 
 
 # --- assertions ------------------------------------------------------------
@@ -375,8 +378,8 @@ _share = lambda p, k: f"avg(CASE WHEN regexp_matches(text, '{p}') THEN 1.0 ELSE
 SQL["raw_profile"] = rf"""WITH w AS (SELECT source, text, length(text) AS c, len(regexp_extract_all(text, '\S+')) AS w, length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g'))::DOUBLE / greatest(length(text), 1) AS sy FROM documents)
 SELECT source, min(c) AS min_chars, avg(c) AS avg_chars, max(c) AS max_chars, min(w) AS min_words, avg(w) AS avg_words, max(w) AS max_words, {_share("[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]", "emoji")}, {_share("[0-9]", "digits")}, {_share("[^\\x00-\\x7F]", "wide")}, avg(CASE WHEN sy > 0.15 THEN 1.0 ELSE 0.0 END) * 100 AS pct_symbols FROM w GROUP BY source"""
 SQL["tfidf_bigrams"] = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents), p AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 1) SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) >= 2"""
-SQL["subword_stats"] = r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), h AS (SELECT DISTINCT substr(w, 1, 4) AS h FROM w WHERE lang = 'en'), c AS (SELECT lang, w, h.h IS NOT NULL AS known, ((length(w) + 3) // 4)::BIGINT AS p FROM w LEFT JOIN h ON h.h = substr(w, 1, 4))
-SELECT lang, sum(CASE WHEN known THEN p ELSE 1 END)::BIGINT AS tokens, count_if(NOT known)::BIGINT AS unknown, sum(CASE WHEN known THEN p - 1 ELSE 0 END)::BIGINT AS continuations FROM c GROUP BY lang"""
+_letters = lambda where: rf"SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS w FROM documents{where}"
+SQL["subword_stats"] = "WITH RECURSIVE " + sql.subword_sql(_letters(""), f"SELECT w FROM ({_letters(chr(32) + 'WHERE lang = ' + chr(39) + 'en' + chr(39))})", "lang")
 SQL["length_batches"] = "WITH r AS (SELECT doc_id, length(text) AS n FROM documents), b AS (SELECT n, (row_number() OVER (ORDER BY n, doc_id) - 1) // 32 AS batch FROM r) SELECT batch, count(*) AS rows, min(n) AS shortest, max(n) AS padded, sum(n)::BIGINT AS characters FROM b GROUP BY batch"
 _FROZEN = f"""{sql._SPLIT}, fz AS (SELECT printf('DS1_%06d', doc_id) AS source_record_id, label AS canonical_label, d.source AS source_dataset, d.text AS text_original, doc_id, lang FROM folds JOIN documents d USING (doc_id) WHERE split = 'test')"""
 SQL["frozen_test"] = f"WITH RECURSIVE {_FROZEN} SELECT * FROM fz"
@@ -393,14 +396,14 @@ SELECT *, row_number() OVER (PARTITION BY condition ORDER BY f1_obf DESC, model
 
 
 def _variant(changed: str, name: str) -> str:
-    return f"SELECT '{name}' AS variant, severity, out AS text FROM ({changed} SELECT * FROM done) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') UNION ALL SELECT '{name}_normalized', severity, {sql._BACK} FROM ({changed} SELECT * FROM done) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+    return f"SELECT '{name}' AS variant, severity, doc_id, out AS text FROM ({changed} SELECT * FROM done) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') UNION ALL SELECT '{name}_normalized', severity, doc_id, {sql._BACK} FROM ({changed} SELECT * FROM done) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 
 
 _only = sql._changed(3).replace("WHEN lower(c) IN ('a', 'e', 'i', 'o', 'u') THEN 1 WHEN p > 1 AND p < n AND regexp_matches(c, '[\\p{L}\\p{N}]') THEN 2 END", "END")
-SQL["homoglyph_ablation"] = f"""WITH v AS (SELECT 'clean' AS variant, 'none' AS severity, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'clean_normalized', 'none', translate(text, '{O.LOOKALIKE_TO}', '{O.LOOKALIKE_FROM}') FROM documents WHERE lang = 'en'
- UNION ALL {_variant(_only, "homoglyph")} UNION ALL {_variant(sql._changed(3), "orthographic")}),
-ws AS (SELECT variant, severity, unnest(regexp_extract_all(text, '\\S+')) AS w FROM v), kn AS (SELECT w FROM ws WHERE variant = 'clean' GROUP BY w HAVING count(*) >= 2)
-SELECT variant, severity, count(*) AS tokens, count_if(w NOT IN (SELECT w FROM kn))::BIGINT AS unk_tokens FROM ws GROUP BY 1, 2"""
+_VARIANTS = f"""SELECT 'clean' AS variant, 'none' AS severity, doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'clean_normalized', 'none', doc_id, translate(text, '{O.LOOKALIKE_TO}', '{O.LOOKALIKE_FROM}') FROM documents WHERE lang = 'en'
+ UNION ALL {_variant(_only, "homoglyph")} UNION ALL {_variant(sql._changed(3), "orthographic")}"""
+_seen = "SELECT variant, severity, doc_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM vr"
+SQL["homoglyph_ablation"] = f"WITH RECURSIVE vr AS ({_VARIANTS}), " + sql.subword_sql(_seen, f"SELECT w FROM ({_seen}) WHERE variant = 'clean'", "variant, severity")
 
 
 def _none(*checks: str) -> str:

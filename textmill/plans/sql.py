@@ -108,6 +108,23 @@ _SIG = f"{_TEXTS}, hs AS (SELECT doc_id, {_hash} AS h FROM sh WHERE len(shingles
 ORACLE["minhash_signature"] = f"WITH {_SIG} SELECT doc_id, array_to_string(m, ',') AS signature FROM sig"
 ORACLE["lsh_candidates"] = f"""WITH {_SIG}, bands AS (SELECT doc_id, b, array_to_string(m[b * 4 + 1 : b * 4 + 4], ',') AS k FROM sig, range(16) t(b)), least_id AS (SELECT b, k, min(doc_id) AS id_a FROM bands GROUP BY 1, 2)
 SELECT DISTINCT id_a, doc_id AS id_b FROM bands JOIN least_id USING (b, k) WHERE doc_id > id_a"""
+def lsh_pairs_sql(limit: int) -> str:
+    """Pairs of buckets, each level of division a table of its own."""
+    levels, pairs = [], []
+    for i, letters in enumerate((2, 4, 8, 64, None)):
+        levels.append(f"n{i} AS (SELECT key, count(*) AS n, min(doc_id) AS least FROM l{i} GROUP BY key)")
+        if letters is None:
+            pairs.append(f"SELECT least AS id_a, doc_id AS id_b FROM l{i} JOIN n{i} USING (key) WHERE doc_id > least")
+            break
+        pairs.append(f"SELECT x.doc_id AS id_a, y.doc_id AS id_b FROM l{i} x JOIN l{i} y ON x.key = y.key AND x.doc_id < y.doc_id JOIN n{i} ON n{i}.key = x.key WHERE n < {limit}")
+        levels.append(f"l{i + 1} AS (SELECT doc_id, l, al, md5(key || '|' || l || '|' || substr(al, 1, {letters})) AS key FROM l{i} JOIN n{i} USING (key) WHERE n >= {limit})")
+    return f"""WITH {_SIG}, bands AS (SELECT doc_id, b, array_to_string(m[b * 4 + 1 : b * 4 + 4], ',') AS k FROM sig, range(16) t(b)),
+l0 AS (SELECT doc_id, length(text) // 20 AS l, coalesce(sha256(nullif(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '')), '') AS al, md5(b || ':' || md5(k)) AS key FROM bands JOIN texts USING (doc_id)), {', '.join(levels)},
+cand AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(pairs)}))
+SELECT id_a, id_b, CASE WHEN j >= 0.65 THEN round(j, 4) END AS jaccard FROM (SELECT id_a, id_b, len(list_intersect(x.shingles, y.shingles))::DOUBLE / (len(x.shingles) + len(y.shingles) - len(list_intersect(x.shingles, y.shingles))) AS j FROM cand JOIN sh x ON x.doc_id = id_a JOIN sh y ON y.doc_id = id_b)"""
+
+
+ORACLE["lsh_pairs"] = lsh_pairs_sql(200)
 _COMP = f"""{_PAIRS}, links AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs), reach(n, r) AS (SELECT doc_id, doc_id FROM texts UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.n),
 comp AS (SELECT n AS doc_id, min(r) AS root FROM reach GROUP BY n)"""
 _ISO = f"""every AS (SELECT doc_id, text, coalesce(source = 'src0', false) AS held FROM documents UNION ALL SELECT -item_id - 1, text, true FROM benchmark), {_KEYS.replace("FROM documents", "FROM every")}, {_COMP.replace("FROM documents", "FROM every")},
@@ -172,26 +189,42 @@ open AS (SELECT doc_id, severity, unnest({_OPENT}) AS t FROM r),
 k AS (SELECT k.doc_id, k.severity, t.i AS i, t.t AS t FROM open k WHERE true{ready} QUALIFY row_number() OVER (PARTITION BY k.doc_id, k.severity ORDER BY {key("t.i")}) <= {few}),
 ch AS (SELECT k.doc_id, k.severity, k.i, p, substr(k.t, p, 1) AS c, CASE WHEN p > 1 THEN substr(k.t, p - 1, 1) ELSE '' END AS prev, length(k.t) AS n, {key("k.i, p")} AS h, {coin} AS coin FROM k, range(1, length(k.t) + 1) q(p)),
 rk AS (SELECT *, {rank} AS rk FROM ch), best AS (SELECT *, CASE WHEN rk IS NOT NULL AND rk = min(rk) OVER (PARTITION BY doc_id, severity, i) THEN row_number() OVER (PARTITION BY doc_id, severity, i ORDER BY rk NULLS LAST, h) END AS o FROM rk),
-tok AS (SELECT doc_id, severity, i, string_agg(CASE WHEN o <= {many} THEN {new} ELSE c END, '' ORDER BY p) AS w FROM best GROUP BY ALL HAVING count_if(o <= {many}) > 0),
+tok AS (SELECT doc_id, severity, i, string_agg(CASE WHEN o <= {many} THEN {new} ELSE c END, '' ORDER BY p) AS w, count_if(o <= {many}) AS m FROM best GROUP BY ALL HAVING count_if(o <= {many}) > 0),
 full_t AS (SELECT doc_id, text, severity, unnest(regexp_extract_all(text, '(\s*)(\S+)', 1)) AS g, unnest(regexp_extract_all(text, '(\s*)(\S+)', 2)) AS t, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS i FROM r),
-made AS (SELECT f.doc_id, f.severity, string_agg(f.g || coalesce(tok.w, f.t), '' ORDER BY f.i) AS body, count(tok.w) AS changes FROM full_t f LEFT JOIN tok ON tok.doc_id = f.doc_id AND tok.severity = f.severity AND tok.i = f.i GROUP BY ALL),
-done AS (SELECT r.doc_id, r.severity, r.text, coalesce(body, '') || regexp_extract(r.text, '(\s*)$', 1) AS out, coalesce(changes, 0)::BIGINT AS changes FROM r LEFT JOIN made ON made.doc_id = r.doc_id AND made.severity = r.severity)"""
+made AS (SELECT f.doc_id, f.severity, string_agg(f.g || coalesce(tok.w, f.t), '' ORDER BY f.i) AS body, count(tok.w) AS changes, sum(tok.m) AS edits FROM full_t f LEFT JOIN tok ON tok.doc_id = f.doc_id AND tok.severity = f.severity AND tok.i = f.i GROUP BY ALL),
+done AS (SELECT r.doc_id, r.severity, r.text, coalesce(body, '') || regexp_extract(r.text, '(\s*)$', 1) AS out, coalesce(changes, 0)::BIGINT AS changes, coalesce(edits, 0)::BIGINT AS edits FROM r LEFT JOIN made ON made.doc_id = r.doc_id AND made.severity = r.severity)"""
 
 
 for _n in range(4):
     ORACLE[f"obfuscate_o{_n + 1}"] = _changed(_n) + " SELECT doc_id, severity, sha256(out) AS digest, changes AS modified_token_count, out <> text AS changed FROM done"
 _BACK = f"translate(out, '{O.LOOKALIKE_TO}', '{O.LOOKALIKE_FROM}')"
 ORACLE["homoglyph_normalize"] = _changed(3) + f" SELECT doc_id, severity, sha256({_BACK}) AS digest, {_BACK} = text AS restored FROM done"
-_four = " UNION ALL ".join(f"SELECT '{O.FAMILIES[n]}' AS family, * FROM ({_changed(n)} SELECT severity, text, out FROM done)" for n in range(4))
+_four = " UNION ALL ".join(f"SELECT '{O.FAMILIES[n]}' AS family, * FROM ({_changed(n)} SELECT severity, text, out, edits FROM done)" for n in range(4))
 ORACLE["obfuscation_stats"] = f"""SELECT family, severity, count(*) AS n, count_if(out <> text)::BIGINT AS n_changed, count_if(out = text)::BIGINT AS n_no_target, round(count_if(out <> text)::DOUBLE / count(*) * 100, 2) AS success_rate_pct, count_if(out <> text)::DOUBLE / count(*) * 100 >= 90 AS passes_gate FROM ({_four}) GROUP BY 1, 2"""
-ORACLE["edit_diagnostics"] = f"""SELECT family, severity, avg(abs(length(out) - length(text))) AS mean_delta, quantile_cont(abs(length(out) - length(text)), 0.5)::DOUBLE AS median_delta, max(abs(length(out) - length(text))) AS max_delta,
- count_if(length(out)::DOUBLE / greatest(length(text), 1) NOT BETWEEN 0.5 AND 2.0)::BIGINT AS length_anomalies FROM ({_four}) GROUP BY 1, 2"""
+_figures = ", ".join(f"{f}({x}){kind} AS {name}_{c}" for c, x in (("edits", "edits"), ("ratio", "ratio"), ("delta", "abs(length(out) - length(text))")) for name, f, kind in (("mean", "avg", ""), ("median", "median", "::DOUBLE"), ("max", "max", "")))
+ORACLE["edit_diagnostics"] = f"""SELECT family, severity, count(*) AS changed_count, {_figures}, count_if(ratio > CASE severity WHEN 'MILD' THEN 0.20::DOUBLE ELSE 0.35::DOUBLE END)::BIGINT AS excessive_ratio_flags,
+ count_if(length(out)::DOUBLE / greatest(length(text), 1) NOT BETWEEN 0.5 AND 2.0)::BIGINT AS length_anomalies FROM (SELECT *, edits::DOUBLE / greatest(length(text), 1) AS ratio FROM ({_four}) WHERE out <> text) GROUP BY 1, 2"""
 _num = lambda s: f"(('0x' || substr(md5({s}), 1, 4))::BIGINT % 100)"
 _PRED = f"""p0 AS (SELECT doc_id, source, toxic::BIGINT AS y, model, condition FROM documents JOIN labels USING (doc_id), (VALUES ('svm'), ('cnn'), ('bert')) m(model), (SELECT f || '_' || s AS condition FROM (VALUES ('O1'), ('O2'), ('O3'), ('O4')) a(f), (VALUES ('MILD'), ('STRONG')) b(s)) c),
 p1 AS (SELECT *, ((y + CASE WHEN {_num("'n' || doc_id || model")} < 6 THEN 1 ELSE 0 END) % 2)::BIGINT AS y_norm FROM p0),
 pred AS (SELECT *, ((y_norm + CASE WHEN {_num("'o' || doc_id || model || condition")} < 9 THEN 1 ELSE 0 END) % 2)::BIGINT AS y_obf, {_num("'c' || doc_id || condition")} < 96 AS changed FROM p1)"""
 
 
+def subword_sql(rows: str, clean: str, by: str, pieces: int = 4000) -> str:
+    """Statistics of ``rows`` (by, doc_id, w) against the parts of the words of
+    ``clean`` (w): the longest piece at each place is a table, and words are
+    walked along it."""
+    return f"""rw AS ({rows}), cw AS (SELECT w, count(*) AS n FROM ({clean}) WHERE w <> '' GROUP BY w HAVING count(*) >= 2),
+parts AS (SELECT n, substr(w, 1, k::INT) AS p FROM cw, range(1, 9) r(k) WHERE k <= length(w) UNION ALL SELECT n, '##' || substr(w, i::INT, k::INT) FROM cw, range(2, length(w) + 1) s(i), range(1, 7) r(k) WHERE i + k - 1 <= length(w)),
+voc AS (SELECT p FROM parts GROUP BY p ORDER BY sum(n) DESC, p LIMIT {pieces}), dw AS (SELECT DISTINCT w FROM rw),
+here AS (SELECT w, i, max(k) AS k FROM (SELECT w, i, k, CASE WHEN i > 1 THEN '##' ELSE '' END || substr(w, i::INT, k::INT) AS p FROM dw, range(1, length(w) + 1) s(i), range(1, 9) r(k) WHERE i + k - 1 <= length(w)) JOIN voc USING (p) GROUP BY w, i),
+walk(w, pos, t) AS (SELECT w, 1::BIGINT, 0::BIGINT FROM dw UNION ALL SELECT walk.w, pos + k, t + 1 FROM walk JOIN here ON here.w = walk.w AND here.i = pos),
+done AS (SELECT dw.w, t, t IS NULL AS unk FROM dw LEFT JOIN (SELECT w, t FROM walk WHERE pos = length(w) + 1) USING (w)),
+per AS (SELECT {by}, doc_id, sum(coalesce(t, 1))::BIGINT AS tokens, count_if(unk)::BIGINT AS unknown, sum(greatest(coalesce(t, 1) - 1, 0))::BIGINT AS continuations FROM rw JOIN done USING (w) GROUP BY {by}, doc_id),
+fin AS (SELECT {by}, count(*) AS documents, sum(tokens)::BIGINT AS tokens, sum(unknown)::BIGINT AS unknown, sum(continuations)::BIGINT AS continuations, count_if(unknown > 0)::BIGINT AS documents_with_unknown FROM per GROUP BY {by})
+SELECT *, tokens::DOUBLE / documents AS tokens_a_document, documents_with_unknown * 100.0::DOUBLE / documents AS pct_with_unknown FROM fin"""
+
+
 def _cells(p: str, suffix: str = "") -> str:
     return ", ".join(f"count_if(y = {a} AND {p} = {b})::BIGINT AS {k}{suffix}" for k, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1)))
 
