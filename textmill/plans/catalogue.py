@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
-from textmill.operators import ml, nearcopies, pool, shingles
+from textmill.operators import ml, nearcopies, pool, shingles, svm
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
@@ -522,15 +522,32 @@ def running_best(spark, d):
     return got.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "value", "best_so_far", "is_best", (F.col("step") - last).cast("long").alias("steps_since"))
 
 
-@query
-def svm_train_predict(spark, d):
-    """Figures of the linear machine on a held-out tenth."""
+def _labelled(spark, d):
+    """Labelled texts, and a tenth of them set apart."""
     rows = _docs(spark, d).join(_t(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    train = rows.filter(~test)
-    model = ml.svm_pipeline(train.count()).fit(ml.weighted(train, "toxic"))
-    got = model.transform(ml.weighted(rows.filter(test), "toxic")).withColumn("p", F.col("prediction").cast("int"))
-    return got.agg(*E.confusion("toxic", "p")).withColumns(E.figures())
+    return rows.filter(~test), rows.filter(test)
+
+
+@query
+def svm_train_predict(spark, d):
+    """Figures of the linear machine (squared hinge) on a held-out tenth."""
+    train, test = _labelled(spark, d)
+    rows, known, size = svm.prepared(train, "toxic")
+    machine = svm.fit(rows, size)
+    got = svm.decide(svm.vectors(svm.counted(test, keep=("toxic",)), known, ("toxic",)), machine, ("toxic",))
+    return got.withColumnRenamed("predicted_label", "p").agg(*E.confusion("toxic", "p")).withColumns(E.figures())
+
+
+@query
+def svm_grid(spark, d):
+    """Six candidates of the linear machine on the held-out tenth, and the best
+    by the tie-break chain."""
+    train, test = _labelled(spark, d)
+    got = svm.grid(train, test, "toxic", tolerance=1e-2).withColumnRenamed("predicted_label", "p")
+    rows = got.groupBy("unigram", "c").agg(*E.confusion("toxic", "p")).withColumns(E.figures())
+    best = E.best_candidate(sorted((r.asDict() for r in rows.collect()), key=lambda r: (not r["unigram"], r["c"])))  # six rows
+    return rows.withColumn("is_best", (F.col("unigram") == best["unigram"]) & (F.col("c") == best["c"]))
 
 
 #: Character ids: printable ASCII from 2; 0 pads, 1 is unknown.
