@@ -2,16 +2,19 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.llm import alignment, licenses, sortmeans
+from textmill.llm import alignment, licenses, registry, sortmeans
 from textmill.llm.common import vocabulary
 
+SF = "/root/testdata/sf0.001"
 FILES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 ODD = [
     "", None, "a", " ", "  two  blanks ", "\n\nline\n end\n", "tab\tand\r\nreturn", "<|endoftext|> and <s> stay text", "▁ is a sign", "naïve café señor Übung", "中文 文字 and 漢字", "emoji 👩‍👩‍👧 family", "nbsp here   wide", "x" * 5000,
@@ -179,3 +182,17 @@ def test_scan_stops_strictly_beyond_twice():
     c = np.array([[4, 0], [0, 0], [100, 0]], np.int64)
     cluster, distance, scanned = sortmeans.Scan(c).assign(np.array([[2, 0], [1, 0]], np.int64), np.array([1, 1]))
     assert cluster.tolist() == [0, 1] and distance.tolist() == [4, 1] and scanned.tolist() == [2, 1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["op11_license_scans", "op13_centroid_clusters"])
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = registry.queries()[name](spark, SF)
+    want = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    rows = want.fetchall()
+    assert len(rows) > 100 and Counter(map(tuple, got.select(*names).collect())) == Counter(rows)
