@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
 from textmill.operators import obfuscate as O
-from textmill.operators import pool, shingles, subwords
+from textmill.operators import checks, pool, shingles, subwords
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
 from textmill.operators.ranking import with_rank
@@ -262,7 +262,7 @@ def dataset_assertions(spark, d):
     return count_violations({
         "ids_present": docs.filter("doc_id is null"),
         "ids_unique": docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"),
-        "texts_unique": final.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"),
+        "texts_unique": final.join(flags.select("doc_id", "k"), "doc_id").groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"),
         "no_invalid_representative": final.filter("status = 'invalid'"),
         "lengths_match": docs.filter(F.length("text") != F.col("n_chars")),
         "labels_in_domain": C._t(spark, d, "labels").filter("quality not in (0, 1) or toxic not in (0, 1)"),
@@ -309,36 +309,20 @@ def obfuscation_assertions(spark, d):
 
 @query
 def pilot_assertions(spark, d):
-    """The pilot: a second run gives the same, originals and labels are those
-    of the source, the control changes nothing."""
-    rows = C._docs(spark, d).filter("doc_id < 200").select("doc_id", "text", C._label().alias("label"))
-    first, again = (O.hash_mode(rows, O.FAMILIES[1]).select("doc_id", "severity", "text", "text_obfuscated", "label") for _ in range(2))
-    joined = first.join(C._docs(spark, d).select("doc_id", F.col("text").alias("raw")), "doc_id")
-    return count_violations({
-        "deterministic": first.exceptAll(again),
-        "original_text": joined.filter("text <> raw"),
-        "label_kept": first.filter(F.col("label") != C._label()),
-        "control_unchanged": rows.withColumn("text_obfuscated", F.col("text")).filter("text <> text_obfuscated"),
-        "both_severities": first.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n <> 2"),
-    })
+    """The pilot, written once, against a second run and the source."""
+    source = C._docs(spark, d).select("doc_id", "text", C._label().alias("label"))
+    rows = source.filter("doc_id < 200")
+    made = lambda: O.hash_mode(rows, O.FAMILIES[1]).select("doc_id", "severity", "text", "text_obfuscated", "label")
+    control = rows.select("doc_id", F.col("text").alias("text_obfuscated"))
+    return checks.pilot_checks(rows, cut(made()), made(), cut(control))
 
 
 @query
 def result_assertions(spark, d):
-    """Checks of result tables: rows of each file, ids, binary predictions,
-    figures between 0 and 1, drops that add up."""
+    """The robustness tables against the labelled records."""
     rows = C._predictions(spark, d)
-    files = rows.groupBy("model", "condition").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
-    want = C._docs(spark, d).join(C._t(spark, d, "labels"), "doc_id").agg(F.count("*").alias("want"))
-    paired = E.paired(rows, ["model", "condition"])
-    return count_violations({
-        "files": files.agg(F.count("*").alias("n")).filter(F.col("n") != len(C.MODELS) * len(C.CONDITIONS)),
-        "rows_of_each": files.join(F.broadcast(want)).filter("n <> want"),
-        "ids_unique": files.filter("n <> ids"),
-        "binary": rows.filter("y_norm not in (0, 1) or y_obf not in (0, 1)"),
-        "figures_in_range": paired.filter("f1_norm not between 0 and 1 or f1_obf not between 0 and 1"),
-        "drops_add_up": paired.filter("abs(f1_norm - f1_obf - f1_drop) > 1e-12"),
-    })
+    records = C._docs(spark, d).join(C._t(spark, d, "labels"), "doc_id").select("doc_id")
+    return checks.result_checks(rows, E.paired(rows, ["model", "condition"]), records, len(C.MODELS) * len(C.CONDITIONS))
 
 
 @query
@@ -406,24 +390,28 @@ _seen = "SELECT variant, severity, doc_id, unnest(regexp_extract_all(lower(text)
 SQL["homoglyph_ablation"] = f"WITH RECURSIVE vr AS ({_VARIANTS}), " + sql.subword_sql(_seen, f"SELECT w FROM ({_seen}) WHERE variant = 'clean'", "variant, severity")
 
 
-def _none(*checks: str) -> str:
-    return " UNION ALL ".join(f'SELECT \'{c}\' AS "check", 0::BIGINT AS violations' for c in checks)
-
-
 SQL["dataset_assertions"] = f"""WITH {_CANON} SELECT 'ids_present' AS "check", count(*) AS violations FROM documents WHERE doc_id IS NULL UNION ALL SELECT 'ids_unique', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'texts_unique', count(*) FROM (SELECT text FROM documents JOIN canon USING (doc_id) GROUP BY text HAVING count(*) > 1) UNION ALL SELECT 'no_invalid_representative', count(*) FROM canon WHERE status = 'invalid'
 UNION ALL SELECT 'lengths_match', count(*) FROM documents WHERE length(text) <> n_chars UNION ALL SELECT 'labels_in_domain', count(*) FROM labels WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)
-UNION ALL SELECT 'overlap_grows', count(*) FROM ({sql.ORACLE["overlap_monotonicity"]}) UNION ALL {_none("review_is_apart", "held_out_is_apart", "totals_add_up", "status_known")}"""
+UNION ALL SELECT 'overlap_grows', count(*) FROM ({sql.ORACLE["overlap_monotonicity"]}) UNION ALL SELECT 'review_is_apart', count(*) FROM (WITH {_FLAGS}, {_REVIEW} SELECT doc_id FROM rq WHERE reason = 'empty_text') JOIN canon USING (doc_id)
+UNION ALL SELECT 'held_out_is_apart', count(*) FROM ({sql.ORACLE["isolate_pool"]}) i JOIN documents d USING (doc_id) WHERE i.overlap_level IS NULL AND d.text IN (SELECT text FROM documents WHERE source = 'src0' UNION ALL SELECT text FROM benchmark)
+UNION ALL SELECT 'totals_add_up', count(*) FROM ({sql.ORACLE["reconciliation"]}) t WHERE source = 'TOTAL' AND (raw_rows <> (SELECT count(*) FROM documents) OR raw_rows <> accepted_rows + review_rows + invalid_rows)
+UNION ALL SELECT 'status_known', count(*) FROM stated WHERE status NOT IN ('valid', 'suspicious', 'invalid')"""
 SQL["split_assertions"] = f"""WITH RECURSIVE {sql._SPLIT}, st AS (SELECT split, count(*) AS n, avg(label) AS rate FROM folds GROUP BY 1), al AS (SELECT count(*) AS a, avg(label) AS m FROM folds)
 SELECT 'groups_in_one_split' AS "check", count(*) AS violations FROM (SELECT g FROM folds GROUP BY g HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'test_is_about_a_tenth', count(*) FROM st, al WHERE split = 'test' AND abs(n / a - 0.1) > 0.05
 UNION ALL SELECT 'rates_are_alike', count(*) FROM st, al WHERE abs(rate - m) > 0.1 UNION ALL SELECT 'every_row_once', count(*) FROM (SELECT doc_id FROM folds GROUP BY 1 HAVING count(*) <> 1) UNION ALL SELECT 'no_row_lost', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM folds)
-UNION ALL SELECT 'texts_in_one_split', count(*) FROM (SELECT text FROM folds JOIN documents USING (doc_id) GROUP BY text HAVING count(DISTINCT split) > 1) UNION ALL {_none("no_row_added", "labels_in_domain")}"""
+UNION ALL SELECT 'texts_in_one_split', count(*) FROM (SELECT text FROM folds JOIN documents USING (doc_id) GROUP BY text HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'no_row_added', count(*) FROM folds WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'labels_in_domain', count(*) FROM folds WHERE label NOT IN (0, 1)"""
 _obf = " UNION ALL ".join(f"SELECT '{O.FAMILIES[n]}' AS family, * FROM ({sql._changed(n)} SELECT severity, text, out, changes FROM done)" for n in range(4))
 SQL["obfuscation_assertions"] = rf"""WITH o AS ({_obf}), s AS (SELECT *, list_concat(list_concat(regexp_extract_all(text, '(?i)https?://\S+|www[.]\S+'), regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}')), list_filter(regexp_extract_all(text, '\S+'), lambda x: regexp_matches(x, '^[@#].'))) AS sp FROM o)
 SELECT family, count_if(out = text AND changes > 0)::BIGINT AS unchanged_but_counted, count_if(len(list_filter(sp, lambda x: NOT contains(out, x))) > 0)::BIGINT AS spans_lost, count_if(changes > CASE WHEN severity = 'MILD' THEN 1 ELSE 2 END)::BIGINT AS over_cap,
  count_if(length(out)::DOUBLE / greatest(length(text), 1) NOT BETWEEN 0.5 AND 2.0)::BIGINT AS length_anomalies, (avg(CASE WHEN out <> text THEN 1.0 ELSE 0.0 END) < 0.9)::BIGINT AS gate_failed FROM s GROUP BY family"""
-SQL["pilot_assertions"] = _none("deterministic", "original_text", "label_kept", "control_unchanged", "both_severities")
-SQL["result_assertions"] = _none("files", "rows_of_each", "ids_unique", "binary", "figures_in_range", "drops_add_up")
+SQL["pilot_assertions"] = f"""WITH p AS (SELECT x.*, {_LABEL.replace("doc_id", "x.doc_id")} AS label FROM ({sql._changed(1)} SELECT doc_id, severity, text, out FROM done WHERE doc_id < 200) x)
+SELECT 'deterministic' AS "check", count(*) AS violations FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM p) UNION ALL SELECT 'original_text', count(*) FROM p JOIN documents d USING (doc_id) WHERE p.text <> d.text UNION ALL SELECT 'label_kept', count(*) FROM p WHERE label <> {_LABEL}
+UNION ALL SELECT 'control_unchanged', count(*) FROM (SELECT text FROM documents WHERE doc_id < 200 EXCEPT ALL SELECT text FROM documents) UNION ALL SELECT 'both_severities', count(*) FROM (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) <> 2 OR count(DISTINCT severity) <> 2)"""
+SQL["result_assertions"] = f"""WITH {sql._PAIRED}, rec AS (SELECT doc_id FROM documents JOIN labels USING (doc_id)), per AS (SELECT model, condition, count(*) AS n, count(DISTINCT doc_id) AS ids FROM pred GROUP BY 1, 2)
+SELECT 'files' AS "check", count(*) AS violations FROM (SELECT count(*) AS n FROM per) WHERE n <> 24 UNION ALL SELECT 'rows_of_each', count(*) FROM per WHERE n <> (SELECT count(*) FROM rec) UNION ALL SELECT 'ids_unique', count(*) FROM per WHERE n <> ids
+UNION ALL SELECT 'ids_known', count(*) FROM pred WHERE doc_id NOT IN (SELECT doc_id FROM rec) UNION ALL SELECT 'binary', count(*) FROM pred WHERE y_norm NOT IN (0, 1) OR y_obf NOT IN (0, 1)
+UNION ALL SELECT 'figures_in_range', count(*) FROM paired WHERE f1_norm NOT BETWEEN 0 AND 1 OR f1_obf NOT BETWEEN 0 AND 1 UNION ALL SELECT 'drops_add_up', count(*) FROM paired WHERE abs(f1_norm - f1_obf - f1_drop) > 1e-12"""
 SQL["data_contract"] = """WITH r AS (SELECT doc_id, text, toxic FROM documents JOIN labels USING (doc_id)) SELECT 'null_text' AS "check", count(*) AS violations FROM r WHERE text IS NULL UNION ALL SELECT 'null_label', count(*) FROM r WHERE toxic IS NULL
 UNION ALL SELECT 'label_not_binary', count(*) FROM r WHERE toxic NOT IN (0, 1) UNION ALL SELECT 'one_class_only', CASE WHEN count(DISTINCT toxic) < 2 THEN 1 ELSE 0 END FROM r WHERE doc_id % 10 <> 0
 UNION ALL SELECT 'text_in_both_parts', count(*) FROM (SELECT text FROM r GROUP BY text HAVING count(DISTINCT doc_id % 10 = 0) > 1)"""
