@@ -9,7 +9,7 @@ import pytest
 from textmill.plans import catalogue, review
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("exact_dedup_canonical", "text_keys", "quality_flags", "conflict_summary", "isolate_pool", "near_dup_components", "group_split", "obfuscate_o1", "paired_robustness", "expectations", "greedy_split", "lsh_pairs", "edit_diagnostics", "proportional_sample", "length_batches", "subword_stats", "review_queue", "data_contract")
+NAMES = ("exact_dedup_canonical", "text_keys", "quality_flags", "conflict_summary", "isolate_pool", "near_dup_components", "group_split", "obfuscate_o1", "paired_robustness", "expectations", "greedy_split", "lsh_pairs", "edit_diagnostics", "proportional_sample", "length_batches", "subword_stats", "review_queue", "data_contract", "reverification_sample")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")

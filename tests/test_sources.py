@@ -33,6 +33,12 @@ def test_tables_partitions_and_resuming(spark, tmp_path):
     assert sinks.write_missing(df.withColumn("v", F.lit("new")), at, ("model",)) == 1
     assert sorted(map(tuple, R.read_checkpoint(spark, at).select("id", "v", "model").collect())) == [(1, "x", "m1"), (2, "new", "m2")]
     assert sinks.write_missing(df, at, ("model",)) == 0
+    # a partition whose files a broken run left without a marker is written anew; null is a partition
+    torn = str(tmp_path / "torn")
+    df.filter("id = 1").withColumn("v", F.lit("half")).write.partitionBy("model").parquet(torn)
+    assert sinks.write_missing(df.unionByName(spark.createDataFrame([(3, "z", None)], df.schema)), torn, ("model",)) == 3
+    assert sorted((r.id, r.v, r.model) for r in R.read_checkpoint(spark, torn).collect()) == [(1, "x", "m1"), (2, "y", "m2"), (3, "z", None)]
+    assert sinks.write_missing(df, torn, ("model",)) == 0
     sinks.write_csv(df, str(tmp_path / "c"), ["v", "id"])
     assert sorted(map(tuple, R.read_csv_strings(spark, str(tmp_path / "c"), ["v", "id"]).collect())) == [("x", "1"), ("y", "2")]
     queue = df.withColumn("reason", F.when(F.col("id") == 2, "why"))

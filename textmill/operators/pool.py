@@ -44,14 +44,6 @@ def canonical(df: DataFrame, key: str, order: list[str], invalid: Column | None
     return got.filter(~F.col("_x._bad")).select(key, *[F.col(f"_x.{c}").alias(c) for c in (*order, *rest)], "source_record_count")
 
 
-def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by a total order, as a partial aggregate: a
-    hot key needs no task for all of its rows."""
-    rest = [c for c in df.columns if c not in (key, order)]
-    got = df.groupBy(key).agg(F.min_by(F.struct(order, *rest), order).alias("_x"))
-    return got.select(key, *[F.col(f"_x.{c}").alias(c) for c in (order, *rest)])
-
-
 def conflicts(df: DataFrame, key: str, dataset: str, label: str) -> DataFrame:
     """Keys with more than one label: within a dataset, and across datasets
     (two datasets' label sets differ)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,10 +99,12 @@ def cluster_review_sample(spark, d):
 
 @query
 def reverification_sample(spark, d):
-    """A hundred rows of each condition, and whether the change is undone."""
-    rows = O.hash_mode(C._docs(spark, d).select("doc_id", "text"), O.FAMILIES[3])
-    picked = S.sample_per_stratum(rows.select("doc_id", "severity", "text", "text_obfuscated", "changed"), ["severity"], "doc_id", 100)
-    return picked.select("doc_id", "severity", "changed", (O.normalize_homoglyphs(F.col("text_obfuscated")) == F.col("text")).alias("restored"))
+    """A hundred rows of each condition of all four families, and whether
+    taking look-alikes back undoes the change.  A condition holds every
+    document, so the hundred are the same in each and are drawn first."""
+    drawn = C._docs(spark, d).select("doc_id", "text").orderBy(F.sha2(F.concat_ws("|", F.lit("42"), "doc_id"), 256), "doc_id").limit(100)
+    frames = [O.hash_mode(drawn, f).select(F.lit(f).alias("family"), "doc_id", "severity", "changed", (O.normalize_homoglyphs(F.col("text_obfuscated")) == F.col("text")).alias("restored")) for f in O.FAMILIES]
+    return reduce(lambda x, y: x.unionByName(y), frames)
 
 
 # --- profiles --------------------------------------------------------------
@@ -357,7 +360,7 @@ SQL["combined_sources"] = """WITH g AS (SELECT min(doc_id) AS doc_id, list_sort(
 SQL["boundary_pairs"] = f"WITH {sql._PAIRS} SELECT * FROM pairs WHERE jaccard BETWEEN 0.65 AND 0.72 ORDER BY jaccard, id_a, id_b LIMIT 100"
 SQL["cluster_review_sample"] = f"""WITH RECURSIVE {sql._COMP}, z AS (SELECT root, count(*) AS size FROM comp GROUP BY root)
 (SELECT root, size, 'largest' AS why FROM z ORDER BY size DESC, root LIMIT 100) UNION ALL (SELECT root, size, 'small' FROM z WHERE size BETWEEN 2 AND 5 ORDER BY sha256('42|' || root), root LIMIT 100)"""
-SQL["reverification_sample"] = sql._changed(3) + f" SELECT doc_id, severity, out <> text AS changed, {sql._BACK} = text AS restored FROM done QUALIFY row_number() OVER (PARTITION BY severity ORDER BY sha256('42|' || doc_id), doc_id) <= 100"
+SQL["reverification_sample"] = " UNION ALL ".join(f"SELECT '{O.FAMILIES[n]}' AS family, * FROM ({sql._changed(n)} SELECT doc_id, severity, out <> text AS changed, {sql._BACK} = text AS restored FROM done QUALIFY row_number() OVER (PARTITION BY severity ORDER BY sha256('42|' || doc_id), doc_id) <= 100)" for n in range(4))
 _share = lambda p, k: f"avg(CASE WHEN regexp_matches(text, '{p}') THEN 1.0 ELSE 0.0 END) * 100 AS pct_{k}"
 SQL["raw_profile"] = rf"""WITH w AS (SELECT source, text, length(text) AS c, len(regexp_extract_all(text, '\S+')) AS w, length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g'))::DOUBLE / greatest(length(text), 1) AS sy FROM documents)
 SELECT source, min(c) AS min_chars, avg(c) AS avg_chars, max(c) AS max_chars, min(w) AS min_words, avg(w) AS avg_words, max(w) AS max_words, {_share("[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]", "emoji")}, {_share("[0-9]", "digits")}, {_share("[^\\x00-\\x7F]", "wide")}, avg(CASE WHEN sy > 0.15 THEN 1.0 ELSE 0.0 END) * 100 AS pct_symbols FROM w GROUP BY source"""

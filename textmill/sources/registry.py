@@ -105,8 +105,3 @@ def read_model(path: str):
         return PipelineModel.load(path)
     except Exception as e:
         raise ValueError(f"no saved pipeline at {path}") from e
-
-
-def priorities(specs: list[SourceSpec]) -> dict[str, int]:
-    """Datasets' ranks, the smallest preferred."""
-    return {s.dataset: s.priority for s in specs}

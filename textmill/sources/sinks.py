@@ -6,8 +6,10 @@ import hashlib
 import json
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -25,16 +27,30 @@ def exists(spark, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _marker(path: str, values: list) -> str:
+    """Where a partition's commit marker lies: beside the data, hidden from
+    readers, named by the partition's values."""
+    return f"{path}/_committed/{identity([None if v is None else str(v) for v in values])}"
+
+
 def write_missing(df: DataFrame, path: str, keys: tuple[str, ...]) -> int:
-    """Appends the partitions of ``df`` that aren't there yet; how many."""
+    """Writes the partitions of ``df`` that aren't committed yet; how many.
+    A partition counts as there once its marker is, which is made after all of
+    its files: what a broken run left of a partition is replaced.  The keys'
+    distinct values come to the driver, as their folders do in any listing."""
     spark = df.sparkSession
-    new = df
-    if exists(spark, path) and exists(spark, f"{path}/_SUCCESS"):
-        new = df.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
-    n = new.select(*keys).distinct().count()
-    if n:
-        new.write.mode("append").partitionBy(*keys).parquet(path)
-    return n
+    parts = [list(r) for r in df.select(*keys).distinct().collect()]
+    new = [v for v in parts if not exists(spark, _marker(path, v))]
+    if not new:
+        return 0
+    asked = spark.createDataFrame(new, df.select(*keys).schema)
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
+    held = df.alias("d").join(F.broadcast(asked.alias("n")), reduce(lambda a, b: a & b, same), "left_semi")
+    write_table(held, path, keys)
+    for values in new:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_marker(path, values))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True).close()
+    return len(new)
 
 
 def write_review_queue(df: DataFrame, path: str, reason: str = "reason") -> int:
