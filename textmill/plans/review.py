@@ -12,7 +12,6 @@ from textmill.functions import keys as K
 from textmill.operators import evaluate as E
 from textmill.operators import obfuscate as O
 from textmill.operators import checks, pool, shingles, subwords
-from textmill.operators import split as S
 from textmill.operators.expect import count_violations
 from textmill.operators.ranking import with_rank
 from textmill.operators.storage import cut
