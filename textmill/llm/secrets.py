@@ -1,8 +1,8 @@
 """Secret scans: candidate strings by pattern, false positives by a forest.
 
 Everything that touches rows is a DataFrame expression; no Python runs on the
-executors.  Candidates are long runs of token characters that hold a digit, or
-quoted values after a credential's name.  Each is described by its length,
+executors.  Candidates are long runs of token characters that hold a digit, and
+quoted or bare values after a credential's name.  Each is described by its length,
 character transitions, dictionary coverage, the path of its row and its
 neighbouring words.  A random forest, grown on the driver from labelled
 findings (texts with one reviewed finding each), is turned into one
@@ -31,9 +31,18 @@ HARMLESS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|revision|etag|
 #: Words and word pieces that credentials don't hold (fixed list).
 DICTIONARY = "example|sample|placeholder|dummy|test|your|token|secret|password|changeme|here|insert|replace|value|version|build|release|image|width|height|border|color|style|table|index|page|chapter|section|figure|number|data|file|name|user|http|www|html|tion|ing|ment|able|ible|lich|keit|heit|ung|schen|eau|eux|elle|ción|ado|rre|the|and|ent|ion|ere|oth|ith|ost|out"
 RUN = "[A-Za-z0-9_+/=-]"
-#: One pattern, so that a text is read once: a run that isn't part of a longer
-#: one and holds a digit, or a quoted value after a name.
-CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z_+/=-]*+[0-9]){RUN}{{16,}}+|(?<=[\"'])(?i:(?<=(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|credential)[ \t:=!#$%&*>]{{1,8}}[\"'])[^\s\"']{{8,}}+(?=[\"']))"
+#: Names before a quote or a sign (those of NAMES that introduce a value).
+CREDENTIAL = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|credential"
+VALUE = r"[^\s\"'<>,;(){}\[\]]"
+#: One pattern, so that a text is read once.  A run that isn't part of a longer
+#: one and holds a digit, unless it begins with a name and "=";
+_LONG = rf"(?<!{RUN})(?=[A-Za-z_+/=-]*+[0-9])(?![\w-]{{0,40}}?(?i:{CREDENTIAL})=){RUN}{{16,}}+"
+#: a quoted value after a name and up to eight signs or blanks;
+_QUOTED = rf"(?<=[\"'])(?i:(?<=(?:{CREDENTIAL})[\"']?[^\w\r\n\"']{{1,8}}[\"'])[^\s\"']{{8,}}+(?=[\"']))"
+#: a bare value after a name and "=", ":", ":=" or "=>", with a digit or a sign
+#: or sixteen letters, so that no plain word of a sentence is one.
+_BARE = rf"(?<=[=:>][ \t]{{0,3}})(?i:(?<=(?:{CREDENTIAL})[\"']?[ \t]{{0,3}}(?::=|=>|[=:])[ \t]{{0,3}}))(?=[A-Za-z]{{16}}|{VALUE}*?[0-9!#$%&*@^~])(?![=:]){VALUE}{{8,}}+"
+CANDIDATE = f"{_LONG}|{_QUOTED}|{_BARE}"
 FEATURES = ("length", "moves", "distinct", "digits", "upper", "hex", "covered", "named", "assigned", "quoted", "harmless", "dashed", "pathlike", "testpath", "only_digits")
 FINDINGS = 4000
 
@@ -73,34 +82,87 @@ def _scored(docs: DataFrame, forest: Forest, threshold: float, path: str | None)
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(text, path, label): texts with one finding each, half of them real
     credentials, by rule from hashes: formats of keys and of what is taken for
-    them, among made-up words and marks; fixtures and documentation hold more
-    false ones.  A table of reviewed findings with these columns can be given
-    instead."""
-    h = "sha2(concat('finding', {0}, ':', id), 512)".format
+    them, among made-up words and marks.  Of the false ones some look like real
+    ones, as fixtures and documentation hold them: there the path tells.  A
+    table of reviewed findings with these columns can be given instead."""
+    h = "h{0}".format
+    draw = lambda what, k: f"cast(conv(substring(sha2(concat('{what}', id), 256), 1, 6), 16, 10) as int) % {k}"
+    pick = lambda what, *of: f"element_at(array({', '.join(of)}), 1 + {draw(what, len(of))})"
+    quoted = lambda *of: [f"'{x}'" for x in of]
     # made-up words: letters for hex digits, three to eight of them
     word = "translate(substring({0}, {1}, cast(3 + conv(substring({0}, {1}, 1), 16, 10) % 6 as int)), '0123456789abcdef', 'aeiounrstlmdkbpg')".format
     marks = "translate(substring({0}, {1}, cast(conv(substring({0}, {1}, 1), 16, 10) % 4 as int)), '0123456789abcdef', '!#$%&*=:!#$%&*=:')".format
     hexes = lambda k, at=1: f"substring({h(1)}, {at}, {k})"
-    mixed = lambda k: f"substring(translate(base64(unhex({h(2)})), '+/=', 'xYz'), 1, {k})"
+    mixed = lambda k: f"substring(mixed_all, 1, {k})"
+    letters = lambda k: f"substring(translate({h(7)}, '0123456789abcdef', 'qwxzjkvbgmtplrns'), 1, {k})"
     base32 = f"substring(translate({h(3)}, '0189abcdef', 'QWZXABCDEF'), 1, 16)"
-    name = "element_at(array('token','secret','password','api_key','auth_token','access_key','apikey','credential'), cast(1 + id div 16 % 8 as int))"
-    sign = f"concat(element_at(array(' =', ':', '=', ' :', ' =>'), cast(1 + id div 3 % 5 as int)), if(id div 7 % 2 = 0, ' ', ''), {marks(h(6), 3)}, '\"')"
-    real = [f"concat({name}, {sign}, {hexes(40)}, '\"')", f"concat(upper({name}), {sign}, upper({hexes(40)}), '\"')", f"concat({name}, ' = \"ghp_', {mixed(36)}, '\"')", f"concat({name}, {sign}, {mixed(32)}, '\"')", f"concat('key ', 'AKIA', upper({base32}), ' ')", f"concat({name}, {sign}, {hexes(32)}, '\"')", f"concat('Bearer ', {mixed(64)})", f"concat({name}, {sign}, {mixed(20)}, '\"')"]
-    false = [f"concat('commit ', {hexes(40)})", f"concat('id ', {hexes(8)}, '-', {hexes(4, 9)}, '-4', {hexes(3, 13)}, '-a', {hexes(3, 17)}, '-', {hexes(12, 21)})", f"concat('md5: ', {hexes(32)})", f"substring(translate({h(4)}, 'abcdef', '123456'), 1, 16)", f"concat({name}, {sign}, 'your-', {name}, '-here-123456789', '\"')", f"concat('https://files.example.org/data/', {hexes(32)}, '/index.html')", "concat('chapter-', id, '-section-', id % 7, '-figure-', id % 11, '-table')", "concat('build/release-2', id, '/image_width_1024_height_768')", f"concat('sha256 checksum ', {hexes(64)})", f"concat({name}, ' example_value_0000000000')"]
-    arms = [f"when {i} then {x}" for i, x in enumerate(real)], [f"when {i} then {x}" for i, x in enumerate(false)]
-    shown = f"case when id % 2 = 1 then (case id div 2 % {len(real)} {' '.join(arms[0])} end) else (case id div 2 % {len(false)} {' '.join(arms[1])} end) end"
+    name = pick("name", *quoted("token", "secret", "password", "api_key", "auth_token", "access_key", "apikey", "credential"))
+    key = pick("key", *quoted("password", "api_key", "access_key", "DB_PASSWORD", "APP_SECRET", "passwd", "service_token"))
+    sign = f"concat({pick('sign', *quoted(' =', ':', '=', ' :', ' =>'))}, {pick('gap', *quoted(' ', ''))}, {marks(h(6), 3)}, '\"')"
+    bare = pick("bare", *quoted(" = ", "=", ": ", " := "))
+    phrase = f"concat({word(h(8), 1)}, {pick('joint', *quoted('', '-', '_', '7', '42', '2019', '!'))}, {word(h(8), 11)}, {word(h(8), 21)})"
+    common = pick("common", *quoted("summer", "secret", "admin", "welcome", "dragon", "coffee", "monkey", "letmein", "sunshine", "master"))
+    # each made once, in two steps, as the formats below use them many times
+    drawn = {f"h{k}": f"sha2(concat('finding', {k}, ':', id), 512)" for k in range(1, 9)}
+    held = {"name": name, "key": key, "sign": sign, "bare": bare, "phrase": phrase, "common": common, "mixed_all": f"translate(base64(unhex({h(2)})), '+/=', 'xYz')"}
+    name, key, sign, bare, phrase, common = "name", "key", "sign", "bare", "phrase", "common"
+    real = [
+        f"concat({name}, {sign}, {hexes(40)}, '\"')",
+        f"concat(upper({name}), {sign}, upper({hexes(40)}), '\"')",
+        f"concat({name}, ' = \"ghp_', {mixed(36)}, '\"')",
+        f"concat({name}, {sign}, {mixed(32)}, '\"')",
+        f"concat('key ', 'AKIA', upper({base32}), ' ')",
+        f"concat({name}, {sign}, {hexes(32)}, '\"')",
+        f"concat('Bearer ', {mixed(64)})",
+        f"concat({name}, {sign}, {mixed(20)}, '\"')",
+        f"concat({key}, {bare}, {mixed(28)})",
+        f"concat({key}, {bare}, {word(h(8), 1)}, {draw('n', 9000)}, {letters(6)})",
+        f"concat({key}, {bare}, {common}, {draw('n', 9000)}, {pick('end', *quoted('!', 'pw', 'abc', 'xyz', 'key', 'pass'))}, {letters(2)})",
+        f"concat({key}, {pick('eq', *quoted('=', ' = ', ': '))}, '\"', {common}, {word(h(8), 1)}, {word(h(8), 11)}, '\"')",
+        f"concat({key}, {bare}, {letters(24)})",
+        f"concat('\"', {key}, '\": \"', {phrase}, '\"')",
+        f"concat({key}, '=\"', {phrase}, {letters(5)}, '\"')",
+        f"concat('live-', {draw('a', 90000)}, '-', {draw('b', 90000)}, '-', {mixed(24)})",
+    ]
+    false = [
+        f"concat('commit ', {hexes(40)})",
+        f"concat('id ', {hexes(8)}, '-', {hexes(4, 9)}, '-4', {hexes(3, 13)}, '-a', {hexes(3, 17)}, '-', {hexes(12, 21)})",
+        f"concat('md5: ', {hexes(32)})",
+        f"substring(translate({h(4)}, 'abcdef', '123456'), 1, 16)",
+        f"concat({name}, {sign}, 'your-', {name}, '-here-123456789', '\"')",
+        f"concat('https://files.example.org/data/', {hexes(32)}, '/index.html')",
+        "concat('chapter-', id, '-section-', id % 7, '-figure-', id % 11, '-table')",
+        "concat('build/release-2', id, '/image_width_1024_height_768')",
+        f"concat('sha256 checksum ', {hexes(64)})",
+        f"concat({name}, ' example_value_0000000000')",
+        f"concat({key}, {bare}, {pick('shown', *quoted('********', 'xxxxxxxxxxxx', '$DB_PASSWORD', '$1', '%s-%s-%s-%s', '&placeholder', '0000000000', '#required'))}, '************')",
+        f"concat('\"', {key}, '\": \"', {pick('said', *quoted('changeme', 'required', 'placeholder', 'your-value-here', 'undefined', 'test-password', 'example-token', 'xxxxxxxxxxxx'))}, '\"')",
+        f"concat({key}, {bare}, {pick('where', *quoted('settings.', 'config.', 'process.env.', 'self.options.', 'os.environ.'))}, {name}, '_value2')",
+        f"concat({word(h(8), 1)}, '_', {word(h(8), 11)}, '_', {word(h(8), 21)}, '_', {word(h(8), 31)}, {draw('v', 90)})",
+        f"concat('\"', {pick('tag', *quoted('etag', 'revision', 'guid', 'digest', 'hash'))}, '\": \"', {pick('cut', mixed(20), mixed(40), mixed(64))}, '\"')",
+    ]
+    # the same formats as real ones, in fixtures
+    fixtures = [real[i] for i in (0, 3, 7, 8, 9, 10)]
+    arms = lambda rows, of, at=0: f"case {' '.join(f'when id div 2 % {of} = {at + i} then {x}' for i, x in enumerate(rows))} end"
+    n_false = len(false) + len(fixtures)
+    shown = {"real": arms(real, len(real)), "harmless": arms(false, n_false), "fixture": arms(fixtures, n_false, len(false))}
     words = lambda at: f"concat_ws(' ', {', '.join(word(h(5), at + 9 * j) for j in range(3))})"
-    draw = "cast(conv(substring(sha2(concat('p', id), 256), 1, 4), 16, 10) as int)"
-    path = f"if({draw} % 10 < if(id % 2 = 1, 1, 3), element_at(array('tests/fixtures/a.json','docs/readme.md','examples/run.sh'), 1 + {draw} % 3), element_at(array('src/app.py','config/site.yml', null, null), 1 + {draw} % 4))"
-    case = f"if({draw} % 8 = 0, upper({{0}}), {{0}})".format
-    made = once(spark.range(n), text=F.expr(f"concat({case(words(1))}, ' ', {shown}, ' ', {case(words(40))})"), path=F.expr(path))
-    return made.select("text", "path", F.expr("cast(id % 2 as int)").alias("label"))
+    tests = pick("test", *quoted("tests/fixtures/a.json", "docs/readme.md", "examples/run.sh", "spec/login_test.rb", "src/test/java/A.java"))
+    other = pick("other", *quoted("src/app.py", "config/site.yml", "deploy/.env", "lib/client.js"), "cast(null as string)")
+    fixture = f"id % 2 = 0 and id div 2 % {n_false} >= {len(false)}"
+    path = f"if({fixture} or {draw('p', 40)} < if(id % 2 = 1, 1, 12), {tests}, {other})"
+    case = f"if({draw('case', 8)} = 0, upper({{0}}), {{0}})".format
+    made = spark.range(n)
+    for columns in (drawn, held, shown):
+        made = once(made, **{k: F.expr(v) for k, v in columns.items()})
+    text = f"concat({case(words(1))}, ' ', if(id % 2 = 1, real, coalesce(harmless, fixture)), ' ', {case(words(40))})"
+    return once(made, text=F.expr(text), path=F.expr(path)).select("text", "path", F.expr("cast(id % 2 as int)").alias("label"))
 
 
 class Forest:
     """Bagged Gini trees over the square root of the features at each node."""
 
-    def __init__(self, trees: int = 15, depth: int = 6, seed: int = 3):
+    def __init__(self, trees: int = 25, depth: int = 10, seed: int = 3):
         self.n, self.depth, self.rng = trees, depth, np.random.default_rng(seed)
         self.trees: list = []
 
@@ -139,11 +201,24 @@ class Forest:
         return np.array([np.mean([walk(t, r) for t in self.trees]) for r in x])
 
     def sql(self, column: str) -> str:
-        """The mean over the trees, as SQL over an array of features."""
-        def of(t) -> str:
-            return f"if({column}[{t[0]}] <= {t[1]!r}D, {of(t[2])}, {of(t[3])})" if isinstance(t, tuple) else f"{t}D"
-
-        return f"({' + '.join(map(of, self.trees))}) / {len(self.trees)}D"
+        """The mean over the trees, as SQL over an array of features: the nodes
+        are arrays of constants, each tree is walked from its root, and a leaf
+        leads to itself.  Its length is that of the nodes, and the generated
+        code's doesn't grow with them."""
+        nodes: list[list] = []
+
+        def put(t) -> int:
+            at = len(nodes)
+            nodes.append([0, 0.0, at, at, t])
+            if isinstance(t, tuple):
+                nodes[at] = [t[0], t[1], put(t[2]), put(t[3]), 0.0]
+            return at
+
+        roots = [put(t) for t in self.trees]
+        feature, bound, low, high, value = ("array(" + ", ".join(f"{float(x)!r}D" if k in (1, 4) else str(x) for x in of) + ")" for k, of in enumerate(zip(*nodes)))
+        step = f"if({column}[{feature}[n]] <= {bound}[n], {low}[n], {high}[n])"
+        walk = f"aggregate(sequence(1, {self.depth}), r, (n, i) -> {step}, n -> {value}[n])"
+        return f"aggregate(array({', '.join(map(str, roots))}), 0D, (s, r) -> s + {walk}) / {len(self.trees)}D"
 
 
 def fit_forest(labelled: DataFrame, most: int = 20_000, **kw) -> Forest:
