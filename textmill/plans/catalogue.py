@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import keys as K
 from textmill.operators import evaluate as E
-from textmill.operators import ml, nearcopies, pool, shingles, svm
+from textmill.operators import charcnn, ml, nearcopies, pool, shingles, svm
 from textmill.operators import obfuscate as O
 from textmill.operators import split as S
 from textmill.operators.expect import count_violations
@@ -550,6 +550,14 @@ def svm_grid(spark, d):
     return rows.withColumn("is_best", (F.col("unigram") == best["unigram"]) & (F.col("c") == best["c"]))
 
 
+@query
+def cnn_train_predict(spark, d):
+    """Figures of the character convolutions on a held-out tenth."""
+    train, test = _labelled(spark, d)
+    got = charcnn.predict(charcnn.fit(train, "toxic"), test, ("doc_id", "toxic")).withColumnRenamed("predicted_label", "p")
+    return got.agg(*E.confusion("toxic", "p")).withColumns(E.figures())
+
+
 #: Character ids: printable ASCII from 2; 0 pads, 1 is unknown.
 WIDTH = 576
 
