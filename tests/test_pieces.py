@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import obfuscate as O
 from textmill.operators import shingles, subwords
-from textmill.plans import sql
+from textmill.plans import review, sql
 
 
 @pytest.mark.parametrize("limit", [3, 12, 200])
@@ -45,6 +45,25 @@ def test_subwords_by_hand(spark):
     assert got["y"]["continuations"] == 2 and subwords.statistics(rows.limit(0), ["k"], []).collect() == []
 
 
+def test_statistics_of_whole_texts(spark, monkeypatch):
+    """As of the words' rows, and no word is shuffled: a row a document is."""
+    monkeypatch.setattr(subwords, "TEXTS", 3)
+    monkeypatch.setattr(subwords, "SEEN", 2)
+    texts = ["abc abc zz zz zz", " a\t\nabcba  ", "", None, "   ", "zz", "a abc zz \u00e9\u00a0a"] * 3
+    rows = spark.createDataFrame([("xyz"[i % 3], i, t) for i, t in enumerate(texts)], "k string, doc_id long, text string")
+    known = {"a", "ab", "##c", "##ba", "##a"}
+    words = rows.selectExpr("k", "doc_id", "explode(regexp_extract_all(text, '\\\\S+', 0)) as w").groupBy("k", "doc_id", "w").count().withColumnRenamed("count", "n")
+    got = subwords.text_statistics(rows, ["k"], known)
+    assert sorted(got.collect()) == sorted(subwords.statistics(words, ["k"], known).collect()) and got.count() == 3
+    assert subwords.text_statistics(rows.limit(0), ["k"], known).collect() == []
+
+
+def test_the_ablation_shuffles_no_words(spark):
+    got = review.QUERIES["homoglyph_ablation"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1  # of documents, by variant
+
+
 def test_edits_are_the_edit_distance(spark):
     rng = random.Random(4)
     words = ["Total", "gebaut", "système", "aaaa", "baobab", "o'clock", "http://x.de", "année", "x9y8z7", "ooo-ooo"]
